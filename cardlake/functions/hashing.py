@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def hash_bucket(key: str, buckets: int, seed: str) -> Column:
-    """Bucket 0 .. buckets-1, from the first 32 bits of md5("seed:key")."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+def hash_bucket(keys: str | list[str], buckets: int, seed: str) -> Column:
+    """Bucket 0 .. buckets-1, from the first 32 bits of md5("seed:key" or "seed:key:key..."); nulls are skipped."""
+    columns = [F.col(key).cast("string") for key in ([keys] if isinstance(keys, str) else keys)]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *columns))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")

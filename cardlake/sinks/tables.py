@@ -25,8 +25,7 @@ def write_table(
     database, folder = table.split(".")[0], path.rstrip("/").rsplit("/", 1)[0]
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
     if keep_other_days and spark.catalog.tableExists(table):
-        columns = spark.table(table).columns
-        df.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+        _replace_days(df.select(*spark.table(table).columns), table)
         return
     writer = df.write.mode("overwrite").format("parquet").option("path", path)
     if partition_by:
@@ -34,3 +33,14 @@ def write_table(
     if bucket_by:
         writer = writer.bucketBy(bucket_by[1], bucket_by[0]).sortBy(bucket_by[0])
     writer.saveAsTable(table)
+
+
+def _replace_days(df: DataFrame, table: str) -> None:
+    # insertInto takes the overwrite mode from the session only, not from an option.
+    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
+    before = conf.get(key)
+    conf.set(key, "dynamic")
+    try:
+        df.write.insertInto(table, overwrite=True)
+    finally:
+        conf.set(key, before)

@@ -13,11 +13,15 @@ def stamp(df: DataFrame, when: str) -> DataFrame:
     return df.withColumn("situation_date", F.lit(when))
 
 
-def half_snapshot(df: DataFrame, key: str = "id") -> DataFrame:
-    """The half of the keys that hash to bucket 0 of 2: the same rows on every run, with no shuffle."""
-    return df.where(hash_bucket(key, 2, "half") == 0)
+def half_snapshot(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Half of the rows, those that hash to bucket 0 of 2: the same rows on every run, with no shuffle.
 
+    By default whole rows are hashed, so that the rows of one busy id are halved too. The number of
+    rows is half up to chance and up to exact copies, which stay together.
+    """
+    return df.where(hash_bucket(keys or df.columns, 2, "half") == 0)
 
-def stack_snapshots(df: DataFrame, first: str, second: str, key: str = "id") -> DataFrame:
+
+def stack_snapshots(df: DataFrame, first: str, second: str, keys: list[str] | None = None) -> DataFrame:
     """Half of the rows stamped ``first`` and all rows stamped ``second``."""
-    return stamp(half_snapshot(df, key), first).unionByName(stamp(df, second))
+    return stamp(half_snapshot(df, keys), first).unionByName(stamp(df, second))

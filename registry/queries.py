@@ -38,9 +38,10 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _md5_bucket(key: str, buckets: int, seed: str) -> str:
+def _md5_bucket(keys: str | list[str], buckets: int, seed: str) -> str:
     """DuckDB text of ``hash_bucket``."""
-    return f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {buckets}"
+    columns = ", ".join(f"CAST({key} AS VARCHAR)" for key in ([keys] if isinstance(keys, str) else keys))
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {columns})), 1, 8) AS BIGINT) % {buckets}"
 
 
 # ---------------------------------------------------------------- sources
@@ -172,23 +173,22 @@ def src_range_predicates(spark, sf_dir):
     return rows.groupBy("range_no").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("sum_id"))
 
 
-@query(
-    "src_half_snapshot",
-    f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_md5_bucket('o_orderkey', 2, 'half')} = 0",
-)
+_HALF = f"SELECT o_orderkey, o_orderpriority FROM orders WHERE {_md5_bucket(['o_orderkey', 'o_orderpriority'], 2, 'half')} = 0"
+
+
+@query("src_half_snapshot", _HALF)
 def src_half_snapshot(spark, sf_dir):
-    return snapshots.half_snapshot(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    return snapshots.half_snapshot(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
 
 
 @query(
     "src_snapshot_stack",
-    "SELECT o_orderkey, o_totalprice, '2025-05-29 08:00:00' AS situation_date FROM orders "
-    f"WHERE {_md5_bucket('o_orderkey', 2, 'half')} = 0 "
-    "UNION ALL SELECT o_orderkey, o_totalprice, '2025-05-30 08:00:00' AS situation_date FROM orders",
+    f"SELECT *, '2025-05-29 08:00:00' AS situation_date FROM ({_HALF}) UNION ALL "
+    "SELECT o_orderkey, o_orderpriority, '2025-05-30 08:00:00' AS situation_date FROM orders",
 )
 def src_snapshot_stack(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return snapshots.stack_snapshots(rows, "2025-05-29 08:00:00", "2025-05-30 08:00:00", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return snapshots.stack_snapshots(rows, "2025-05-29 08:00:00", "2025-05-30 08:00:00")
 
 
 # ---------------------------------------------------------------- Bronze
@@ -301,8 +301,8 @@ def silver_money_clean(spark, sf_dir):
     SELECT l_orderkey AS id,
            CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN NULL
                 ELSE CAST(l_suppkey AS INTEGER) END AS as_int,
-           CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 99999999999.0
-                WHEN 3 THEN l_suppkey + 0.75 ELSE l_suppkey + 0.0 END AS as_double,
+           CAST(CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 99999999999.0
+                WHEN 3 THEN l_suppkey + 0.75 ELSE l_suppkey + 0.0 END AS DOUBLE) AS as_double,
            CASE WHEN l_linenumber <> 1 THEN CAST(l_shipdate AS DATE) END AS as_day,
            CASE WHEN l_linenumber <> 1 THEN l_shipdate END AS as_time
     FROM lineitem

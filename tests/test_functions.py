@@ -1,0 +1,115 @@
+from datetime import date, datetime
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cardlake.functions import casts, dates
+from cardlake.functions.hashing import hash_bucket
+
+
+def one_column(spark, values):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "n int, v string")
+
+
+def applied(spark, values, expression):
+    result = one_column(spark, values).select("n", expression.alias("x")).orderBy("n").collect()
+    return [row["x"] for row in result]
+
+
+def test_ints_cut_fractions_and_null_what_is_no_number(spark):
+    values = ["12", " 7 ", "12.7", "-5.", "+3", "1e3", "abc", "", None, "99999999999", "1.x"]
+    assert applied(spark, values, casts.to_int("v")) == [12, 7, 12, -5, 3, None, None, None, None, None, None]
+
+
+def test_longs_hold_card_numbers(spark):
+    assert applied(spark, ["4344676511950444", "4344676511950444.0", "4 344"], casts.to_long("v")) == [
+        4344676511950444,
+        4344676511950444,
+        None,
+    ]
+
+
+def test_typed_columns_are_accepted_too(spark):
+    df = spark.sql("SELECT 3.9D AS d, 5000000000L AS l, timestamp'2020-01-02 03:04:05' AS t")
+    row = df.select(casts.to_int("d"), casts.to_int("l"), casts.to_long("l"), casts.to_timestamp("t")).first()
+    assert tuple(row) == (3, None, 5000000000, datetime(2020, 1, 2, 3, 4, 5))
+
+
+def test_money(spark):
+    values = ["$-77.00", "$1,234.50", "$1,234,567.89", "12", "", None, "abc", "-$3.10"]
+    assert applied(spark, values, casts.money("v")) == [-77.0, 1234.5, 1234567.89, 12.0, None, None, None, -3.1]
+
+
+def test_days_with_and_without_time(spark):
+    values = ["2025-05-29 10:11:12", "2025-05-29", "2025-5-9", "2025-02-30", "x", None]
+    expected = [date(2025, 5, 29), date(2025, 5, 29), date(2025, 5, 9), None, None, None]
+    assert applied(spark, values, casts.to_day("v")) == expected
+
+
+def test_flags(spark):
+    values = ["YES", "No", " yes ", "?", "", None]
+    assert applied(spark, values, casts.flag("v")) == [True, False, True, None, None, None]
+    assert applied(spark, values, casts.flag("v", exact_case=True)) == [True, None, None, None, None, None]
+    assert applied(spark, values, casts.flag("v", "Yes", "No", exact_case=True)) == [None, False, None, None, None, None]
+
+
+def test_gender(spark):
+    values = ["Male", "female", "Other", None]
+    assert applied(spark, values, casts.gender_code("v")) == ["M", "F", None, None]
+    assert applied(spark, values, casts.gender_code("v", exact_case=True)) == ["M", None, None, None]
+
+
+def test_fraud_flag(spark):
+    values = ["Yes", "No", "1", "0", None]
+    assert applied(spark, values, casts.fraud_flag("v")) == [1, 0, 1, 0, 0]
+    assert applied(spark, values, casts.fraud_flag("v", ("1",))) == [0, 0, 1, 0, 0]
+
+
+def test_money_sum_does_not_depend_on_order(spark):
+    values = [0.1, 0.2, 1e12, -1e12, 0.3] * 20
+    for order in (values, sorted(values), sorted(values, reverse=True)):
+        df = spark.createDataFrame([(v,) for v in order], "v double").repartition(3)
+        assert df.agg(casts.exact_money_sum("v")).first()[0] == 12.0
+
+
+def test_day_parts(spark):
+    df = spark.createDataFrame([("2025-05-09 01:02:03",), ("?",)], "situation_date string")
+    assert [tuple(r) for r in dates.with_day_parts(df).collect()] == [
+        (date(2025, 5, 9), 2025, 5, 9),
+        (None, None, None, None),
+    ]
+    padded = spark.range(1).select(*dates.padded_day_literals(date(2025, 5, 9)).values())
+    assert tuple(padded.first()) == ("2025", "05", "09")
+
+
+@pytest.mark.parametrize(
+    ("path", "expected"),
+    [
+        ("file:/lake/cards/year=2025/month=05/day=09/part-0.parquet", (2025, 5, 9)),
+        ("/lake/year=2024/month=12/day=31", (2024, 12, 31)),
+        ("/lake/year=24/month=1/day=1", (None, None, None)),
+        ("/lake/cards", (None, None, None)),
+    ],
+)
+def test_path_day_parts(spark, path, expected):
+    row = spark.range(1).select(*dates.path_day_parts(F.lit(path)).values()).first()
+    assert tuple(row) == expected
+
+
+def test_hash_bucket_ignores_partitioning_and_is_even(spark):
+    ids = spark.range(20_000)
+    bucketed = ids.select("id", hash_bucket("id", 10, "s").alias("b"))
+    again = ids.repartition(7).select("id", hash_bucket("id", 10, "s").alias("b"))
+    assert bucketed.exceptAll(again).isEmpty()
+    sizes = [r["count"] for r in bucketed.groupBy("b").count().collect()]
+    assert len(sizes) == 10 and min(sizes) > 1800 and max(sizes) < 2200
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(-10**11, 10**11), min_size=1, max_size=30))
+def test_money_reads_back_what_was_formatted(spark, cents):
+    texts = [f"${'-' if c < 0 else ''}{abs(c) // 100:,}.{abs(c) % 100:02d}" for c in cents]
+    parsed = applied(spark, texts, F.round(casts.money("v") * 100).cast("bigint"))
+    assert parsed == cents
