@@ -1,0 +1,147 @@
+import pytest
+
+from cardlake.operators import joins, marts, quality, reports
+from cardlake.plans.gold import build_marts
+
+
+@pytest.fixture
+def entities(spark):
+    make = spark.createDataFrame
+    return {
+        "transactions": make(
+            [
+                (1, 10, 100.10, "ONLINE", None, 5812),
+                (2, 10, -20.05, "Rome", "GA", 5812),
+                (3, 11, None, "Rome", "GA", 5411),
+                (4, 99, 7.00, None, "CA", 9999),
+                (5, 11, 0.20, "ONLINE", None, None),
+            ],
+            "id bigint, card_id bigint, amount_usd double, merchant_city string, merchant_state string, mcc int",
+        ),
+        "labels": make([(1, "Yes"), (2, "No"), (3, "1"), (3, "No"), (77, "Yes")], "id bigint, label string"),
+        "users": make([(1, "M", "2"), (2, "F", "1"), (3, None, "0")], "id bigint, gender string, num_credit_cards string"),
+        "cards": make(
+            [
+                (10, 1, "Visa", "Debit", 1000.0, True),
+                (11, 1, "Visa", "Credit", 2500.5, False),
+                (12, 2, "Amex", "Credit", 300.0, None),
+                (13, 8, "Visa", "Debit", 1.0, True),
+            ],
+            "id bigint, client_id bigint, card_brand string, card_type string, credit_limit_usd double, has_chip boolean",
+        ),
+        "mcc_codes": make([(5812, "Eating"), (5411, "Grocery"), (5499, "Grocery")], "mcc_code int, description string"),
+    }
+
+
+def test_labels_join_keeps_unlabelled_and_repeats_per_label(entities, rows):
+    labelled = joins.label_transactions(entities["transactions"], entities["labels"])
+    assert rows(labelled, "id", "label", "is_fraud") == sorted(
+        [(1, "Yes", 1), (2, "No", 0), (3, "1", 1), (3, "No", 0), (4, None, 0), (5, None, 0)], key=repr
+    )
+    only_ones = joins.label_transactions(entities["transactions"], entities["labels"], ("1",))
+    assert rows(only_ones.where("is_fraud = 1"), "id") == [(3,)]
+
+
+def test_fraud_mart(entities, rows):
+    mart = build_marts(**entities)["dm_fraude_detection"]
+    assert rows(mart) == sorted(
+        [("ONLINE", 1, 1), ("ONLINE", 0, 1), ("Rome", 0, 2), ("Rome", 1, 1), (None, 0, 1)], key=repr
+    )
+    joined = joins.label_transactions(entities["transactions"], entities["labels"])
+    assert mart.groupBy().sum("nb_transactions").first()[0] == joined.count()
+
+
+def test_client_mart(entities, rows):
+    assert rows(build_marts(**entities)["dm_clients"]) == [
+        (1, "M", 1000.0, "2"),
+        (1, "M", 2500.5, "2"),
+        (2, "F", 300.0, "1"),
+    ]
+
+
+def test_region_mart(entities, rows):
+    mart = build_marts(**entities)["dm_transactions_par_region"]
+    assert rows(mart) == [("CA", 7.0), ("GA", -20.05), (None, 100.3)]
+
+
+def test_card_mart(entities, rows):
+    assert rows(build_marts(**entities)["dm_cartes"]) == [
+        ("Amex", "Credit", 1),
+        ("Visa", "Credit", 1),
+        ("Visa", "Debit", 2),
+    ]
+
+
+def test_category_mart(entities, rows):
+    assert rows(build_marts(**entities)["dm_mcc_categories"]) == [("Eating", 2), ("Grocery", 1), (None, 2)]
+
+
+def test_category_mart_equals_join_then_count_with_repeated_codes(spark, entities, rows):
+    codes = entities["mcc_codes"].unionByName(spark.createDataFrame([(5812, "Bars")], "mcc_code int, description string"))
+    naive = joins.describe_categories(entities["transactions"], codes).groupBy("description").count()
+    assert rows(marts.dm_mcc_categories(entities["transactions"], codes)) == rows(naive)
+    assert rows(quality.duplicate_codes(codes)) == [(5812, 2)]
+
+
+def test_marts_per_label_repeat_the_facts(entities, rows):
+    per_label = build_marts(**entities, count_per_label=True)
+    assert rows(per_label["dm_mcc_categories"]) == [("Eating", 2), ("Grocery", 2), (None, 2)]
+    entities["labels"] = entities["labels"].where("id <> 3")
+    plain, per_label = build_marts(**entities), build_marts(**entities, count_per_label=True)
+    assert {name: rows(mart) for name, mart in plain.items()} == {name: rows(mart) for name, mart in per_label.items()}
+
+
+def test_label_conflicts(entities, rows):
+    assert rows(quality.label_conflicts(entities["labels"])) == [(3, 2, 2, "1")]
+
+
+def test_undated_rows(spark):
+    df = spark.createDataFrame([("2025-05-30",), (None,), ("?",)], "situation_date string")
+    assert quality.undated(df).count() == 2
+
+
+def test_layer_counts_show_empty_layers(entities, rows):
+    counts = quality.layer_counts(
+        {("silver", "cards"): entities["cards"], ("gold", "none"): entities["cards"].where("id < 0")}
+    )
+    assert rows(counts) == [("gold", "none", 0), ("silver", "cards", 4)]
+
+
+def test_labelled_base_equals_semi_join_then_left_join(entities, rows):
+    transactions, labels = entities["transactions"], entities["labels"]
+    kept = joins.keep_labelled(transactions, labels)
+    assert rows(kept, "id") == [(1,), (2,), (3,)]
+    slow = joins.label_transactions(kept, labels).withColumnRenamed("is_fraud", "fraud_label").drop("label")
+    fast = joins.labelled_base(transactions, labels)
+    assert rows(fast, *slow.columns) == rows(slow)
+
+
+def test_feature_base(entities, rows):
+    base = joins.feature_base(
+        entities["transactions"], entities["labels"], entities["cards"], entities["mcc_codes"]
+    )
+    assert rows(base, "id", "card_brand", "has_chip", "credit_limit_usd", "description", "fraud_label") == [
+        (1, "Visa", 1, 1000.0, "Eating", 1),
+        (2, "Visa", 1, 1000.0, "Eating", 0),
+        (3, "Visa", 0, 2500.5, "Grocery", 0),
+        (3, "Visa", 0, 2500.5, "Grocery", 1),
+    ]
+
+
+def test_reports(entities):
+    built = build_marts(**entities)
+
+    def listed(df):
+        return [tuple(row) for row in df.collect()]
+
+    assert listed(reports.state_totals(built["dm_transactions_par_region"])) == [("CA", 7.0), ("GA", -20.05)]
+    assert listed(reports.top_cities(built["dm_fraude_detection"], 2)) == [("Rome", 3), ("ONLINE", 2)]
+    assert sorted(listed(reports.online_segment(built["dm_fraude_detection"]))) == [("ONLINE", 2, 1), ("PHYSICAL", 4, 1)]
+    assert sorted(listed(reports.credit_by_gender(built["dm_clients"]))) == [("F", 1, 300.0), ("M", 2, 3500.5)]
+    assert listed(reports.top_categories(built["dm_mcc_categories"], 1)) == [("Eating", 2)]
+    assert sorted(listed(reports.card_mix(built["dm_cartes"]))) == [
+        ("brand", "Amex", 1),
+        ("brand", "Visa", 3),
+        ("type", "Credit", 2),
+        ("type", "Debit", 2),
+    ]

@@ -1,0 +1,70 @@
+"""One key, or one group of copies, holding a third of the rows: same results, and the load is spread."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from cardlake.operators import joins, marts
+from cardlake.operators.cleaning import clean_labels
+from cardlake.sinks.days import write_by_situation_date
+
+N = 300_000
+
+
+@pytest.fixture
+def small_partitions(spark):
+    """Thresholds at test size, and no broadcast, as if the tables were large."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.files.maxPartitionBytes": "200k",
+    }
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def skewed(spark, tmp_path):
+    """Transactions of which a third have id 7."""
+    hot = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
+    path = f"{tmp_path}/facts"
+    spark.range(0, N, 1, 8).select(
+        hot.alias("id"), F.concat(F.lit("city "), F.hash("id") % 1000).alias("merchant_city"), F.col("id").alias("row")
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_hot_id_is_split_in_the_label_join(spark, tmp_path, small_partitions):
+    facts = skewed(spark, tmp_path)
+    labels = spark.range(0, N, 1, 8).selectExpr("id", "if(id % 2 = 0, 'Yes', 'No') AS label")
+    joined = joins.label_transactions(facts, labels)
+    assert joined.agg(F.count("*"), F.countDistinct("row")).first() == (N, N)
+    frauds = joined.where("is_fraud = 1")
+    assert frauds.count() == facts.where("id % 2 = 0").count()
+    mart = marts.dm_fraude_detection(joined)
+    assert mart.agg(F.sum("nb_transactions")).first()[0] == N
+    mart.collect()
+    assert "skew=true" in mart._jdf.queryExecution().executedPlan().toString()
+
+
+def test_copies_never_meet_in_one_task(spark, tmp_path):
+    copies = spark.range(0, N, 1, 8).selectExpr("if(id % 3 = 0, '7', cast(id as string)) AS id", "'Yes' AS label")
+    cleaned = clean_labels(copies)
+    assert cleaned.count() == N - N // 3
+    assert cleaned.where("id = 7").count() == 1
+
+
+def test_hot_day_is_written_as_several_files(spark, tmp_path, small_partitions):
+    day = F.when(F.col("id") % 20 == 0, "2025-05-29").otherwise("2025-05-30")
+    rows = spark.range(0, N, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x"), day.alias("situation_date"))
+    write_by_situation_date(rows, f"{tmp_path}/bronze")
+    files = spark.read.parquet(f"{tmp_path}/bronze").inputFiles()
+    hot = [name for name in files if "day=30" in name]
+    assert len(hot) > 4
+    assert spark.read.parquet(f"{tmp_path}/bronze").count() == N
