@@ -10,75 +10,69 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from cardlake.functions.casts import flag, gender_code, money, to_day, to_double, to_int, to_long, to_timestamp
+from cardlake.functions.casts import flag, gender_code, money, typed
 
 
 def clean_transactions(raw: DataFrame) -> DataFrame:
-    return (
-        raw.drop("errors")
-        .withColumns(
-            {
-                "id": to_long("id"),
-                "date": to_timestamp("date"),
-                "client_id": to_long("client_id"),
-                "card_id": to_long("card_id"),
-                "situation_date": to_day("situation_date"),
-                "merchant_id": to_long("merchant_id"),
-                "zip": to_double("zip"),
-                "mcc": to_int("mcc"),
-                "amount": money("amount"),
-            }
-        )
-        .withColumnRenamed("amount", "amount_usd")
-        .dropDuplicates()
-    )
+    types = {
+        "id": "bigint",
+        "date": "timestamp",
+        "client_id": "bigint",
+        "card_id": "bigint",
+        "situation_date": "date",
+        "merchant_id": "bigint",
+        "zip": "double",
+        "mcc": "int",
+    }
+    cleaned = raw.drop("errors").withColumns({**typed(raw, types), "amount": money("amount")})
+    return cleaned.withColumnRenamed("amount", "amount_usd").dropDuplicates()
 
 
 def clean_cards(raw: DataFrame) -> DataFrame:
-    return (
-        raw.withColumns(
-            {
-                "id": to_long("id"),
-                "client_id": to_long("client_id"),
-                "card_number": to_long("card_number"),
-                "cvv": to_int("cvv"),
-                "num_cards_issued": to_int("num_cards_issued"),
-                "year_pin_last_changed": to_int("year_pin_last_changed"),
-                "has_chip": flag("has_chip"),
-                "card_on_dark_web": flag("card_on_dark_web"),
-                "credit_limit": money("credit_limit"),
-            }
-        )
-        .withColumnRenamed("credit_limit", "credit_limit_usd")
-        .dropDuplicates()
+    types = {
+        "id": "bigint",
+        "client_id": "bigint",
+        "card_number": "bigint",
+        "cvv": "int",
+        "num_cards_issued": "int",
+        "year_pin_last_changed": "int",
+    }
+    cleaned = raw.withColumns(
+        {
+            **typed(raw, types),
+            "has_chip": flag("has_chip"),
+            "card_on_dark_web": flag("card_on_dark_web"),
+            "credit_limit": money("credit_limit"),
+        }
     )
+    return cleaned.withColumnRenamed("credit_limit", "credit_limit_usd").dropDuplicates()
 
 
 def clean_users(raw: DataFrame) -> DataFrame:
-    return (
-        raw.withColumns(
-            {
-                "id": to_long("id"),
-                "current_age": to_int("current_age"),
-                "retirement_age": to_int("retirement_age"),
-                "birth_year": to_int("birth_year"),
-                "latitude": to_double("latitude"),
-                "longitude": to_double("longitude"),
-                "gender": gender_code("gender"),
-                "per_capita_income": money("per_capita_income"),
-            }
-        )
-        .withColumnRenamed("per_capita_income", "per_capita_income_usd")
-        .dropDuplicates()
+    types = {
+        "id": "bigint",
+        "current_age": "int",
+        "retirement_age": "int",
+        "birth_year": "int",
+        "latitude": "double",
+        "longitude": "double",
+    }
+    cleaned = raw.withColumns(
+        {
+            **typed(raw, types),
+            "gender": gender_code("gender"),
+            "per_capita_income": money("per_capita_income"),
+        }
     )
+    return cleaned.withColumnRenamed("per_capita_income", "per_capita_income_usd").dropDuplicates()
 
 
 def clean_mcc_codes(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("mcc_code", to_int("mcc_code")).dropDuplicates()
+    return raw.withColumns(typed(raw, {"mcc_code": "int"})).dropDuplicates()
 
 
 def clean_labels(raw: DataFrame) -> DataFrame:
-    return raw.withColumn("id", to_long("id")).dropDuplicates()
+    return raw.withColumns(typed(raw, {"id": "bigint"})).dropDuplicates()
 
 
 CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {

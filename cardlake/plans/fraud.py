@@ -50,16 +50,20 @@ def missing_features(df: DataFrame) -> DataFrame:
     )
 
 
-def prepare_training(base: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test part of the balanced sample.
+def stored_sample(base: DataFrame, seed: int = 42) -> DataFrame:
+    """The balanced sample, stored once on shared storage in evenly sized partitions.
 
-    The sample is stored once on shared storage: the many passes of the training read it from there
-    instead of repeating the joins, and it outlives lost executors.
+    The many passes of the training read it from there instead of repeating the joins, and it outlives
+    lost executors.
     """
     ensure_checkpoint_dir(base.sparkSession)
     columns = ["id", "fraud_label", *NUMERIC, *CATEGORICAL]
-    sample = balanced_sample(base, seed=seed).select(*columns).checkpoint()
-    return train_test_split(sample, seed=seed)
+    return balanced_sample(base, seed=seed).select(*columns).hint("rebalance").checkpoint()
+
+
+def prepare_training(base: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Train and test part of the balanced sample."""
+    return train_test_split(stored_sample(base, seed), seed=seed)
 
 
 def train(

@@ -47,10 +47,11 @@ def read_days(spark: SparkSession, root: str, mode: str = "latest") -> DataFrame
     return spark.read.option("basePath", root).parquet(*days[max(days)])
 
 
-def latest_rows(df: DataFrame, parts: list[str] = DAY_PARTS) -> DataFrame:
-    """Rows of a table's newest partition; finding it reads the partition columns only."""
-    newest = df.where(F.col(parts[0]).isNotNull()).agg(F.max(F.struct(*parts)))
-    return df.where(F.struct(*parts) == newest.scalar())
+def latest_rows(df: DataFrame) -> DataFrame:
+    """Rows of a table's newest day; finding it reads the partition columns only."""
+    year, month, day = map(F.col, DAY_PARTS)
+    number = year * 10_000 + month * 100 + day
+    return df.where(number == df.agg(F.max(number)).scalar())
 
 
 def with_path_days(df: DataFrame) -> DataFrame:

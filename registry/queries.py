@@ -694,7 +694,7 @@ def ml_string_index(spark, sf_dir):
 
 @query(
     "ml_feature_matrix",
-    _SAMPLE + f", indexes AS ({_index_sql('sample')}) SELECT s.id, s.line, s.fraud_label, amount_usd, credit_limit_usd, "
+    _SAMPLE + f", indexes AS ({_index_sql('sample')}) SELECT s.id, s.fraud_label, amount_usd, credit_limit_usd, "
     + ", ".join(
         f"(SELECT idx FROM indexes WHERE name = '{c}' AND value IS NOT DISTINCT FROM CAST(s.{c} AS VARCHAR)) AS {c}_idx"
         for c in fraud.CATEGORICAL
@@ -702,11 +702,11 @@ def ml_string_index(spark, sf_dir):
     + " FROM sample s",
 )
 def ml_feature_matrix(spark, sf_dir):
-    sample = sampling.balanced_sample(_base(spark, sf_dir))
+    sample = fraud.stored_sample(_base(spark, sf_dir))
     features = fraud.assembler().transform(fraud.fit_indexers(sample).transform(sample))
-    vector = features.select("id", "line", "fraud_label", vector_to_array("features").alias("x"))
+    vector = features.select("id", "fraud_label", vector_to_array("features").alias("x"))
     named = [F.col("x")[i].alias(name) for i, name in enumerate(fraud.FEATURES)]
-    return vector.select("id", "line", "fraud_label", *named)
+    return vector.select("id", "fraud_label", *named)
 
 
 @query("ml_gbt_score")

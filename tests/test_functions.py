@@ -33,8 +33,12 @@ def test_longs_hold_card_numbers(spark):
 
 def test_typed_columns_are_accepted_too(spark):
     df = spark.sql("SELECT 3.9D AS d, 5000000000L AS l, timestamp'2020-01-02 03:04:05' AS t")
-    row = df.select(casts.to_int("d"), casts.to_int("l"), casts.to_long("l"), casts.to_timestamp("t")).first()
-    assert tuple(row) == (3, None, 5000000000, datetime(2020, 1, 2, 3, 4, 5))
+    row = df.select(*casts.typed(df, {"d": "int", "l": "int", "t": "timestamp"}).values()).first()
+    assert tuple(row) == (3, None, datetime(2020, 1, 2, 3, 4, 5))
+
+
+def test_doubles(spark):
+    assert applied(spark, ["58523.0", " 1 ", "", "x", None], casts.to_double("v")) == [58523.0, 1.0, None, None, None]
 
 
 def test_money(spark):
