@@ -89,7 +89,8 @@ def run_score(spark, args) -> None:
 
 def run_query(spark, args) -> None:
     adhoc.register_marts({name: spark.read.parquet(f"{args.gold}/{name}") for name in GOLD})
-    log.info("exported to %s", adhoc.run_and_export(spark, args.sql, args.output))
+    _, path = adhoc.run_and_export(spark, args.sql, args.output)
+    log.info("exported to %s", path)
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:

@@ -30,6 +30,7 @@ def run_query(spark: SparkSession, text: str) -> DataFrame:
     return result
 
 
-def run_and_export(spark: SparkSession, text: str, folder: str) -> str:
-    """Run one query, store its result as CSV below ``folder`` and return the folder of the export."""
-    return export_csv(run_query(spark, text), folder)
+def run_and_export(spark: SparkSession, text: str, folder: str) -> tuple[DataFrame, str]:
+    """Run one query and store its result as CSV below ``folder``; returns the result and the export's path."""
+    result = run_query(spark, text)
+    return result, export_csv(result, folder)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.operators.cleaning import CLEANERS
+from cardlake.schemas import DAY_PARTS
 from cardlake.sinks.tables import write_table
 from cardlake.sources.days import read_days
 
@@ -28,6 +29,9 @@ def refresh_entity(
     """Write ``silver.<entity>`` and return its number of rows, counted while they are written."""
     seen = Observation(entity)
     cleaned = build_entity(spark, bronze_root, entity, mode).observe(seen, F.count(F.lit(1)).alias("n_rows"))
+    if mode == "all":
+        # Deduplication leaves every day in every task; gather the days again, else each task writes each day.
+        cleaned = cleaned.hint("rebalance", *DAY_PARTS)
     write_table(
         cleaned,
         f"{database}.{entity}",

@@ -44,6 +44,11 @@ def _md5_bucket(keys: str | list[str], buckets: int, seed: str) -> str:
     return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {columns})), 1, 8) AS BIGINT) % {buckets}"
 
 
+def _own_database(root: str) -> str:
+    """A database name of this run, so that no table of the catalog is replaced."""
+    return "check_" + root.rsplit("-", 1)[1]
+
+
 # ---------------------------------------------------------------- sources
 
 
@@ -407,8 +412,9 @@ def silver_table_roundtrip(spark, sf_dir):
     """Bronze folder to catalog table."""
     root = scratch_dir(spark, "lake")
     write_ingestion_day(bindings.raw_cards(spark, sf_dir), f"{root}/bronze/cards", date(2025, 5, 9))
-    silver.refresh_entity(spark, f"{root}/bronze", f"{root}/silver", "cards")
-    return spark.table("silver.cards")
+    database = _own_database(root)
+    silver.refresh_entity(spark, f"{root}/bronze", f"{root}/silver", "cards", database=database)
+    return spark.table(f"{database}.cards")
 
 
 @query(
@@ -458,10 +464,33 @@ _CLIENT_MART = (
 _CARD_MART = "SELECT card_brand, card_type, count(*) AS nb_cartes FROM cards GROUP BY ALL"
 
 
-def _marts(spark: SparkSession, sf_dir: str, **options) -> dict[str, DataFrame]:
+def _fraud_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.dm_fraude_detection(_labelled(spark, sf_dir))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.label_transactions(typed(spark, sf_dir, "transactions"), typed(spark, sf_dir, "fraud_labels"))
+
+
+def _region_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.dm_transactions_par_region(typed(spark, sf_dir, "transactions"))
+
+
+def _client_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.dm_clients(typed(spark, sf_dir, "users"), typed(spark, sf_dir, "cards"))
+
+
+def _card_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.dm_cartes(typed(spark, sf_dir, "cards"))
+
+
+def _category_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.dm_mcc_categories(typed(spark, sf_dir, "transactions"), typed(spark, sf_dir, "mcc_codes"))
+
+
+def _marts_per_label(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     entities = ("transactions", "fraud_labels", "users", "cards", "mcc_codes")
-    transactions, labels, users, cards, mcc_codes = (typed(spark, sf_dir, name) for name in entities)
-    return gold.build_marts(transactions, labels, users, cards, mcc_codes, **options)
+    return gold.build_marts(*(typed(spark, sf_dir, name) for name in entities), count_per_label=True)
 
 
 @query(
@@ -469,38 +498,37 @@ def _marts(spark: SparkSession, sf_dir: str, **options) -> dict[str, DataFrame]:
     _LABELLED + "SELECT id, line, merchant_city, amount_usd, label, is_fraud FROM labelled",
 )
 def gold_transactions_labeled(spark, sf_dir):
-    labelled = joins.label_transactions(typed(spark, sf_dir, "transactions"), typed(spark, sf_dir, "fraud_labels"))
-    return labelled.select("id", "line", "merchant_city", "amount_usd", "label", "is_fraud")
+    return _labelled(spark, sf_dir).select("id", "line", "merchant_city", "amount_usd", "label", "is_fraud")
 
 
 @query("gold_dm_fraude_detection", _LABELLED + _FRAUD_MART)
 def gold_dm_fraude_detection(spark, sf_dir):
-    return _marts(spark, sf_dir)["dm_fraude_detection"]
+    return _fraud_mart(spark, sf_dir)
 
 
 @query("gold_dm_clients", with_typed("users", "cards") + _CLIENT_MART)
 def gold_dm_clients(spark, sf_dir):
-    return _marts(spark, sf_dir)["dm_clients"]
+    return _client_mart(spark, sf_dir)
 
 
 @query("gold_dm_transactions_par_region", with_typed("transactions") + _REGION_MART.format(facts="transactions"))
 def gold_dm_transactions_par_region(spark, sf_dir):
-    return _marts(spark, sf_dir)["dm_transactions_par_region"]
+    return _region_mart(spark, sf_dir)
 
 
 @query("gold_dm_region_per_label", _LABELLED + _REGION_MART.format(facts="labelled"))
 def gold_dm_region_per_label(spark, sf_dir):
-    return _marts(spark, sf_dir, count_per_label=True)["dm_transactions_par_region"]
+    return _marts_per_label(spark, sf_dir)["dm_transactions_par_region"]
 
 
 @query("gold_dm_cartes", with_typed("cards") + _CARD_MART)
 def gold_dm_cartes(spark, sf_dir):
-    return _marts(spark, sf_dir)["dm_cartes"]
+    return _card_mart(spark, sf_dir)
 
 
 @query("gold_dm_mcc_categories", with_typed("transactions", "mcc_codes") + _CATEGORY_MART.format(facts="transactions"))
 def gold_dm_mcc_categories(spark, sf_dir):
-    return _marts(spark, sf_dir)["dm_mcc_categories"]
+    return _category_mart(spark, sf_dir)
 
 
 @query(
@@ -508,7 +536,7 @@ def gold_dm_mcc_categories(spark, sf_dir):
     _LABELLED + f", mcc_codes AS ({bindings.TYPED['mcc_codes']}) " + _CATEGORY_MART.format(facts="labelled"),
 )
 def gold_dm_categories_per_label(spark, sf_dir):
-    return _marts(spark, sf_dir, count_per_label=True)["dm_mcc_categories"]
+    return _marts_per_label(spark, sf_dir)["dm_mcc_categories"]
 
 
 @query(
@@ -526,9 +554,10 @@ def gold_fraud_mart_from_bronze(spark, sf_dir):
     write_by_situation_date(bindings.raw_transactions(spark, sf_dir), f"{root}/bronze/transactions")
     for entity in ("cards", "users", "mcc_codes", "train_fraud_labels"):
         write_ingestion_day(RAW[entity](spark, sf_dir), f"{root}/bronze/{entity}", date(2025, 5, 30))
-    silver.refresh_silver(spark, f"{root}/bronze", f"{root}/silver")
-    gold.refresh_gold(spark, f"{root}/gold")
-    return spark.table("gold.dm_fraude_detection")
+    database = _own_database(root)
+    silver.refresh_silver(spark, f"{root}/bronze", f"{root}/silver", database=database)
+    gold.refresh_gold(spark, f"{root}/gold", f"{root}/silver", database=database)
+    return spark.table(f"{database}.dm_fraude_detection")
 
 
 _ADHOC = "SELECT card_brand, sum(nb_cartes) AS nb, max(card_type) AS last_type FROM dm_cartes GROUP BY card_brand"
@@ -541,14 +570,15 @@ _ADHOC_ORACLE = (
 
 @query("gold_sql_adhoc", _ADHOC_ORACLE)
 def gold_sql_adhoc(spark, sf_dir):
-    adhoc.register_marts(_marts(spark, sf_dir))
+    adhoc.register_marts({"dm_cartes": _card_mart(spark, sf_dir)})
     return adhoc.run_query(spark, _ADHOC + " ORDER BY nb DESC;")
 
 
 @query("gold_sql_csv_export", f"SELECT card_brand, CAST(nb AS VARCHAR) AS nb, last_type FROM ({_ADHOC_ORACLE})")
 def gold_sql_csv_export(spark, sf_dir):
-    adhoc.register_marts(_marts(spark, sf_dir))
-    return files.read_csv(spark, adhoc.run_and_export(spark, _ADHOC, scratch_dir(spark, "export")))
+    adhoc.register_marts({"dm_cartes": _card_mart(spark, sf_dir)})
+    _, path = adhoc.run_and_export(spark, _ADHOC, scratch_dir(spark, "export"))
+    return files.read_csv(spark, path)
 
 
 # ---------------------------------------------------------------- reports
@@ -560,7 +590,7 @@ def gold_sql_csv_export(spark, sf_dir):
     + f"SELECT * FROM ({_REGION_MART.format(facts='transactions')}) WHERE merchant_state IS NOT NULL",
 )
 def report_state_totals(spark, sf_dir):
-    return reports.state_totals(_marts(spark, sf_dir)["dm_transactions_par_region"])
+    return reports.state_totals(_region_mart(spark, sf_dir))
 
 
 @query(
@@ -569,7 +599,7 @@ def report_state_totals(spark, sf_dir):
     "ORDER BY nb_transactions DESC, merchant_city LIMIT 10",
 )
 def report_top_cities(spark, sf_dir):
-    return reports.top_cities(_marts(spark, sf_dir)["dm_fraude_detection"], 10)
+    return reports.top_cities(_fraud_mart(spark, sf_dir), 10)
 
 
 @query(
@@ -578,7 +608,7 @@ def report_top_cities(spark, sf_dir):
     "count(*) AS nb_transactions, CAST(sum(is_fraud) AS BIGINT) AS nb_frauds FROM labelled GROUP BY 1",
 )
 def report_online_segment(spark, sf_dir):
-    return reports.online_segment(_marts(spark, sf_dir)["dm_fraude_detection"])
+    return reports.online_segment(_fraud_mart(spark, sf_dir))
 
 
 @query(
@@ -588,7 +618,7 @@ def report_online_segment(spark, sf_dir):
     f"FROM ({_CLIENT_MART}) GROUP BY gender",
 )
 def report_credit_by_gender(spark, sf_dir):
-    return reports.credit_by_gender(_marts(spark, sf_dir)["dm_clients"])
+    return reports.credit_by_gender(_client_mart(spark, sf_dir))
 
 
 @query(
@@ -598,7 +628,7 @@ def report_credit_by_gender(spark, sf_dir):
     "ORDER BY nb_trans DESC, description LIMIT 10",
 )
 def report_top_categories(spark, sf_dir):
-    return reports.top_categories(_marts(spark, sf_dir)["dm_mcc_categories"], 10)
+    return reports.top_categories(_category_mart(spark, sf_dir), 10)
 
 
 @query(
@@ -607,7 +637,7 @@ def report_top_categories(spark, sf_dir):
     "GROUP BY card_brand UNION ALL SELECT 'type', card_type, count(*) FROM cards GROUP BY card_type",
 )
 def report_card_mix(spark, sf_dir):
-    return reports.card_mix(_marts(spark, sf_dir)["dm_cartes"])
+    return reports.card_mix(_card_mart(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- fraud model

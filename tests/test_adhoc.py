@@ -61,6 +61,7 @@ def test_unknown_tables_and_repeated_columns(spark, mart):
 
 
 def test_export(spark, mart, tmp_path):
-    path = adhoc.run_and_export(spark, "SELECT card_brand, nb_cartes FROM dm_cartes", str(tmp_path))
+    result, path = adhoc.run_and_export(spark, "SELECT card_brand, nb_cartes FROM dm_cartes", str(tmp_path))
+    assert result.columns == ["card_brand", "nb_cartes"]
     back = spark.read.option("header", True).csv(path)
     assert sorted(tuple(r) for r in back.collect()) == [("Amex", "1"), ("Visa", "3")]

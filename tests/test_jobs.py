@@ -111,6 +111,11 @@ def test_all_days_mode_keeps_every_snapshot(spark, source, tmp_path, rows):
     run(spark, *bronze_arguments(source, bronze))
     everything = silver.build_entity(spark, str(bronze), "transactions", mode="all")
     assert rows(everything, "id", "day") == [(1, 29), (1, 30), (2, 30)]
+    n = silver.refresh_entity(
+        spark, str(bronze), f"{tmp_path}/silver", "transactions", "all", keep_other_days=True, database="every_day"
+    )
+    assert n == 3
+    assert rows(spark.table("every_day.transactions"), "id", "day") == [(1, 29), (1, 30), (2, 30)]
 
 
 def test_missing_bronze_stops_the_job(spark, tmp_path):
