@@ -11,7 +11,6 @@ import logging
 from datetime import date, datetime, timedelta
 from pathlib import Path
 
-from cardlake.operators.joins import feature_base
 from cardlake.operators.sampling import class_balance
 from cardlake.plans import adhoc, bronze, fraud, gold, silver
 from cardlake.schemas import GOLD, SCORING_INPUT
@@ -73,7 +72,7 @@ def run_gold(spark, args) -> None:
 def run_train(spark, args) -> None:
     entities = ("transactions", "train_fraud_labels", "cards", "mcc_codes")
     tables = [gold.read_silver(spark, entity, args.silver) for entity in entities]
-    training, test = fraud.prepare_training(feature_base(*tables))
+    training, test = fraud.prepare_training(*tables)
     balance = {row["fraud_label"]: row["n_rows"] for row in class_balance(training.unionByName(test)).collect()}
     log.info("sample: %s", balance)
     model = fraud.train(training, args.max_iter, args.max_bins, handle_invalid=args.handle_invalid)

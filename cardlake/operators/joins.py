@@ -42,15 +42,17 @@ def describe_categories(df: DataFrame, mcc_codes: DataFrame) -> DataFrame:
     return df.join(codes, F.col("mcc") == F.col("mcc_code"), "left")
 
 
-def labelled_base(
-    transactions: DataFrame, labels: DataFrame, fraud_values: tuple[str, ...] = FRAUD_VALUES
-) -> DataFrame:
+def flag_labels(labels: DataFrame, fraud_values: tuple[str, ...] = FRAUD_VALUES) -> DataFrame:
+    """Labelled ids with ``fraud_label``, 1 or 0."""
+    return labels.select("id", fraud_flag("label", fraud_values).alias("fraud_label"))
+
+
+def labelled_base(transactions: DataFrame, flagged: DataFrame) -> DataFrame:
     """Labelled transactions with ``fraud_label``.
 
     Keeping the labelled ids and then joining the labels is one inner join, so the fact is shuffled once.
     """
-    known = labels.select("id", fraud_flag("label", fraud_values).alias("fraud_label"))
-    return transactions.join(known, "id")
+    return transactions.join(flagged, "id")
 
 
 def add_card_features(df: DataFrame, cards: DataFrame) -> DataFrame:
@@ -66,12 +68,11 @@ def add_card_features(df: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def feature_base(
-    transactions: DataFrame,
-    labels: DataFrame,
-    cards: DataFrame,
-    mcc_codes: DataFrame,
-    fraud_values: tuple[str, ...] = FRAUD_VALUES,
+    transactions: DataFrame, flagged: DataFrame, cards: DataFrame, mcc_codes: DataFrame
 ) -> DataFrame:
-    """Labelled transactions with the features of their card and category."""
-    base = labelled_base(transactions, labels, fraud_values)
+    """Labelled transactions with the features of their card and category.
+
+    Give it a sample of the flagged labels to join only the sampled transactions.
+    """
+    base = labelled_base(transactions, flagged)
     return base.transform(add_card_features, cards).transform(describe_categories, mcc_codes)

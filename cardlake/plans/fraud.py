@@ -10,8 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardlake.operators.joins import FRAUD_VALUES, feature_base, flag_labels
 from cardlake.operators.sampling import balanced_sample, train_test_split
-from cardlake.session import ensure_checkpoint_dir
+from cardlake.session import ensure_checkpoint_dir, scratch_dir
 
 CATEGORICAL = ["merchant_state", "card_brand", "card_type", "has_chip", "description"]
 NUMERIC = ["amount_usd", "credit_limit_usd"]
@@ -50,20 +51,44 @@ def missing_features(df: DataFrame) -> DataFrame:
     )
 
 
-def stored_sample(base: DataFrame, seed: int = 42) -> DataFrame:
-    """The balanced sample, stored once on shared storage in evenly sized partitions.
+def training_rows(
+    transactions: DataFrame,
+    labels: DataFrame,
+    cards: DataFrame,
+    mcc_codes: DataFrame,
+    fraud_values: tuple[str, ...] = FRAUD_VALUES,
+    seed: int = 42,
+) -> DataFrame:
+    """The balanced sample with its features.
+
+    Whether a row is in the sample depends on its label and id only, so the labels are sampled
+    and all later joins are a tenth as large.
+    """
+    sampled = balanced_sample(flag_labels(labels, fraud_values), seed=seed)
+    base = feature_base(transactions, sampled, cards, mcc_codes)
+    return base.select("id", "fraud_label", *NUMERIC, *CATEGORICAL)
+
+
+def store(rows: DataFrame) -> DataFrame:
+    """The rows written to and read from shared storage.
 
-    The many passes of the training read it from there instead of repeating the joins, and it outlives
-    lost executors.
+    The many passes of the training read them from there instead of repeating the joins, and they
+    outlive lost executors. A sample of few blocks is spread over all cores.
     """
-    ensure_checkpoint_dir(base.sparkSession)
-    columns = ["id", "fraud_label", *NUMERIC, *CATEGORICAL]
-    return balanced_sample(base, seed=seed).select(*columns).hint("rebalance").checkpoint()
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "training")
+    rows.write.mode("overwrite").parquet(path)
+    stored = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return stored.repartition(cores) if stored.rdd.getNumPartitions() < cores else stored
 
 
-def prepare_training(base: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def prepare_training(
+    transactions: DataFrame, labels: DataFrame, cards: DataFrame, mcc_codes: DataFrame, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
     """Train and test part of the balanced sample."""
-    return train_test_split(stored_sample(base, seed), seed=seed)
+    rows = training_rows(transactions, labels, cards, mcc_codes, seed=seed)
+    return train_test_split(store(rows), seed=seed)
 
 
 def train(
@@ -76,6 +101,8 @@ def train(
     """Fit indexers, assembler and boosted trees; ``max_bins`` grows with the widest category if needed."""
     if training.isEmpty():
         raise ValueError("the training set is empty; check the labels and the sample")
+    # With a checkpoint folder the boosting cuts its lineage every few rounds.
+    ensure_checkpoint_dir(training.sparkSession)
     indexers = fit_indexers(training)
     widest = max(len(labels) for labels in indexers.labelsArray) + 1
     classifier = GBTClassifier(

@@ -658,8 +658,12 @@ _BASE_COLUMNS = [
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entities = ("transactions", "fraud_labels", "cards", "mcc_groups")
-    return joins.feature_base(*(typed(spark, sf_dir, name) for name in entities)).select(*_BASE_COLUMNS)
+    transactions, labels, cards, groups = _model_entities(spark, sf_dir)
+    return joins.feature_base(transactions, joins.flag_labels(labels), cards, groups).select(*_BASE_COLUMNS)
+
+
+def _model_entities(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [typed(spark, sf_dir, name) for name in ("transactions", "fraud_labels", "cards", "mcc_groups")]
 
 
 @query(
@@ -679,7 +683,8 @@ def ml_labeled_base(spark, sf_dir):
 
 @query("ml_class_balance", _BASE + "SELECT fraud_label, count(*) AS n_rows FROM base GROUP BY fraud_label")
 def ml_class_balance(spark, sf_dir):
-    labelled = joins.labelled_base(typed(spark, sf_dir, "transactions"), typed(spark, sf_dir, "fraud_labels"))
+    flagged = joins.flag_labels(typed(spark, sf_dir, "fraud_labels"))
+    labelled = joins.labelled_base(typed(spark, sf_dir, "transactions"), flagged)
     return sampling.class_balance(labelled)
 
 
@@ -732,7 +737,7 @@ def ml_string_index(spark, sf_dir):
     + " FROM sample s",
 )
 def ml_feature_matrix(spark, sf_dir):
-    sample = fraud.stored_sample(_base(spark, sf_dir))
+    sample = fraud.store(fraud.training_rows(*_model_entities(spark, sf_dir)))
     features = fraud.assembler().transform(fraud.fit_indexers(sample).transform(sample))
     vector = features.select("id", "fraud_label", vector_to_array("features").alias("x"))
     named = [F.col("x")[i].alias(name) for i, name in enumerate(fraud.FEATURES)]
@@ -742,7 +747,7 @@ def ml_feature_matrix(spark, sf_dir):
 @query("ml_gbt_score")
 def ml_gbt_score(spark, sf_dir):
     """Scores of the test part by a model trained on the train part."""
-    training, test = fraud.prepare_training(_base(spark, sf_dir))
+    training, test = fraud.prepare_training(*_model_entities(spark, sf_dir))
     scored = fraud.score(fraud.train(training), test)
     return scored.select("id", "amount_usd", "fraud_label", "prediction", "fraud_probability")
 

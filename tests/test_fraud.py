@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cardlake.operators.sampling import train_test_split
+from cardlake.operators import joins
+from cardlake.operators.sampling import balanced_sample, train_test_split
 from cardlake.plans import fraud
 from cardlake.schemas import SCORING_INPUT
 
@@ -116,7 +117,21 @@ def test_auc_is_exact(spark, levels):
     assert fraud.area_under_roc(df, "score") == pytest.approx(brute_auc(pairs), abs=1e-12)
 
 
-def test_training_sample_is_checkpointed(base):
-    train, test = fraud.prepare_training(base)
-    assert "ExistingRDD" in train._jdf.queryExecution().executedPlan().toString()
-    assert train.where("fraud_label = 1").count() + test.where("fraud_label = 1").count() == 750
+def test_training_rows_are_the_sampled_base(spark):
+    transactions = spark.range(5000).selectExpr(
+        "id", "id % 9 AS card_id", "cast(id as double) AS amount_usd", "'NY' AS merchant_state", "cast(id % 3 as int) AS mcc"
+    )
+    labels = spark.range(6000).selectExpr("id", "if(id % 20 = 0, 'Yes', 'No') AS label")
+    cards = spark.range(9).selectExpr(
+        "id", "'Visa' AS card_brand", "'Debit' AS card_type", "true AS has_chip", "1.0D AS credit_limit_usd"
+    )
+    codes = spark.range(2).selectExpr("cast(id as int) AS mcc_code", "concat('c', id) AS description")
+    rows = fraud.training_rows(transactions, labels, cards, codes)
+    late = balanced_sample(joins.feature_base(transactions, joins.flag_labels(labels), cards, codes)).select(*rows.columns)
+    assert rows.exceptAll(late).isEmpty() and late.exceptAll(rows).isEmpty()
+
+    train, test = fraud.prepare_training(transactions, labels, cards, codes)
+    assert train.unionByName(test).exceptAll(rows).isEmpty()
+    assert train.count() + test.count() == rows.count()
+    assert "Join" not in train._jdf.queryExecution().executedPlan().toString()
+    assert train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

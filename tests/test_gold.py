@@ -112,13 +112,13 @@ def test_labelled_base_equals_semi_join_then_left_join(entities, rows):
     kept = joins.keep_labelled(transactions, labels)
     assert rows(kept, "id") == [(1,), (2,), (3,)]
     slow = joins.label_transactions(kept, labels).withColumnRenamed("is_fraud", "fraud_label").drop("label")
-    fast = joins.labelled_base(transactions, labels)
+    fast = joins.labelled_base(transactions, joins.flag_labels(labels))
     assert rows(fast, *slow.columns) == rows(slow)
 
 
 def test_feature_base(entities, rows):
     base = joins.feature_base(
-        entities["transactions"], entities["labels"], entities["cards"], entities["mcc_codes"]
+        entities["transactions"], joins.flag_labels(entities["labels"]), entities["cards"], entities["mcc_codes"]
     )
     assert rows(base, "id", "card_brand", "has_chip", "credit_limit_usd", "description", "fraud_label") == [
         (1, "Visa", 1, 1000.0, "Eating", 1),
