@@ -153,7 +153,8 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def main(argv: list[str] | None = None) -> None:
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s - %(levelname)s - %(message)s")
+    logging.basicConfig(level=logging.WARNING, format="%(asctime)s - %(levelname)s - %(message)s")
+    log.setLevel(logging.INFO)
     args = parse(argv)
     conf = {"spark.sql.shuffle.partitions": args.shuffle_partitions} if args.shuffle_partitions else {}
     spark = build_session(f"cardlake-{args.job}", conf, args.hive)

@@ -27,8 +27,14 @@ def to_long(name: str) -> Column:
     return _whole(name, "bigint")
 
 
+def _decimal_number(text: Column) -> Column:
+    """Double of a decimal text; words that Java reads as numbers (NaN, 1d) are null."""
+    is_number = text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
+    return F.when(is_number, text).try_cast("double")
+
+
 def to_double(name: str) -> Column:
-    return F.nullif(F.trim(F.col(name)), F.lit("")).try_cast("double")
+    return _decimal_number(F.col(name))
 
 
 def to_timestamp(name: str) -> Column:
@@ -54,7 +60,7 @@ def typed(df: DataFrame, types: dict[str, str]) -> dict[str, Column]:
 
 def money(name: str) -> Column:
     """``$-1,234.50`` as -1234.5."""
-    return F.nullif(F.trim(F.translate(F.col(name), "$,", "")), F.lit("")).try_cast("double")
+    return _decimal_number(F.translate(F.col(name), "$,", ""))
 
 
 def exact_money_sum(name: str) -> Column:

@@ -42,6 +42,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(_shared_dir(spark))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The full URI of a path; the catalog would place a relative one below its warehouse."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder on shared storage for intermediate files, deleted when the session's JVM ends."""
     path = f"{_shared_dir(spark)}/cardlake-{label}-{uuid.uuid4().hex}"

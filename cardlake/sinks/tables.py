@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from cardlake.schemas import DAY_PARTS
+from cardlake.session import qualified
 
 
 def write_table(
@@ -22,7 +23,8 @@ def write_table(
     joined on that key without a shuffle; leave it off where one key may hold much of the data.
     """
     spark = df.sparkSession
-    database, folder = table.split(".")[0], path.rstrip("/").rsplit("/", 1)[0]
+    path = qualified(spark, path)
+    database, folder = table.split(".")[0], path.rsplit("/", 1)[0]
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
     if keep_other_days and spark.catalog.tableExists(table):
         _replace_days(df.select(*spark.table(table).columns), table)

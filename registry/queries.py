@@ -103,10 +103,11 @@ def src_json_code_map(spark, sf_dir):
         F.lit('"'), F.col("s_suppkey").cast("string"), F.lit('": "old", "'), F.col("s_suppkey").cast("string"),
         F.lit('": '), value,
     )
-    # The files are grouped by nation, so that each holds an object of many codes.
-    objects = suppliers.groupBy("s_nationkey").agg(F.concat_ws(", ", F.collect_list(entry)).alias("entries"))
-    objects = objects.select(F.concat(F.lit("{"), "entries", F.lit("}")).alias("value"), "s_nationkey")
-    objects.write.mode("overwrite").partitionBy("s_nationkey").text(path)
+    # An object of at most 500 codes per file.
+    block = F.floor(F.col("s_suppkey") / 500).alias("block")
+    objects = suppliers.groupBy(block).agg(F.concat_ws(", ", F.collect_list(entry)).alias("entries"))
+    objects = objects.select(F.concat(F.lit("{"), "entries", F.lit("}")).alias("value"), "block")
+    objects.write.mode("overwrite").partitionBy("block").text(path)
     return files.read_code_map(spark, path)
 
 

@@ -38,7 +38,8 @@ def test_typed_columns_are_accepted_too(spark):
 
 
 def test_doubles(spark):
-    assert applied(spark, ["58523.0", " 1 ", "", "x", None], casts.to_double("v")) == [58523.0, 1.0, None, None, None]
+    values = ["58523.0", " 1 ", "-.5", "2.", "1e3", "", "x", "NaN", "1d", "1.2.3", None]
+    assert applied(spark, values, casts.to_double("v")) == [58523.0, 1.0, -0.5, 2.0, 1000.0] + [None] * 6
 
 
 def test_money(spark):

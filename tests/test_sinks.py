@@ -1,4 +1,6 @@
+import os
 from datetime import date, datetime
+from pathlib import Path
 from unittest import mock
 
 from pyspark.sql import DataFrame, DataFrameWriter
@@ -59,6 +61,13 @@ def test_table_holds_one_snapshot_by_default(spark, tmp_path, rows):
     assert rows(spark.read.parquet(path)) == [(3, 2025, 5, 9)]
 
 
+def test_relative_path_is_not_put_below_the_warehouse(spark, tmp_path, rows):
+    where = Path(spark._jvm.java.io.File("").getAbsolutePath())
+    relative = os.path.relpath(tmp_path / "t", where)
+    write_table(day_frame(spark, 8, [1]), "sink_d.t", relative)
+    assert rows(spark.read.parquet(f"{tmp_path}/t"), "id") == [(1,)]
+
+
 def test_table_can_keep_other_days(spark, tmp_path, rows):
     path = f"{tmp_path}/t"
     write_table(day_frame(spark, 8, [1, 2]), "sink_b.t", path, keep_other_days=True)
