@@ -59,7 +59,8 @@ def run_bronze(spark, args) -> None:
 
 
 def run_silver(spark, args) -> None:
-    log.info("rows written: %s", silver.refresh_silver(spark, args.bronze, args.silver, args.mode))
+    counts = silver.refresh_silver(spark, args.bronze, args.silver, args.mode, args.keep_other_days)
+    log.info("rows written: %s", counts)
 
 
 def run_gold(spark, args) -> None:
@@ -126,6 +127,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     clean.add_argument("--bronze", required=True)
     clean.add_argument("--silver", required=True)
     clean.add_argument("--mode", choices=("latest", "all"), default="latest")
+    clean.add_argument("--keep-other-days", action="store_true", help="replace only the days that are written")
 
     mart = job("gold", run_gold)
     mart.add_argument("--gold", required=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cardlake.operators.cleaning import CLEANERS
 from cardlake.schemas import DAY_PARTS
-from cardlake.sinks.tables import write_table
+from cardlake.sinks.tables import replace_days, write_table
 from cardlake.sources.days import read_days
 
 
@@ -32,21 +32,24 @@ def refresh_entity(
     if mode == "all":
         # Deduplication leaves every day in every task; gather the days again, else each task writes each day.
         cleaned = cleaned.hint("rebalance", *DAY_PARTS)
-    write_table(
-        cleaned,
-        f"{database}.{entity}",
-        f"{silver_root}/{entity}",
-        keep_other_days=keep_other_days,
-        bucket_by=bucket_by,
-    )
+    table, path = f"{database}.{entity}", f"{silver_root}/{entity}"
+    if keep_other_days:
+        replace_days(cleaned, table, path)
+    else:
+        write_table(cleaned, table, path, bucket_by=bucket_by)
     return seen.get["n_rows"]
 
 
 def refresh_silver(
-    spark: SparkSession, bronze_root: str, silver_root: str, mode: str = "latest", database: str = "silver"
+    spark: SparkSession,
+    bronze_root: str,
+    silver_root: str,
+    mode: str = "latest",
+    keep_other_days: bool = False,
+    database: str = "silver",
 ) -> dict[str, int]:
     """Refresh every entity; the first failure stops the job."""
     return {
-        entity: refresh_entity(spark, bronze_root, silver_root, entity, mode, database=database)
+        entity: refresh_entity(spark, bronze_root, silver_root, entity, mode, keep_other_days, database)
         for entity in CLEANERS
     }

@@ -13,22 +13,14 @@ def write_table(
     table: str,
     path: str,
     partition_by: list[str] | None = DAY_PARTS,
-    keep_other_days: bool = False,
     bucket_by: tuple[str, int] | None = None,
 ) -> None:
-    """Write ``df`` as the table ``database.name`` stored at ``path``.
+    """Write ``df`` as the table ``database.name`` stored at ``path``; the table then holds only this frame.
 
-    By default the table afterwards holds only this frame. ``keep_other_days`` replaces just the
-    frame's partitions. ``bucket_by=("id", n)`` stores transactions and labels so that they can be
-    joined on that key without a shuffle; leave it off where one key may hold much of the data.
+    ``bucket_by=("id", n)`` stores transactions and labels so that they can be joined on that key
+    without a shuffle; leave it off where one key may hold much of the data.
     """
-    spark = df.sparkSession
-    path = qualified(spark, path)
-    database, folder = table.split(".")[0], path.rsplit("/", 1)[0]
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
-    if keep_other_days and spark.catalog.tableExists(table):
-        _replace_days(df.select(*spark.table(table).columns), table)
-        return
+    path = _prepare(df, table, path)
     writer = df.write.mode("overwrite").format("parquet").option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -37,12 +29,24 @@ def write_table(
     writer.saveAsTable(table)
 
 
-def _replace_days(df: DataFrame, table: str) -> None:
-    # insertInto takes the overwrite mode from the session only, not from an option.
-    conf, key = df.sparkSession.conf, "spark.sql.sources.partitionOverwriteMode"
-    before = conf.get(key)
-    conf.set(key, "dynamic")
-    try:
-        df.write.insertInto(table, overwrite=True)
-    finally:
-        conf.set(key, before)
+def replace_days(df: DataFrame, table: str, path: str) -> None:
+    """Write the days in ``df`` and leave all other days of the table as they are.
+
+    The files decide which days there are, so this also works from a new session whose catalog
+    does not know the table yet.
+    """
+    path = _prepare(df, table, path)
+    spark = df.sparkSession
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*DAY_PARTS).parquet(path)
+    if not spark.catalog.tableExists(table):
+        spark.catalog.createTable(table, path=path, source="parquet")
+    spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
+
+
+def _prepare(df: DataFrame, table: str, path: str) -> str:
+    """Create the table's database and return the full URI of its folder."""
+    path = qualified(df.sparkSession, path)
+    database, folder = table.split(".")[0], path.rsplit("/", 1)[0]
+    df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
+    return path

@@ -6,9 +6,9 @@ the same rows as unclean text, the way Bronze holds them; the SQL side states wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
 
-TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+from pyspark.sql import DataFrame, SparkSession
 
 _CITY = "CASE WHEN l_returnflag = 'N' THEN 'ONLINE' ELSE concat('City ', CAST(l_suppkey % 50 AS STRING)) END"
 _STATE = "CASE WHEN l_returnflag <> 'N' THEN concat('S', CAST(l_suppkey % 20 AS STRING)) END"
@@ -55,9 +55,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    for name in TABLES:
-        if name in text:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    for name in set(re.findall(r"(?:FROM|JOIN) (\w+)", text)):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(text)
 
 

@@ -17,7 +17,6 @@ from cardlake.operators.cleaning import CLEANERS
 from cardlake.plans import adhoc, fraud, gold, silver
 from cardlake.session import scratch_dir
 from cardlake.sinks.days import write_by_situation_date, write_ingestion_day
-from cardlake.sinks.tables import write_table
 from cardlake.sources import days, files, relational, snapshots
 from registry import bindings
 from registry.bindings import RAW, table, typed, with_typed

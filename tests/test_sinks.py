@@ -3,11 +3,12 @@ from datetime import date, datetime
 from pathlib import Path
 from unittest import mock
 
+import pytest
 from pyspark.sql import DataFrame, DataFrameWriter
 
 from cardlake.sinks import exports, relational
 from cardlake.sinks.days import write_by_situation_date, write_ingestion_day
-from cardlake.sinks.tables import write_table
+from cardlake.sinks.tables import replace_days, write_table
 from cardlake.sources import days
 
 SCHEMA = "id int, situation_date string"
@@ -68,16 +69,27 @@ def test_relative_path_is_not_put_below_the_warehouse(spark, tmp_path, rows):
     assert rows(spark.read.parquet(f"{tmp_path}/t"), "id") == [(1,)]
 
 
-def test_table_can_keep_other_days(spark, tmp_path, rows):
-    path = f"{tmp_path}/t"
-    write_table(day_frame(spark, 8, [1, 2]), "sink_b.t", path, keep_other_days=True)
-    write_table(day_frame(spark, 9, [3]), "sink_b.t", path, keep_other_days=True)
-    write_table(day_frame(spark, 9, [4]), "sink_b.t", path, keep_other_days=True)
+@pytest.mark.parametrize("known_table", [True, False])
+def test_single_days_are_replaced(spark, tmp_path, rows, known_table):
+    path, table = f"{tmp_path}/t", f"sink_b.t_{known_table}"
+    for day, ids in ((8, [1, 2]), (9, [3]), (9, [4])):
+        replace_days(day_frame(spark, day, ids), table, path)
+        if not known_table:
+            spark.sql(f"DROP TABLE {table}")
+    if not known_table:
+        replace_days(day_frame(spark, 9, [4]), table, path)
     expected = [(1, 2025, 5, 8), (2, 2025, 5, 8), (4, 2025, 5, 9)]
-    assert rows(spark.table("sink_b.t")) == expected
+    assert rows(spark.table(table)) == expected
     assert rows(spark.read.parquet(path)) == expected
 
 
+def test_days_can_be_added_to_a_snapshot_table(spark, tmp_path, rows):
+    path = f"{tmp_path}/t"
+    write_table(day_frame(spark, 8, [1, 2]), "sink_e.t", path)
+    replace_days(day_frame(spark, 9, [3]), "sink_e.t", path)
+    assert rows(spark.table("sink_e.t"), "id") == [(1,), (2,), (3,)]
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
     for name in ("facts", "labels"):
         frame = spark.range(1000).selectExpr("id", f"'{name}' AS {name}")

@@ -2,7 +2,6 @@ import json
 from unittest import mock
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
