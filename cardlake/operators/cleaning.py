@@ -28,7 +28,8 @@ def clean_transactions(raw: DataFrame) -> DataFrame:
     return cleaned.withColumnRenamed("amount", "amount_usd").dropDuplicates()
 
 
-def clean_cards(raw: DataFrame) -> DataFrame:
+def clean_cards(raw: DataFrame, exact_case: bool = False) -> DataFrame:
+    """``exact_case`` reads the flags only as YES/NO (chip) and Yes/No (dark web)."""
     types = {
         "id": "bigint",
         "client_id": "bigint",
@@ -40,15 +41,16 @@ def clean_cards(raw: DataFrame) -> DataFrame:
     cleaned = raw.withColumns(
         {
             **typed(raw, types),
-            "has_chip": flag("has_chip"),
-            "card_on_dark_web": flag("card_on_dark_web"),
+            "has_chip": flag("has_chip", "YES", "NO", exact_case),
+            "card_on_dark_web": flag("card_on_dark_web", "Yes", "No", exact_case),
             "credit_limit": money("credit_limit"),
         }
     )
     return cleaned.withColumnRenamed("credit_limit", "credit_limit_usd").dropDuplicates()
 
 
-def clean_users(raw: DataFrame) -> DataFrame:
+def clean_users(raw: DataFrame, exact_case: bool = False) -> DataFrame:
+    """``exact_case`` reads the gender only as Male/Female."""
     types = {
         "id": "bigint",
         "current_age": "int",
@@ -60,7 +62,7 @@ def clean_users(raw: DataFrame) -> DataFrame:
     cleaned = raw.withColumns(
         {
             **typed(raw, types),
-            "gender": gender_code("gender"),
+            "gender": gender_code("gender", exact_case),
             "per_capita_income": money("per_capita_income"),
         }
     )

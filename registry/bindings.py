@@ -27,7 +27,7 @@ TYPED = {
         SELECT o_orderkey AS id, '1' AS label
         FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 100 = 7""",
     "cards": """
-        SELECT p_partkey AS id, p_partkey % 1700 AS client_id, p_brand AS card_brand, p_type AS card_type,
+        SELECT p_partkey AS id, p_partkey - p_partkey % 2 AS client_id, p_brand AS card_brand, p_type AS card_type,
                p_retailprice AS credit_limit_usd, p_size % 2 = 0 AS has_chip
         FROM part""",
     "users": """
@@ -102,7 +102,7 @@ def raw_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def rows(card_id: str, condition: str) -> str:
         return f"""
-            SELECT {card_id} AS id, CAST(p_partkey % 1700 AS STRING) AS client_id, p_brand AS card_brand,
+            SELECT {card_id} AS id, CAST(p_partkey - p_partkey % 2 AS STRING) AS client_id, p_brand AS card_brand,
                    p_type AS card_type, CAST(4000000000000000 + p_partkey AS STRING) AS card_number,
                    CAST(100 + p_size AS STRING) AS cvv,
                    CASE p_size % 4 WHEN 0 THEN 'YES' WHEN 1 THEN 'NO' WHEN 2 THEN 'yes' ELSE '?' END AS has_chip,
@@ -117,7 +117,7 @@ def raw_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLEAN_CARDS = """
-    SELECT p_partkey AS id, p_partkey % 1700 AS client_id, p_brand AS card_brand, p_type AS card_type,
+    SELECT p_partkey AS id, p_partkey - p_partkey % 2 AS client_id, p_brand AS card_brand, p_type AS card_type,
            4000000000000000 + p_partkey AS card_number, CAST(100 + p_size AS INTEGER) AS cvv,
            CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS has_chip,
            CAST(p_size % 3 + 1 AS INTEGER) AS num_cards_issued, p_retailprice AS credit_limit_usd,

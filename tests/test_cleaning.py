@@ -3,7 +3,7 @@ from datetime import date, datetime
 import pytest
 
 from cardlake.functions.dates import with_day_parts
-from cardlake.operators.cleaning import CLEANERS
+from cardlake.operators.cleaning import CLEANERS, clean_cards
 from cardlake.schemas import SILVER
 
 TRANSACTIONS = (
@@ -69,12 +69,15 @@ def test_cards(spark, rows):
     def card(number, chip, dark):
         return (number, "825", "Visa", "Debit", "4344676511950444", "623", chip, "2", "$24,295", "2008", dark)
 
-    cleaned = clean(
-        spark,
-        "cards",
-        [card("1", "YES", "No"), card("01", "YES", "No"), card("2", "NO", "Yes"), card("3", "yes", "?")],
-        schema,
-    )
+    given = [card("1", "YES", "No"), card("01", "YES", "No"), card("2", "NO", "Yes"), card("3", "yes", "?")]
+    cleaned = clean(spark, "cards", given, schema)
+    exact = clean_cards(spark.createDataFrame(given + [card("4", "No", "NO")], schema), exact_case=True)
+    assert rows(exact, "id", "has_chip", "card_on_dark_web") == [
+        (1, True, False),
+        (2, False, True),
+        (3, None, None),
+        (4, None, None),
+    ]
     assert rows(cleaned, "id", "card_number", "has_chip", "card_on_dark_web", "credit_limit_usd", "cvv") == [
         (1, 4344676511950444, True, False, 24295.0, 623),
         (2, 4344676511950444, False, True, 24295.0, 623),
