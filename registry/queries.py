@@ -37,10 +37,15 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _md5_bucket(keys: str | list[str], buckets: int, seed: str) -> str:
-    """DuckDB text of ``hash_bucket``."""
+def _md5_number(keys: str | list[str], seed: str) -> str:
+    """DuckDB text of ``hash_number``."""
     columns = ", ".join(f"CAST({key} AS VARCHAR)" for key in ([keys] if isinstance(keys, str) else keys))
-    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {columns})), 1, 8) AS BIGINT) % {buckets}"
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {columns})), 1, 8) AS BIGINT)"
+
+
+def _md5_bucket(key: str, buckets: int, seed: str) -> str:
+    """DuckDB text of ``hash_bucket``."""
+    return f"{_md5_number(key, seed)} % {buckets}"
 
 
 def _own_database(root: str) -> str:
@@ -178,7 +183,13 @@ def src_range_predicates(spark, sf_dir):
     return rows.groupBy("range_no").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("sum_id"))
 
 
-_HALF = f"SELECT o_orderkey, o_orderpriority FROM orders WHERE {_md5_bucket(['o_orderkey', 'o_orderpriority'], 2, 'half')} = 0"
+_HALF = f"""
+    SELECT o_orderkey, o_orderpriority FROM (
+        SELECT o_orderkey, o_orderpriority,
+               row_number() OVER (ORDER BY {_md5_number(["o_orderkey", "o_orderpriority"], "half")},
+                                           o_orderkey, o_orderpriority) AS position
+        FROM orders)
+    WHERE position <= (SELECT count(*) // 2 FROM orders)"""
 
 
 @query("src_half_snapshot", _HALF)

@@ -135,7 +135,7 @@ def test_source_is_filled_with_two_snapshots(spark, tmp_path):
         run(spark, "load-source", "--csv", tmp_path / "t.csv", "--jdbc-url", "jdbc:x",
             "--jdbc-properties", tmp_path / "jdbc.json", "--schema", "id int, amount string")
     (_, first_mode, first_rows, _), second = writes
-    assert first_mode == "overwrite" and 60 < first_rows < 140
+    assert first_mode == "overwrite" and first_rows == 100
     assert second == ("transactions", "append", 200, 1)
 
 

@@ -190,19 +190,43 @@ def test_path_days_need_no_partition_discovery(spark, tmp_path, rows):
     assert rows(days.with_path_days(df)) == [(0, 2025, 5, 9)]
 
 
-def test_half_snapshot_is_stable_and_halves_a_busy_id(spark):
-    df = spark.range(30_000).select(F.when(F.col("id") < 10_000, 7).otherwise(F.col("id")).alias("id"), F.col("id").alias("row"))
+def test_half_snapshot_is_exact_and_stable(spark):
+    df = spark.range(30_001).select(F.when(F.col("id") < 10_000, 7).otherwise(F.col("id")).alias("id"), F.col("id").alias("row"))
     half = snapshots.half_snapshot(df)
+    assert half.count() == 15_000
     assert half.exceptAll(snapshots.half_snapshot(df.repartition(5))).isEmpty()
-    assert abs(half.count() - 15_000) < 500
+    assert half.exceptAll(df).isEmpty()
     assert abs(half.where("id = 7").count() - 5_000) < 300
 
 
+@pytest.mark.parametrize("copies", [0, 9_999, 20_000])
+def test_half_snapshot_of_many_copies(spark, copies):
+    df = spark.range(30_000).select(F.when(F.col("id") < copies, -1).otherwise(F.col("id")).alias("id"), F.lit(None).cast("string").alias("x"))
+    half = snapshots.half_snapshot(df)
+    assert half.columns == df.columns
+    assert half.count() == 15_000
+    assert half.exceptAll(df).isEmpty()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_half_snapshot_of_few_rows(spark, n):
+    assert snapshots.half_snapshot(spark.range(n)).count() == n // 2
+
+
+def test_first_rows_takes_copies_in_blocks(spark, rows, monkeypatch):
+    monkeypatch.setattr(snapshots, "_BLOCK", 10)
+    tied = spark.createDataFrame([("a", None)] * 3 + [("b", 1)] * 45 + [("c", 1)] * 5, "k string, v int")
+    for n, expected in ((2, (2, 0, 0)), (3, (3, 0, 0)), (40, (3, 37, 0)), (50, (3, 45, 2)), (53, (3, 45, 5))):
+        taken = snapshots._first_rows(tied, n).groupBy("k").count().collect()
+        found = {row["k"]: row["count"] for row in taken}
+        assert tuple(found.get(k, 0) for k in "abc") == expected
+
+
 def test_stacked_snapshots(spark, rows):
     df = spark.range(1000)
     stacked = snapshots.stack_snapshots(df, "2025-05-29 08:00:00", "2025-05-30 08:00:00")
     per_day = {r["situation_date"]: r["count"] for r in stacked.groupBy("situation_date").count().collect()}
     assert per_day["2025-05-30 08:00:00"] == 1000
-    assert 400 < per_day["2025-05-29 08:00:00"] < 600
+    assert per_day["2025-05-29 08:00:00"] == 500
     first = stacked.where("situation_date < '2025-05-30'").select("id")
     assert first.exceptAll(snapshots.half_snapshot(df)).isEmpty()
