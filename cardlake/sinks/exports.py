@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def export_csv(df: DataFrame, folder: str, now: datetime | None = None) -> str:
-    """Write ``df`` with header lines into a new time-stamped folder and return its path."""
+    """Write ``df`` into a new time-stamped folder of CSV parts, each with a header line; returns its path.
+
+    Quotes inside values are doubled, as spreadsheets and other CSV readers expect.
+    """
     path = f"{folder.rstrip('/')}/query_{now or datetime.now():%Y-%m-%d_%H-%M-%S}"
-    df.write.option("header", True).csv(path)
+    df.write.option("header", True).option("escape", '"').csv(path)
     return path

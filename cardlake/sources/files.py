@@ -29,7 +29,10 @@ def explode_json_map(df: DataFrame, source: str, key: str, value: str, keep: tup
         later = F.slice(entries, position + 2, F.size(entries))
         return ~F.exists(later, lambda other: other["key"] == entry["key"])
 
-    rows = parsed.select(*keep, F.explode(F.filter(entries, is_last)).alias("_entry"))
+    # Comparing every entry with all later ones is quadratic, so only objects with repeated keys pay for it.
+    has_repeats = F.size(F.array_distinct(F.col("_entries.key"))) < F.size(entries)
+    last = F.when(has_repeats, F.filter(entries, is_last)).otherwise(entries)
+    rows = parsed.select(*keep, F.explode(last).alias("_entry"))
     return rows.select(*keep, F.col("_entry.key").alias(key), F.col("_entry.value").alias(value))
 
 

@@ -1,3 +1,4 @@
+import csv
 import os
 from datetime import date, datetime
 from pathlib import Path
@@ -124,5 +125,5 @@ def test_csv_export_has_a_header_and_a_time_stamp(spark, tmp_path):
     df: DataFrame = spark.createDataFrame([("a,b", 1), ('say "x"', None)], "name string, n int")
     path = exports.export_csv(df, str(tmp_path), datetime(2025, 5, 30, 13, 32, 53))
     assert path.endswith("/query_2025-05-30_13-32-53")
-    back = spark.read.option("header", True).option("escape", "\\").csv(path)
-    assert sorted(tuple(r) for r in back.collect()) == [("a,b", "1"), ('say "x"', None)]
+    lines = [row for part in Path(path).glob("*.csv") for row in csv.DictReader(part.open())]
+    assert sorted(lines, key=str) == [{"name": "a,b", "n": "1"}, {"name": 'say "x"', "n": ""}]
