@@ -53,6 +53,34 @@ def test_hot_id_is_split_in_the_label_join(spark, tmp_path, small_partitions):
     assert "skew=true" in mart._jdf.queryExecution().executedPlan().toString()
 
 
+def executed_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_id_is_split_in_the_joins_of_the_model(spark, tmp_path, small_partitions):
+    facts = skewed(spark, tmp_path)
+    labels = spark.range(0, N, 1, 8).selectExpr("id", "if(id % 2 = 0, 'Yes', 'No') AS label")
+    base = joins.labelled_base(facts, joins.flag_labels(labels))
+    assert base.count() == N
+    assert "skew=true" in executed_plan(base)
+    kept = joins.keep_labelled(facts, labels)
+    assert kept.count() == N
+    assert "skew=true" in executed_plan(kept)
+
+
+def test_hot_card_and_hot_code_are_split(spark, tmp_path, small_partitions):
+    facts = skewed(spark, tmp_path).withColumnRenamed("id", "card_id").withColumn("mcc", F.col("card_id").cast("int"))
+    cards = spark.range(0, N, 2, 8).selectExpr(
+        "id", "'b' AS card_brand", "'t' AS card_type", "true AS has_chip", "1.0D AS credit_limit_usd"
+    )
+    described = joins.add_card_features(facts, cards)
+    assert described.count() == N
+    assert "skew=true" in executed_plan(described)
+    codes = spark.range(0, N, 2, 8).selectExpr("cast(id as int) AS mcc_code", "cast(id as string) AS description")
+    assert "skew=true" in executed_plan(joins.describe_categories(facts, codes))
+
+
 def test_copies_never_meet_in_one_task(spark, tmp_path):
     copies = spark.range(0, N, 1, 8).selectExpr("if(id % 3 = 0, '7', cast(id as string)) AS id", "'Yes' AS label")
     cleaned = clean_labels(copies)
