@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,12 +27,11 @@ def build_session(app_name: str, conf: dict[str, str] | None = None, hive: bool
 
 
 def _shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, else one below the session's warehouse; every executor reaches both."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="cardlake-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

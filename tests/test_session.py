@@ -1,27 +1,19 @@
 from types import SimpleNamespace
 
-import pytest
-
 from cardlake import session
 
 
-def fake_spark(master, configured=None):
-    conf = SimpleNamespace(get=lambda key, default=None: configured)
-    return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+def fake_spark(conf):
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key, default)))
 
 
 def test_shared_folder_of_the_cluster_is_used():
-    assert session._shared_dir(fake_spark("yarn", "s3a://bucket/shared/")) == "s3a://bucket/shared"
-
+    conf = {"spark.checkpoint.dir": "s3a://bucket/shared/", "spark.sql.warehouse.dir": "/warehouse"}
+    assert session._shared_dir(fake_spark(conf)) == "s3a://bucket/shared"
 
-def test_a_cluster_without_a_shared_folder_is_refused():
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        session._shared_dir(fake_spark("yarn"))
 
-
-def test_local_runs_fall_back_to_a_new_folder():
-    first, second = (session._shared_dir(fake_spark("local[2]")) for _ in range(2))
-    assert first != second
+def test_without_it_scratch_lies_below_the_warehouse():
+    assert session._shared_dir(fake_spark({"spark.sql.warehouse.dir": "file:/warehouse"})) == "file:/warehouse/_scratch"
 
 
 def test_scratch_folders_are_new_and_below_the_shared_one(spark):
