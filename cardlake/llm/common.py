@@ -45,8 +45,10 @@ def stored(frame: DataFrame, label: str, **options) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per session."""
+    """Send this package to the executors' Python, once per session, and keep batches of long texts small."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if getattr(context, "_cardlake_shipped", False):
         return
     package = Path(__file__).resolve().parent.parent

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import exact_dedup, quality, warc
+from cardlake.llm import chat, exact_dedup, quality, token_counts, warc
 from cardlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,17 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+@register("op2_chat_formatting")
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted, written and read back."""
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.formatted_and_read(rows)
+
+
 @register("op3_quality_rules", r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -63,6 +74,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, from the counts of all prefixes."""
+    counts = token_counts.truncated(token_counts.prefix_counts(table(spark, sf_dir, "documents")), 512)
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_in_limit")
+
+
 @register("op10_warc", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 f AS (SELECT *, octet_length(encode(t)) AS n,
