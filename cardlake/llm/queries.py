@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import chat, exact_dedup, quality, sentence_pieces, token_counts, warc
+from cardlake.llm import chat, exact_dedup, mixing, near_dups, packing, quality, sentence_pieces, token_counts, warc
 from cardlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,27 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+@register("op1_minhash_near_dedup", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+x AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+          ELSE list_transform(generate_series(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, len(g)::BIGINT AS n, g, md5(array_to_string(list_sort(g), ' | ')) AS m FROM x),
+h AS (SELECT m, min(doc_id) AS head, any_value(n) AS n, any_value(g) AS g FROM n WHERE n > 0 GROUP BY m),
+s AS (SELECT head, n, unnest(g) AS g FROM h),
+p AS (SELECT a.head AS a, b.head AS b FROM s a JOIN s b ON a.g = b.g AND a.head < b.head AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+      GROUP BY a.head, b.head, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+r(node, root) AS (SELECT head, head FROM h UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.root, n.doc_id) AS component_id, n.doc_id = coalesce(c.root, n.doc_id) AS kept
+FROM n LEFT JOIN h ON n.m = h.m AND n.n > 0 LEFT JOIN c ON c.node = h.head""")
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are 85 % alike."""
+    return near_dups.grouped(table(spark, sf_dir, "documents"), width=3, percent=85).drop("text_key")
+
+
 @register("op2_chat_formatting")
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted, written and read back."""
@@ -64,6 +85,38 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op4_mixing", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+s AS (SELECT source, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+p AS (SELECT *, tokens / (sum(tokens) OVER ())::DOUBLE AS share, (sum(tokens) OVER ())::BIGINT AS total FROM s),
+l AS (SELECT list(share) AS shares FROM p),
+-- The smallest multiple of 2^-20 under which no source is read more than twice.
+b(low, high) AS (
+  SELECT 0, 1048576
+  UNION ALL
+  SELECT CASE WHEN ok THEN low ELSE (low + high) // 2 END, CASE WHEN ok THEN (low + high) // 2 ELSE high END
+  FROM (SELECT low, high, pow(list_min(shares), ((low + high) // 2) / 1048576.0::DOUBLE - 1)
+          / list_sum(list_transform(shares, lambda x: pow(x, ((low + high) // 2) / 1048576.0::DOUBLE))) <= 2 AS ok
+        FROM b, l WHERE high - low > 1)),
+e AS (SELECT CASE WHEN 1.0 / (list_min(shares) * len(shares)) <= 2 THEN 0 ELSE (SELECT min(high) FROM b) / 1048576.0::DOUBLE END AS a FROM l),
+w AS (SELECT p.*, pow(share, a) / (sum(pow(share, a)) OVER ()) AS weight, ceil(docs / 1000.0)::BIGINT AS blocks FROM p, e),
+q AS (SELECT source, tokens, blocks, floor(weight * total)::BIGINT AS quota FROM w),
+r AS (SELECT *, quota // tokens AS passes, quota % tokens AS rest FROM q),
+k AS (SELECT d.*, tokens, quota, passes, rest,
+        ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || n_tokens), 1, 8))::BIGINT % blocks AS block
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+g AS (SELECT k.*, unnest(generate_series(0, passes - CASE WHEN rest > 0 THEN 0 ELSE 1 END)) AS pass FROM k),
+o AS (SELECT *, md5('mix|' || pass || '|' || coalesce(source, '') || '|' || block) AS bo, md5('mix|' || pass || '|' || coalesce(doc_id::VARCHAR, '')) AS dd FROM g),
+t AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY bo, block, dd, doc_id, n_tokens
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_token FROM o)
+SELECT doc_id, source, pass, block, n_tokens, start_token, (pass * tokens + start_token) / quota::DOUBLE AS place
+FROM t WHERE pass < passes OR start_token + n_tokens <= rest""")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of all sources for a budget of all tokens, in which no source is read more than twice."""
+    return mixing.schedule(table(spark, sf_dir, "documents"), ratio=1.0, repetitions=2.0)
+
+
 @register("op5_exact_dedup", r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -92,6 +145,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit", "chars_in_limit")
 
 
+@register("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed rows of ids."""
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 @register("op10_warc", """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 f AS (SELECT *, octet_length(encode(t)) AS n,
