@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import chat, exact_dedup, mixing, near_dups, packing, quality, sentence_pieces, token_counts, warc
+from cardlake.llm import chat, exact_dedup, mixing, near_dups, packing, quality, sentence_pieces, token_counts, toxicity, warc
 from cardlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,17 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select(
+        "doc_id", (toxicity.bucket() == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @register("op8_token_counts")
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents, from the counts of all prefixes."""
