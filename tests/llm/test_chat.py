@@ -1,0 +1,79 @@
+import hashlib
+import random
+
+from cardlake.llm import chat
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, window int, spans string, n_tokens string"
+NASTY = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "\\", "\\\\<|end|>\\", "<|end", "<<SYS>>\n<</SYS>>", "", None, "é😀\n", "<s><s>"]
+
+
+def conversations():
+    r = random.Random(3)
+    rows = []
+    for conv in range(25):
+        system = r.random() < 0.5
+        for turn in range(r.randint(1, 14)):
+            role = "system" if turn == 0 and system else r.choice(["user", "assistant", "assistant", "<|end|>tool\\"])
+            rows.append((conv, turn, role, r.choice(NASTY) if r.random() < 0.4 else "word " * r.randint(0, 90)))
+    return rows + [(50, 0, None, "x"), (50, 1, "assistant", "same"), (50, 1, "assistant", "same"), (None, 0, "user", "u"), (None, 1, "assistant", "a"),
+                   (51, None, "assistant", "first"), (51, 0, "user", "second"), (52, 0, "assistant", "long " * 3000)]
+
+
+def frame(spark, rows):
+    r = random.Random(1)
+    rows = list(rows)
+    r.shuffle(rows)
+    return spark.createDataFrame([(*row, 1, "s", "n") for row in rows], SCHEMA).repartition(5)
+
+
+def brute(rows):
+    by = {}
+    for conv, turn, role, text in rows:
+        by.setdefault(conv, []).append((-1 if turn is None else turn, role or "", text or ""))
+    out = []
+    for conv, turns in by.items():
+        turns.sort()
+        loss = [text for _, role, text in turns if role == "assistant"]
+        out.append((conv, len(turns), hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in turns).encode()).hexdigest(),
+                    sum(map(len, loss)), hashlib.sha256("".join(loss).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_escaping_is_reversible():
+    r = random.Random(5)
+    for _ in range(3000):
+        text = "".join(r.choice([*chat.CONTROL, "\\", "<", "|", "a", "[", ">", "/", "s", "\n"]) for _ in range(r.randint(0, 8)))
+        hidden = chat.escape(text)
+        assert chat.unescape(hidden) == text
+        assert not any(c in hidden for c in chat.CONTROL)
+
+
+def test_read_back_equals_brute_force(spark, rows):
+    turns = conversations()
+    for budget, history in ((512, 128), (40, 0), (90, 60)):
+        read = chat.formatted_and_read(frame(spark, turns), budget, history)
+        assert rows(read, "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256") == brute(turns)
+
+
+def test_windows_keep_their_budget_the_system_turn_and_a_limited_history(spark):
+    turns = conversations()
+    budget, history = 120, 50
+    found = chat.windows(frame(spark, turns), budget, history).collect()
+    assert max(w.window for w in found) > 2
+    for w in found:
+        own = [s for s in w.spans if not s.repeated]
+        repeated = [s for s in w.spans if s.repeated]
+        assert own and [s.ordinal for s in own] == list(range(own[0].ordinal, own[-1].ordinal + 1))
+        assert not any(s.loss for s in repeated)
+        assert all(s.loss == (s.role == "assistant") for s in own)
+        first = min((t for t in turns if t[0] == w.conv_id), key=lambda t: -1 if t[1] is None else t[1])
+        if w.window and first[2] == "system":
+            assert w.spans[0].ordinal == 0
+        if len(own) > 1:
+            assert w.n_tokens <= budget
+        past = [s.ordinal for s in repeated if not (s.ordinal == 0 and s.role == "system")]
+        assert past == list(range(own[0].ordinal - len(past), own[0].ordinal))
+
+
+def test_empty_table(spark):
+    assert chat.formatted_and_read(spark.createDataFrame([], SCHEMA)).count() == 0

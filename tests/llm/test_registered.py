@@ -1,0 +1,96 @@
+"""The registered queries of the operators and the pipeline, on the given tables."""
+
+import hashlib
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
+
+import corpus_pipeline  # noqa: E402
+import sentencepiece  # noqa: E402
+from check_queries import connect, difference  # noqa: E402
+from conftest import SF_DIR  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from cardlake.llm import sentence_pieces, token_counts  # noqa: E402
+from cardlake.llm.queries import ORACLES, QUERIES  # noqa: E402
+
+
+@pytest.fixture(scope="module")
+def duck():
+    return connect(SF_DIR)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, duck, name):
+    frame = QUERIES[name](spark, SF_DIR)
+    rows = [tuple(row) for row in frame.collect()]
+    assert rows
+    assert difference(frame, rows, duck.execute(ORACLES[name])) is None
+
+
+def documents(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+
+
+def test_chat_formatting(spark):
+    turns = {}
+    for r in spark.read.parquet(f"{SF_DIR}/conversations.parquet").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.role, r.text or ""))
+    turns[-7] = [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]
+    found = QUERIES["op2_chat_formatting"](spark, SF_DIR).collect()
+    assert {r.conv_id for r in found} == set(turns) and len(found) == len(turns)
+    for r in found:
+        some = sorted(turns[r.conv_id])
+        loss = "".join(text for _, role, text in some if role == "assistant")
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in some).encode()).hexdigest()
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(some), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_sentencepiece(spark):
+    library, texts = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL), documents(spark)
+    found = QUERIES["op6_sentencepiece"](spark, SF_DIR).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_token_counts(spark):
+    library, texts = Tokenizer.from_file(token_counts.VOCABULARY), documents(spark)
+    found = QUERIES["op8_token_counts"](spark, SF_DIR).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+
+
+def test_packing(spark):
+    found = QUERIES["op9_packing"](spark, SF_DIR).collect()
+    assert {i for r in found for i in r.doc_ids} == set(documents(spark))
+
+
+def test_toxicity(spark):
+    found = QUERIES["op7_toxicity"](spark, SF_DIR).collect()
+    assert {r.doc_id for r in found} == set(documents(spark))
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
+
+
+def test_pipeline_stages_keep_their_contracts(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = [r.doc_id for r in docs.collect()]
+        docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), "stage")
+        after = [r.doc_id for r in docs.collect()]
+        assert set(after) <= set(before)
+        if name in ("mixing", "sentencepiece"):
+            assert set(after) == set(before)
+        else:
+            assert len(after) == len(set(after))
+        if name != "sentencepiece":
+            assert docs.columns == columns
+    assert docs.columns == ["doc_id", "ids", "decoded"]

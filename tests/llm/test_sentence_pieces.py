@@ -1,0 +1,51 @@
+import random
+
+import pytest
+import sentencepiece
+
+from cardlake.llm import sentence_pieces
+
+SCHEMA = "doc_id bigint, text string, ids string, decoded int"
+PARTS = ["a", "b", "the", " ", "  ", "\n", "\t", "'re", " " * 17, " " * 40, "!", "é", "\xa0", "日本", "😀", "1", "23", "<s>", "<0x0A>", "aaaaaaaaa",
+         "▁", "\r\n", "){", "();\r", "́", "\x00", "_____", "----", "�", "ing", "tion", "ther", "xyz", "lll", " ."]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+
+
+def texts(n, seed):
+    r = random.Random(seed)
+    return ["".join(r.choice(PARTS) for _ in range(r.randint(0, 14))) for _ in range(n)]
+
+
+def test_ids_and_texts_equal_the_library_s(library):
+    own = sentence_pieces.PieceModel(sentence_pieces.MODEL)
+    for seed in range(8):
+        some = texts(300, seed)
+        for text, ids in zip(some, own.encode(some)):
+            assert ids.tolist() == library.encode(text), text
+            assert own.decode(ids) == library.decode(ids.tolist()), text
+
+
+def test_one_merge_a_round_gives_the_same(library, monkeypatch):
+    own = sentence_pieces.PieceModel(sentence_pieces.MODEL)
+    rounds = own._rounds
+    monkeypatch.setattr(own, "_rounds", lambda symbols, lengths, done, single: rounds(symbols, lengths, done, True))
+    some = texts(150, 99)
+    assert [i.tolist() for i in own.encode(some)] == [library.encode(t) for t in some]
+
+
+def test_tables(spark, library):
+    r = random.Random(1)
+    long_word = "".join(r.choice("abcdefgh0") for _ in range(60_000))
+    some = [None, "", " ", long_word, " " * 20_000 + "x", "plain words here " * 5000, *texts(60, 5)]
+    docs = spark.createDataFrame([(i or None, t, "i", 1) for i, t in enumerate(some)] + [(5, some[5], "i", 1)], SCHEMA)
+    found = sentence_pieces.decode(sentence_pieces.encode(docs)).collect()
+    assert len(found) == len(some) + 1
+    for row in found:
+        text = some[row.doc_id or 0] or ""
+        assert row.ids == library.encode(text)
+        assert row.decoded == library.decode(row.ids)
+    assert sentence_pieces.decode(sentence_pieces.encode(spark.createDataFrame([], SCHEMA))).count() == 0
