@@ -37,13 +37,18 @@ def to_double(name: str) -> Column:
     return _decimal_number(F.col(name))
 
 
+def _dated(name: str) -> Column:
+    """The text if it begins with a year, a month and a day; a cast would fill in what is missing."""
+    return F.when(F.col(name).rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?\s*$"), F.col(name))
+
+
 def to_timestamp(name: str) -> Column:
-    return F.col(name).try_cast("timestamp")
+    return _dated(name).try_cast("timestamp")
 
 
 def to_day(name: str) -> Column:
-    """Date of ``yyyy-MM-dd`` text, with or without a time of day behind it."""
-    return F.col(name).try_cast("date")
+    """Date of ``yyyy-MM-dd`` text, with or without a time of day behind it; text without a day is null."""
+    return _dated(name).try_cast("date")
 
 
 _FROM_TEXT = {"int": to_int, "bigint": to_long, "double": to_double, "timestamp": to_timestamp, "date": to_day}
@@ -63,9 +68,33 @@ def money(name: str) -> Column:
     return _decimal_number(F.translate(F.col(name), "$,", ""))
 
 
+# Twenty digits before the point and eighteen behind it.
+EXACT = "decimal(38,18)"
+
+
+def exact(name: str) -> Column:
+    """The amount as a decimal with all its digits; null for amounts of 1e20 or more."""
+    return F.col(name).try_cast(EXACT)
+
+
+def beyond_exact(name: str) -> Column:
+    """The amount as a number where it has no exact decimal, else null."""
+    return F.when(exact(name).isNull(), F.col(name).cast("double"))
+
+
+def money_total(exact_sum: Column, beyond_sum: Column) -> Column:
+    """A total of both parts; null where neither has an amount."""
+    return F.when(beyond_sum.isNull(), exact_sum.cast("double")).otherwise(
+        beyond_sum + F.coalesce(exact_sum.cast("double"), F.lit(0.0))
+    )
+
+
 def exact_money_sum(name: str) -> Column:
-    """Sum over whole cents: exact, so the order of the rows does not matter, and as fast as doubles."""
-    return F.sum(F.rint(F.col(name) * 100).cast("bigint")) / 100
+    """Sum as decimals: exact, so the order of the rows does not matter, and no amount is rounded.
+
+    Amounts too large for a decimal are added as doubles, so that one of them does not end the job.
+    """
+    return money_total(F.try_sum(exact(name)), F.sum(beyond_exact(name)))
 
 
 def flag(name: str, yes: str = "YES", no: str = "NO", exact_case: bool = False) -> Column:

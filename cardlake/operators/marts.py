@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardlake.functions.casts import exact_money_sum
+from cardlake.functions.casts import beyond_exact, exact, money_total
 from cardlake.operators.joins import clients_with_cards, describe_categories
 
 
@@ -19,12 +19,26 @@ def dm_clients(users: DataFrame, cards: DataFrame) -> DataFrame:
     return clients_with_cards(users, cards)
 
 
-def dm_transactions_par_region(transactions: DataFrame) -> DataFrame:
-    """Amount per merchant state; missing amounts are skipped, a missing state is a group.
+def per_state_and_code(transactions: DataFrame) -> DataFrame:
+    """Amount and number of transactions per merchant state and category code.
 
-    Give it plain transactions. Rows joined with labels count an amount once per label.
+    One pass over the transactions; the region and the category mart are both sums over its rows.
     """
-    return transactions.groupBy("merchant_state").agg(exact_money_sum("amount_usd").alias("total_usd"))
+    return transactions.groupBy("merchant_state", "mcc").agg(
+        F.try_sum(exact("amount_usd")).alias("exact_usd"),
+        F.sum(beyond_exact("amount_usd")).alias("beyond_usd"),
+        F.count("*").alias("n"),
+    )
+
+
+def dm_transactions_par_region(rolled: DataFrame) -> DataFrame:
+    """Amount per merchant state, from ``per_state_and_code``; missing amounts are skipped, a missing state is a group.
+
+    Roll up plain transactions. Rows joined with labels count an amount once per label.
+    """
+    return rolled.groupBy("merchant_state").agg(
+        money_total(F.try_sum("exact_usd"), F.sum("beyond_usd")).alias("total_usd")
+    )
 
 
 def dm_cartes(cards: DataFrame) -> DataFrame:
@@ -32,12 +46,12 @@ def dm_cartes(cards: DataFrame) -> DataFrame:
     return cards.groupBy("card_brand", "card_type").agg(F.count("*").alias("nb_cartes"))
 
 
-def dm_mcc_categories(transactions: DataFrame, mcc_codes: DataFrame) -> DataFrame:
-    """Transactions per category description; unknown codes count under null.
+def dm_mcc_categories(rolled: DataFrame, mcc_codes: DataFrame) -> DataFrame:
+    """Transactions per category description, from ``per_state_and_code``; unknown codes count under null.
 
     Transactions are counted per code before the join, so only one row per code is joined. The
     counts add up to the same totals, also where a code has several descriptions.
     """
-    per_code = transactions.groupBy("mcc").agg(F.count("*").alias("n"))
+    per_code = rolled.groupBy("mcc").agg(F.sum("n").alias("n"))
     described = describe_categories(per_code, mcc_codes)
     return described.groupBy("description").agg(F.sum("n").alias("nb_trans"))

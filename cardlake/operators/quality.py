@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardlake.functions.casts import to_day
+
 
 def layer_counts(layers: dict[tuple[str, str], DataFrame]) -> DataFrame:
     """Rows per (layer, entity); empty ones included."""
@@ -33,4 +35,4 @@ def duplicate_codes(mcc_codes: DataFrame) -> DataFrame:
 
 def undated(df: DataFrame, day: str = "situation_date") -> DataFrame:
     """Rows whose date is missing or unreadable."""
-    return df.where(F.col(day).try_cast("date").isNull())
+    return df.where(to_day(day).isNull())

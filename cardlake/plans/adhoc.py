@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from cardlake.schemas import GOLD
 from cardlake.sinks.exports import export_csv
+from cardlake.sources.files import read_csv
+
+# Functions that call any method of the JVM.
+_REFLECTION = re.compile(r"\b(reflect|java_method|try_reflect)\(", re.IGNORECASE)
+_VIEW = re.compile(r"View \(`([^`]+)`")
+_RELATION = re.compile(r"^(Relation |SubqueryAlias spark_catalog\.|HiveTableRelation|Range \()")
+# While a query is analysed: no files by path, and plans in full.
+_STRICT = {"spark.sql.runSQLOnFiles": "false", "spark.sql.debug.maxToStringFields": "100000"}
 
 
 def register_marts(marts: dict[str, DataFrame]) -> None:
@@ -13,16 +25,44 @@ def register_marts(marts: dict[str, DataFrame]) -> None:
         mart.createOrReplaceTempView(name)
 
 
-def run_query(spark: SparkSession, text: str) -> DataFrame:
-    """Result of one query.
+def _check(plan: str, marts: set[str]) -> None:
+    """Refuse reflection, and every relation that is not one of the marts."""
+    if _REFLECTION.search(plan):
+        raise ValueError("functions that call the JVM are refused")
+    inside = None
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth > inside:
+            continue  # what a mart is made of
+        inside = None
+        view = _VIEW.match(line[depth:])
+        if view:
+            if view.group(1).lower() not in marts:
+                raise ValueError(f"not a mart: {view.group(1)}")
+            inside = depth
+        elif _RELATION.match(line[depth:]):
+            raise ValueError(f"only the marts can be read, not {line[depth:][:80]}")
+
 
-    The text is used as a subquery, so statements that change data or definitions do not parse.
+def run_query(spark: SparkSession, text: str, marts: Iterable[str] = GOLD) -> DataFrame:
+    """Result of one query over the named marts.
+
+    The text is used as a subquery, so statements that change data or definitions do not parse. Other
+    tables, files by path and functions that call the JVM are refused before anything runs.
     Result columns need distinct names, else they could not be told apart in the export.
     """
     query = (text or "").strip().rstrip(";").strip()
     if not query:
         raise ValueError("missing SQL query")
-    result = spark.sql(f"SELECT * FROM (\n{query}\n) AS q")
+    before = {key: spark.conf.get(key) for key in _STRICT}
+    try:
+        for key, value in _STRICT.items():
+            spark.conf.set(key, value)
+        result = spark.sql(f"SELECT * FROM (\n{query}\n) AS q")
+        _check(result._jdf.queryExecution().analyzed().toString(), {name.lower() for name in marts})
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
     names = [name.lower() for name in result.columns]
     repeated = sorted({name for name in names if names.count(name) > 1})
     if repeated:
@@ -30,7 +70,11 @@ def run_query(spark: SparkSession, text: str) -> DataFrame:
     return result
 
 
-def run_and_export(spark: SparkSession, text: str, folder: str) -> tuple[DataFrame, str]:
-    """Run one query and store its result as CSV below ``folder``; returns the result and the export's path."""
-    result = run_query(spark, text)
-    return result, export_csv(result, folder)
+def run_and_export(spark: SparkSession, text: str, folder: str, marts: Iterable[str] = GOLD) -> tuple[DataFrame, str]:
+    """Run one query and store its result as CSV below ``folder``; returns the export as a frame, and its path.
+
+    The query runs once; the frame reads the export, with the result's types.
+    """
+    result = run_query(spark, text, marts)
+    path = export_csv(result, folder)
+    return read_csv(spark, path, result.schema, multiline=True), path

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from cardlake.sinks.days import write_by_situation_date, write_ingestion_day
 from cardlake.sources.files import read_csv, read_json
-from cardlake.sources.relational import read_jdbc_ranges
+from cardlake.sources.relational import DEFAULT_SIZE, id_ranges, jdbc_rows_outside, read_jdbc_ranges
 
 
 def ingest_transactions(
@@ -17,18 +17,30 @@ def ingest_transactions(
     properties: dict[str, str],
     bronze_root: str,
     table: str = "transactions",
-    ranges: list[tuple[int, int]] | None = None,
+    window: tuple[int, int] | None = None,
+    size: int = DEFAULT_SIZE,
+    count: int | None = None,
     everything: bool = False,
     mode: str = "overwrite",
 ) -> dict[str, int]:
-    """Copy the id ranges of a relational table; the source is read once."""
-    rows = read_jdbc_ranges(spark, url, table, properties, ranges, everything=everything)
-    return write_by_situation_date(rows, f"{bronze_root}/transactions", mode)
+    """Copy a relational table in id ranges; the rows of the source are read once.
+
+    All ids are read, unless a window of ids is given without ``everything``. Such a window needs
+    ``append``, as replacing a day would delete what other windows have loaded for it; the rows
+    outside it are counted as ``n_outside``.
+    """
+    ranges = id_ranges(*window, size, count) if window else None
+    partial = window is not None and not everything
+    if partial and mode == "overwrite":
+        raise ValueError("a window of ids can't replace whole days; use append, or read everything")
+    rows = read_jdbc_ranges(spark, url, table, properties, ranges, size=size, count=count, everything=everything)
+    outside = jdbc_rows_outside(spark, url, table, properties, ranges) if partial else 0
+    return {**write_by_situation_date(rows, f"{bronze_root}/transactions", mode), "n_outside": outside}
 
 
 def ingest_csv(spark: SparkSession, name: str, path: str, bronze_root: str, day: date) -> int:
     return write_ingestion_day(read_csv(spark, path), f"{bronze_root}/{name}", day)
 
 
-def ingest_json(spark: SparkSession, name: str, path: str, bronze_root: str, day: date) -> int:
-    return write_ingestion_day(read_json(spark, name, path), f"{bronze_root}/{name}", day)
+def ingest_json(spark: SparkSession, name: str, path: str, bronze_root: str, day: date, **options) -> int:
+    return write_ingestion_day(read_json(spark, name, path, **options), f"{bronze_root}/{name}", day)

@@ -12,28 +12,22 @@ from pyspark.sql import functions as F
 
 from cardlake.operators.joins import FRAUD_VALUES, feature_base, flag_labels
 from cardlake.operators.sampling import balanced_sample, train_test_split
-from cardlake.session import ensure_checkpoint_dir, scratch_dir
+from cardlake.session import ensure_checkpoint_dir, stored
 
 CATEGORICAL = ["merchant_state", "card_brand", "card_type", "has_chip", "description"]
 NUMERIC = ["amount_usd", "credit_limit_usd"]
 INDEXED = [f"{name}_idx" for name in CATEGORICAL]
 FEATURES = NUMERIC + INDEXED
 
-# The index of every category is held by the driver and by each tree split.
-MAX_CATEGORIES = 10_000
-
-
-def check_category_sizes(df: DataFrame, columns: list[str] = CATEGORICAL, limit: int = MAX_CATEGORIES) -> None:
-    """Refuse columns with too many values before the indexer collects them."""
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-    too_wide = {name: size for name, size in sizes.items() if size > limit}
-    if too_wide:
-        raise ValueError(f"more than {limit} categories: {too_wide}")
+# Parts of the training rows; more for samples that do not fit into the memory of so many tasks.
+PARTS = 16
 
 
 def fit_indexers(df: DataFrame, columns: list[str] = CATEGORICAL) -> StringIndexerModel:
-    """Indexes by falling frequency, then by text; unseen and missing values get the next free index."""
-    check_category_sizes(df, columns)
+    """Indexes by falling frequency, then by text; unseen and missing values get the next free index.
+
+    The indexer collects the distinct values of its columns.
+    """
     indexer = StringIndexer(inputCols=columns, outputCols=[f"{c}_idx" for c in columns], handleInvalid="keep")
     return indexer.fit(df)
 
@@ -58,37 +52,45 @@ def training_rows(
     mcc_codes: DataFrame,
     fraud_values: tuple[str, ...] = FRAUD_VALUES,
     seed: int = 42,
+    keep_one_in: int = 10,
 ) -> DataFrame:
     """The balanced sample with its features.
 
     Whether a row is in the sample depends on its label and id only, so the labels are sampled
     and all later joins are a tenth as large.
     """
-    sampled = balanced_sample(flag_labels(labels, fraud_values), seed=seed)
+    sampled = balanced_sample(flag_labels(labels, fraud_values), keep_one_in=keep_one_in, seed=seed)
     base = feature_base(transactions, sampled, cards, mcc_codes)
     return base.select("id", "fraud_label", *NUMERIC, *CATEGORICAL)
 
 
-def store(rows: DataFrame) -> DataFrame:
-    """The rows written to and read from shared storage.
+def arranged(rows: DataFrame, parts: int = PARTS) -> DataFrame:
+    """The rows in ``parts`` parts by hash of the id, each sorted by all columns.
 
-    The many passes of the training read them from there instead of repeating the joins, and they
-    outlive lost executors. A sample of few blocks is spread over all cores.
+    Trees depend on which rows lie together and in which order; so they depend on the rows and on
+    ``parts`` only, not on files or cores.
     """
-    spark = rows.sparkSession
-    path = scratch_dir(spark, "training")
-    rows.write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return stored.repartition(cores) if stored.rdd.getNumPartitions() < cores else stored
+    keys = ["id"] if "id" in rows.columns else rows.columns
+    return rows.repartition(parts, *keys).sortWithinPartitions(*rows.columns)
 
 
 def prepare_training(
-    transactions: DataFrame, labels: DataFrame, cards: DataFrame, mcc_codes: DataFrame, seed: int = 42
+    transactions: DataFrame,
+    labels: DataFrame,
+    cards: DataFrame,
+    mcc_codes: DataFrame,
+    fraud_values: tuple[str, ...] = FRAUD_VALUES,
+    seed: int = 42,
+    keep_one_in: int = 10,
+    train_percent: int = 80,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test part of the balanced sample."""
-    rows = training_rows(transactions, labels, cards, mcc_codes, seed=seed)
-    return train_test_split(store(rows), seed=seed)
+    """Train and test part of the balanced sample.
+
+    The sample is written to shared storage: the many passes of the training read it from there
+    instead of repeating the joins, and it outlives lost executors.
+    """
+    rows = training_rows(transactions, labels, cards, mcc_codes, fraud_values, seed, keep_one_in)
+    return train_test_split(stored(rows, "training"), train_percent=train_percent, seed=seed)
 
 
 def train(
@@ -97,22 +99,38 @@ def train(
     max_bins: int = 200,
     seed: int = 42,
     handle_invalid: str = "error",
+    parts: int = PARTS,
 ) -> PipelineModel:
-    """Fit indexers, assembler and boosted trees; ``max_bins`` grows with the widest category if needed."""
+    """Fit indexers, assembler and boosted trees. The model depends on the rows and the arguments only.
+
+    A category column with more values than bins fails, with the number that it needs.
+    """
     if training.isEmpty():
         raise ValueError("the training set is empty; check the labels and the sample")
     # With a checkpoint folder the boosting cuts its lineage every few rounds.
     ensure_checkpoint_dir(training.sparkSession)
-    indexers = fit_indexers(training)
-    widest = max(len(labels) for labels in indexers.labelsArray) + 1
+    rows = arranged(training, parts)
+    indexers = fit_indexers(rows)
+    # Every column has one more index, for unseen and missing values.
+    needed, column = max((len(labels) + 1, name) for name, labels in zip(CATEGORICAL, indexers.labelsArray))
+    if needed > max_bins:
+        raise ValueError(f"{column} needs {needed} bins, and max_bins is {max_bins}")
     classifier = GBTClassifier(
         labelCol="fraud_label",
         featuresCol="features",
         maxIter=max_iter,
-        maxBins=max(max_bins, widest),
+        maxBins=max_bins,
         seed=seed,
     )
-    return Pipeline(stages=[indexers, assembler(handle_invalid), classifier]).fit(training)
+    return Pipeline(stages=[indexers, assembler(handle_invalid), classifier]).fit(rows)
+
+
+def check_inputs(rows: DataFrame) -> DataFrame:
+    """The rows, if they have all columns that the model reads."""
+    missing = [name for name in NUMERIC + CATEGORICAL if name not in rows.columns]
+    if missing:
+        raise ValueError(f"columns that the model needs are missing: {missing}")
+    return rows
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cardlake.operators import marts
 from cardlake.operators.joins import FRAUD_VALUES, label_transactions
+from cardlake.session import stored
 from cardlake.sinks.relational import write_jdbc
 from cardlake.sinks.tables import write_table
 
@@ -22,16 +23,20 @@ def build_marts(
     """The marts by name, each reading only its own columns.
 
     Region and category marts need no labels, so they skip the label join. ``count_per_label``
-    computes them after it, where a transaction with several labels counts several times.
+    computes them after it, where a transaction with several labels counts several times; the joined
+    columns are then stored once for all three marts. The two marts share one roll-up of the
+    transactions, which is stored too, so that the transactions are read once for both.
     """
     labelled = label_transactions(transactions, labels, fraud_values)
-    facts = labelled if count_per_label else transactions
+    if count_per_label:
+        labelled = stored(labelled.select("merchant_city", "is_fraud", "merchant_state", "mcc", "amount_usd"), "labelled")
+    rolled = stored(marts.per_state_and_code(labelled if count_per_label else transactions), "rolled")
     return {
         "dm_fraude_detection": marts.dm_fraude_detection(labelled),
         "dm_clients": marts.dm_clients(users, cards),
-        "dm_transactions_par_region": marts.dm_transactions_par_region(facts),
+        "dm_transactions_par_region": marts.dm_transactions_par_region(rolled),
         "dm_cartes": marts.dm_cartes(cards),
-        "dm_mcc_categories": marts.dm_mcc_categories(facts, mcc_codes),
+        "dm_mcc_categories": marts.dm_mcc_categories(rolled, mcc_codes),
     }
 
 
@@ -49,9 +54,13 @@ def refresh_gold(
     database: str = "gold",
     jdbc_url: str | None = None,
     jdbc_properties: dict[str, str] | None = None,
+    connections: int | None = None,
     **options,
 ) -> list[str]:
-    """Write every mart to ``gold.<mart>`` and, with a URL, copy the stored mart to the database there."""
+    """Write every mart to ``gold.<mart>`` and, with a URL, copy the stored mart to the database there.
+
+    ``connections`` limits the connections of a copy; by default it has as many as the mart has partitions.
+    """
     names = []
     silver = {
         argument: read_silver(spark, entity, silver_root)
@@ -66,6 +75,7 @@ def refresh_gold(
     for name, mart in build_marts(**silver, **options).items():
         write_table(mart, f"{database}.{name}", f"{gold_root}/{name}", partition_by=None)
         if jdbc_url:
-            write_jdbc(spark.table(f"{database}.{name}"), jdbc_url, name, jdbc_properties or {})
+            mart = spark.table(f"{database}.{name}")
+            write_jdbc(mart, jdbc_url, name, jdbc_properties or {}, connections=connections)
         names.append(name)
     return names

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE picks the final shuffle width; these only set what one task should aim for.
 DEFAULTS = {
@@ -54,3 +54,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     fs.mkdirs(target)
     fs.deleteOnExit(target)
     return path
+
+
+def stored(frame: DataFrame, label: str) -> DataFrame:
+    """The rows, written to a new shared folder and read back.
+
+    Later steps read them from there instead of computing them again, and they outlive lost executors.
+    """
+    path = scratch_dir(frame.sparkSession, label)
+    frame.write.mode("overwrite").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

@@ -11,13 +11,14 @@ def write_jdbc(
     table: str,
     properties: dict[str, str],
     mode: str = "overwrite",
-    connections: int = 4,
+    connections: int | None = None,
 ) -> None:
-    """Write over at most ``connections`` connections, whatever the width of the stages before.
+    """Write with one connection per partition, or with at most ``connections``; rows are not shuffled for that.
 
     Each partition is one transaction. An executor lost after its commit can have its rows sent
     twice, so hand in a stored mart and repeat a failed ``overwrite`` as a whole.
     """
-    df.repartition(connections).write.jdbc(
+    narrow = df if connections is None else df.coalesce(connections)
+    narrow.write.jdbc(
         url=url, table=table, mode=mode, properties={"batchsize": "10000", **properties}
     )

@@ -45,8 +45,11 @@ def replace_days(df: DataFrame, table: str, path: str) -> None:
 
 
 def _prepare(df: DataFrame, table: str, path: str) -> str:
-    """Create the table's database and return the full URI of its folder."""
+    """Create the table's database and return the full URI of its folder; a name without a database is refused."""
+    database, _, name = table.partition(".")
+    if not database or not name:
+        raise ValueError(f"not a table name with a database: {table!r}")
     path = qualified(df.sparkSession, path)
-    database, folder = table.split(".")[0], path.rsplit("/", 1)[0]
+    folder = path.rsplit("/", 1)[0]
     df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
     return path

@@ -1,28 +1,35 @@
-"""CSV and JSON readers."""
+"""CSV and JSON readers. Text that does not parse fails the job; it never becomes a null or a missing row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cardlake.schemas import LABEL_RECORDS
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",", multiline: bool = False
+) -> DataFrame:
     """CSV with a header line: text columns, or the declared types when a schema is given.
 
-    A declared schema has to name the header's columns in their order; Spark refuses the file otherwise.
+    A declared schema has to name the header's columns in their order, and every cell that is read has to fit its
+    type. Quotes inside quoted cells are doubled. ``multiline`` reads line breaks inside cells; a file is then one task.
     """
-    reader = spark.read.option("header", True).option("sep", sep)
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
     if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
+        reader = reader.schema(schema).option("enforceSchema", False).option("mode", "FAILFAST")
     return reader.csv(path)
 
 
 def explode_json_map(df: DataFrame, source: str, key: str, value: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per key of the JSON object in ``source``; of a repeated key the last value counts."""
-    parsed = df.select(*keep, F.map_entries(F.from_json(F.col(source), "map<string,string>")).alias("_entries"))
+    """One row per key of the JSON object in ``source``; of a repeated key the last value counts.
+
+    Text that is no JSON object fails the job; a null has no rows.
+    """
+    parsed_map = F.from_json(F.col(source), "map<string,string>", {"mode": "FAILFAST"})
+    parsed = df.select(*keep, F.map_entries(parsed_map).alias("_entries"))
     entries = F.col("_entries")
 
     def is_last(entry, position):
@@ -45,45 +52,69 @@ def read_code_map(spark: SparkSession, path: str, key: str = "mcc_code", value:
     return explode_json_map(spark.read.text(path, wholetext=True), "value", key, value)
 
 
-def read_label_records(spark: SparkSession, path: str) -> DataFrame:
-    """Label file with one JSON record, or one array of records, per line."""
-    return spark.read.schema(LABEL_RECORDS).json(path)
+def _all_but(wrong: Column, what: str, text: Column) -> Column:
+    """A filter that keeps every row, and fails at a wrong one."""
+    message = F.concat(F.lit(f"not {what}: "), F.coalesce(text, F.lit("null")))
+    return F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
+def read_label_records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Label file with one JSON record, or one array of records, per line.
+
+    ``multiline`` reads one array per file that is spread over lines; a file is then one task. A record that does not
+    parse, or has neither an id nor a label, fails the job.
+    """
+    rows = spark.read.schema(LABEL_RECORDS).option("mode", "FAILFAST").option("multiLine", multiline).json(path)
+    nothing = F.col("id").isNull() & F.col("label").isNull()
+    return rows.where(_all_but(nothing, "a label record", F.to_json(F.struct("id", "label"))))
 
 
 # One entry of {"target": {"123": "Yes", ...}}, with the wrapper's braces where the entry is first or last.
 _PAIR = r'^[\s{]*(?:"[A-Za-z_]+"\s*:\s*\{)?\s*"([^"\\]*)"\s*:\s*"([^"\\]*)"[\s}]*$'
 _NO_PAIR = r'^[\s{}]*(?:"[A-Za-z_]+"\s*:\s*\{)?[\s}]*$'
+# Names of a record's columns; as keys they show that the file holds records.
+_COLUMNS = ("id", "label")
 
 
 def read_label_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Labels stored as one JSON object of id/label pairs, however large.
 
     The file is split at the commas, so that many tasks read parts of one object. Ids and labels
-    hold no commas or quotes; text that is not such a pair fails the job instead of losing labels.
+    hold no commas, quotes or braces; text that is not such a pair, and a record, fail the job instead of losing
+    labels. Braces are counted first, to find an object that is cut off behind a pair.
     """
-    entries = spark.read.option("lineSep", ",").text(path).where(~F.col("value").rlike(_NO_PAIR))
-    checked = F.when(F.col("value").rlike(_PAIR), F.col("value")).otherwise(
-        F.raise_error(F.concat(F.lit("not an id/label pair: "), F.col("value")))
-    )
-    pairs = entries.select(checked.alias("value"))
-    return pairs.select(
+    pieces = spark.read.option("lineSep", ",").text(path)
+    opened, closed = pieces.agg(*(F.sum(F.regexp_count("value", F.lit(brace))) for brace in (r"\{", r"\}"))).first()
+    if opened != closed:
+        raise ValueError(f"not an id/label pair: {opened or 0} braces are opened and {closed or 0} closed in {path}")
+    entries = pieces.where(~F.col("value").rlike(_NO_PAIR))
+    key = F.regexp_extract("value", _PAIR, 1)
+    wrong = ~F.col("value").rlike(_PAIR) | key.isin(*_COLUMNS)
+    return entries.where(_all_but(wrong, "an id/label pair", F.col("value"))).select(
         F.regexp_extract("value", _PAIR, 1).alias("id"), F.regexp_extract("value", _PAIR, 2).alias("label")
     )
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labels from either file shape; only records name their columns in the first entry."""
-    first = spark.read.option("lineSep", ",").text(path).first()
-    if first is None or '"id"' in first["value"] or '"label"' in first["value"]:
-        return read_label_records(spark, path)
-    return read_label_pairs(spark, path)
+LABEL_SHAPES = ("pairs", "records", "array")
+
+
+def read_labels(spark: SparkSession, path: str, shape: str = "pairs") -> DataFrame:
+    """Labels of one file shape: an object of ``pairs``, ``records`` by line, or an ``array`` over several lines.
+
+    A folder that holds another shape fails.
+    """
+    if shape not in LABEL_SHAPES:
+        raise ValueError(f"unknown label file shape {shape!r}; known: {LABEL_SHAPES}")
+    if shape == "pairs":
+        return read_label_pairs(spark, path)
+    return read_label_records(spark, path, multiline=shape == "array")
 
 
 JSON_READERS = {"mcc_codes": read_code_map, "train_fraud_labels": read_labels}
 
 
-def read_json(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Read a JSON dataset by its name."""
+def read_json(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
+    """Read a JSON dataset by its name; ``shape`` says how the labels are stored."""
     if name not in JSON_READERS:
         raise ValueError(f"unknown JSON dataset {name!r}; known: {sorted(JSON_READERS)}")
-    return JSON_READERS[name](spark, path)
+    return JSON_READERS[name](spark, path, **options)

@@ -15,7 +15,8 @@ from cardlake.functions.hashing import hash_bucket
 from cardlake.operators import joins, marts, quality, reports, sampling
 from cardlake.operators.cleaning import CLEANERS
 from cardlake.plans import adhoc, fraud, gold, silver
-from cardlake.session import scratch_dir
+from cardlake.schemas import SCORING_INPUT
+from cardlake.session import scratch_dir, stored
 from cardlake.sinks.days import write_by_situation_date, write_ingestion_day
 from cardlake.sources import days, files, relational, snapshots
 from registry import bindings
@@ -48,9 +49,14 @@ def _md5_bucket(key: str, buckets: int, seed: str) -> str:
     return f"{_md5_number(key, seed)} % {buckets}"
 
 
-def _own_database(root: str) -> str:
-    """A database name of this run, so that no table of the catalog is replaced."""
-    return "check_" + root.rsplit("-", 1)[1]
+def _through_catalog(spark: SparkSession, root: str, entity: str, refresh: Callable[[str], object]) -> DataFrame:
+    """Rows of a catalog table that ``refresh`` writes into a database of its own, which is dropped again."""
+    database = "check_" + root.rsplit("-", 1)[1]
+    try:
+        refresh(database)
+        return stored(spark.table(f"{database}.{entity}"), "table")
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
 
 
 # ---------------------------------------------------------------- sources
@@ -123,7 +129,7 @@ def src_json_records(spark, sf_dir):
     path = scratch_dir(spark, "json")
     labels = typed(spark, sf_dir, "fraud_labels").select(F.col("id").cast("string").alias("id"), "label")
     labels.write.mode("overwrite").json(path)
-    return files.read_json(spark, "train_fraud_labels", path)
+    return files.read_json(spark, "train_fraud_labels", path, shape="records")
 
 
 @query(
@@ -135,7 +141,7 @@ def src_json_pairs(spark, sf_dir):
     path = scratch_dir(spark, "json")
     pair = F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('": "'), "label", F.lit('",'))
     typed(spark, sf_dir, "fraud_labels").select(pair.alias("value")).write.mode("overwrite").text(path)
-    return files.read_json(spark, "train_fraud_labels", path)
+    return files.read_json(spark, "train_fraud_labels", path, shape="pairs")
 
 
 _RANGE_START, _RANGE_END, _RANGE_SIZE = -3000, 10_000, 3000
@@ -166,21 +172,55 @@ def src_id_range_batches(spark, sf_dir):
     return relational.range_counts(rows, "l_orderkey", _RANGE_START, _RANGE_END, _RANGE_SIZE)
 
 
+def _rows_per_range(rows: DataFrame, id_column: str, ranges: list[tuple[int, int]], missing: bool) -> DataFrame:
+    """Rows that each predicate of the relational scan reads; a row that two of them read would count twice."""
+    predicates = relational.range_predicates(ranges, id_column, missing)
+    lows = [low for low, _ in ranges] + [None] * missing
+    hits = [F.when(F.expr(p), F.struct(F.lit(low).cast("bigint").alias("low"))) for p, low in zip(predicates, lows)]
+    read = rows.select(id_column, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+    return read.groupBy(F.col("hit.low").alias("range_start")).agg(
+        F.count("*").alias("n_rows"), F.sum(id_column).cast("bigint").alias("sum_id")
+    )
+
+
+_WITH_MISSING = "SELECT CASE WHEN o_orderpriority = '1-URGENT' THEN NULL ELSE o_orderkey END AS id FROM orders"
+
+
 @query(
     "src_range_predicates",
-    """
-    SELECT CASE WHEN o_orderkey >= 12000 THEN 5 ELSE CAST(floor(o_orderkey / 3000.0) AS INTEGER) + 1 END AS range_no,
-           count(*) AS n_rows, CAST(sum(o_orderkey) AS BIGINT) AS sum_id
-    FROM orders GROUP BY 1
+    f"""
+    SELECT CAST(floor((id - 3000) / 250.0) AS BIGINT) * 250 + 3000 AS range_start, count(*) AS n_rows,
+           CAST(sum(id) AS BIGINT) AS sum_id
+    FROM ({_WITH_MISSING}) GROUP BY 1
     """,
 )
 def src_range_predicates(spark, sf_dir):
-    """The predicates of the relational scan: each row is read by exactly one range."""
-    ranges = relational.id_ranges(_RANGE_START, _RANGE_END, _RANGE_SIZE)
-    predicates = relational.range_predicates(ranges, "o_orderkey", everything=True)
-    hits = [F.when(F.expr(predicate), F.lit(number)) for number, predicate in enumerate(predicates)]
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array_compact(F.array(*hits))).alias("range_no"))
-    return rows.groupBy("range_no").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("sum_id"))
+    """A window of ids with the ids on both sides and those that are missing: each row is read by one range."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    rows = spark.sql(_WITH_MISSING)
+    rows.createOrReplaceTempView("orders_with_missing")
+    bounds = relational.view_bounds(spark, "orders_with_missing")
+    inside = relational.id_ranges(3000, 4000, 250)
+    ranges = sorted(inside + relational.outside_ranges(bounds, inside))
+    return _rows_per_range(rows, "id", ranges, bounds.missing > 0)
+
+
+@query(
+    "src_derived_ranges",
+    """
+    WITH bounds AS (SELECT min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders)
+    SELECT least + (o_orderkey - least) // width * width AS range_start, count(*) AS n_rows,
+           CAST(sum(o_orderkey) AS BIGINT) AS sum_id
+    FROM orders, (SELECT least, (most - least) // 40 + 1 AS width FROM bounds) GROUP BY 1
+    """,
+)
+def src_derived_ranges(spark, sf_dir):
+    """Forty ranges from the smallest to the largest id of the table."""
+    orders = table(spark, sf_dir, "orders")
+    orders.createOrReplaceTempView("orders")
+    bounds = relational.view_bounds(spark, "orders", "o_orderkey")
+    ranges = relational.id_ranges(bounds.least, bounds.most + 1, count=40)
+    return _rows_per_range(orders, "o_orderkey", ranges, False)
 
 
 _HALF = f"""
@@ -210,15 +250,20 @@ def src_snapshot_stack(spark, sf_dir):
 # ---------------------------------------------------------------- Bronze
 
 
+_DATED = "CASE WHEN o_orderkey % 7 > 1 THEN CAST(o_orderdate AS DATE) END"
+
+
 @query(
     "bronze_date_parts",
-    "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS situation_date, CAST(year(o_orderdate) AS INTEGER) AS year, "
-    "CAST(month(o_orderdate) AS INTEGER) AS month, CAST(day(o_orderdate) AS INTEGER) AS day FROM orders",
+    f"SELECT o_orderkey, {_DATED} AS situation_date, CAST(year({_DATED}) AS INTEGER) AS year, "
+    f"CAST(month({_DATED}) AS INTEGER) AS month, CAST(day({_DATED}) AS INTEGER) AS day FROM orders",
 )
 def bronze_date_parts(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    dated = orders.select("o_orderkey", F.col("o_orderdate").cast("string").alias("situation_date"))
-    return with_day_parts(dated)
+    """Whole dates, and text with a year only or without a day, which are no dates."""
+    text = F.col("o_orderdate").cast("string")
+    kind = F.col("o_orderkey") % 7
+    short = F.when(kind == 0, F.substring(text, 1, 4)).when(kind == 1, F.substring(text, 1, 7)).otherwise(text)
+    return with_day_parts(table(spark, sf_dir, "orders").select("o_orderkey", short.alias("situation_date")))
 
 
 # Three snapshot days; as text, day 9 would come after day 30.
@@ -319,13 +364,13 @@ def silver_money_clean(spark, sf_dir):
                 ELSE CAST(l_suppkey AS INTEGER) END AS as_int,
            CAST(CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 99999999999.0
                 WHEN 3 THEN l_suppkey + 0.75 ELSE l_suppkey + 0.0 END AS DOUBLE) AS as_double,
-           CASE WHEN l_linenumber <> 1 THEN CAST(l_shipdate AS DATE) END AS as_day,
-           CASE WHEN l_linenumber <> 1 THEN l_shipdate END AS as_time
+           CASE WHEN l_linenumber NOT IN (1, 5, 6) THEN CAST(l_shipdate AS DATE) END AS as_day,
+           CASE WHEN l_linenumber NOT IN (1, 5, 6) THEN l_shipdate END AS as_time
     FROM lineitem
     """,
 )
 def silver_typed_casts(spark, sf_dir):
-    """Text that is no number, too large, fractional, padded or plain; broken and good dates."""
+    """Text that is no number, too large, fractional, padded or plain; broken, short and good dates."""
     kind, number = F.col("l_linenumber"), F.col("l_suppkey").cast("string")
     text = (
         F.when(kind == 1, F.concat(F.lit("n/a "), number))
@@ -334,7 +379,11 @@ def silver_typed_casts(spark, sf_dir):
         .when(kind == 4, F.concat(F.lit("  "), number, F.lit(" ")))
         .otherwise(number)
     )
-    time = F.when(kind == 1, "2025-02-30 00:00:00").otherwise(F.col("l_shipdate").cast("string"))
+    shipped = F.col("l_shipdate").cast("string")
+    time = (
+        F.when(kind == 1, "2025-02-30 00:00:00").when(kind == 5, F.substring(shipped, 1, 4))
+        .when(kind == 6, F.substring(shipped, 1, 7)).otherwise(shipped)
+    )
     raw = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), text.alias("text"), time.alias("time"))
     return raw.select(
         "id",
@@ -423,9 +472,10 @@ def silver_table_roundtrip(spark, sf_dir):
     """Bronze folder to catalog table."""
     root = scratch_dir(spark, "lake")
     write_ingestion_day(bindings.raw_cards(spark, sf_dir), f"{root}/bronze/cards", date(2025, 5, 9))
-    database = _own_database(root)
-    silver.refresh_entity(spark, f"{root}/bronze", f"{root}/silver", "cards", database=database)
-    return spark.table(f"{database}.cards")
+    return _through_catalog(
+        spark, root, "cards",
+        lambda database: silver.refresh_entity(spark, f"{root}/bronze", f"{root}/silver", "cards", database=database),
+    )
 
 
 @query(
@@ -455,6 +505,24 @@ def ops_layer_counts(spark, sf_dir):
     return quality.layer_counts(layers)
 
 
+@query(
+    "ops_duplicate_codes",
+    "SELECT mcc_code, count(*) AS n_rows FROM (SELECT s_nationkey AS mcc_code FROM supplier) GROUP BY 1 HAVING count(*) > 1",
+)
+def ops_duplicate_codes(spark, sf_dir):
+    return quality.duplicate_codes(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mcc_code")))
+
+
+@query("ops_undated", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <= 1")
+def ops_undated(spark, sf_dir):
+    """Orders whose date text has a year only, or no day."""
+    text = F.col("o_orderdate").cast("string")
+    kind = F.col("o_orderkey") % 7
+    short = F.when(kind == 0, F.substring(text, 1, 4)).when(kind == 1, F.substring(text, 1, 7)).otherwise(text)
+    dated = table(spark, sf_dir, "orders").select("o_orderkey", short.alias("situation_date"))
+    return quality.undated(dated).select("o_orderkey")
+
+
 # ---------------------------------------------------------------- Gold
 
 _LABELLED = with_typed("transactions", "fraud_labels") + ", labelled AS (SELECT t.*, label, " \
@@ -463,7 +531,7 @@ _LABELLED = with_typed("transactions", "fraud_labels") + ", labelled AS (SELECT
 
 _FRAUD_MART = "SELECT merchant_city, is_fraud, count(*) AS nb_transactions FROM labelled GROUP BY ALL"
 _REGION_MART = (
-    "SELECT merchant_state, CAST(sum(CAST(amount_usd AS DECIMAL(18, 2))) AS DOUBLE) AS total_usd "
+    "SELECT merchant_state, CAST(sum(CAST(amount_usd AS DECIMAL(30, 6))) AS DOUBLE) AS total_usd "
     "FROM {facts} GROUP BY merchant_state"
 )
 _CATEGORY_MART = (
@@ -484,7 +552,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _region_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.dm_transactions_par_region(typed(spark, sf_dir, "transactions"))
+    return marts.dm_transactions_par_region(marts.per_state_and_code(typed(spark, sf_dir, "transactions")))
 
 
 def _client_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,7 +564,8 @@ def _card_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _category_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.dm_mcc_categories(typed(spark, sf_dir, "transactions"), typed(spark, sf_dir, "mcc_codes"))
+    rolled = marts.per_state_and_code(typed(spark, sf_dir, "transactions"))
+    return marts.dm_mcc_categories(rolled, typed(spark, sf_dir, "mcc_codes"))
 
 
 def _marts_per_label(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -527,6 +596,21 @@ def gold_dm_transactions_par_region(spark, sf_dir):
     return _region_mart(spark, sf_dir)
 
 
+_DISCOUNT = "CAST(l_extendedprice AS DECIMAL(18, 2)) * CAST(l_discount AS DECIMAL(18, 2))"
+
+
+@query(
+    "gold_region_mart_of_small_amounts",
+    f"SELECT l_returnflag AS merchant_state, CAST(sum({_DISCOUNT}) AS DOUBLE) AS total_usd FROM lineitem GROUP BY 1",
+)
+def gold_region_mart_of_small_amounts(spark, sf_dir):
+    """Amounts with four decimals: prices times discounts."""
+    amount = F.expr(_DISCOUNT).cast("double").alias("amount_usd")
+    lines = table(spark, sf_dir, "lineitem")
+    facts = lines.select(F.col("l_returnflag").alias("merchant_state"), F.col("l_suppkey").alias("mcc"), amount)
+    return marts.dm_transactions_par_region(marts.per_state_and_code(facts))
+
+
 @query("gold_dm_region_per_label", _LABELLED + _REGION_MART.format(facts="labelled"))
 def gold_dm_region_per_label(spark, sf_dir):
     return _marts_per_label(spark, sf_dir)["dm_transactions_par_region"]
@@ -565,17 +649,22 @@ def gold_fraud_mart_from_bronze(spark, sf_dir):
     write_by_situation_date(bindings.raw_transactions(spark, sf_dir), f"{root}/bronze/transactions")
     for entity in ("cards", "users", "mcc_codes", "train_fraud_labels"):
         write_ingestion_day(RAW[entity](spark, sf_dir), f"{root}/bronze/{entity}", date(2025, 5, 30))
-    database = _own_database(root)
-    silver.refresh_silver(spark, f"{root}/bronze", f"{root}/silver", database=database)
-    gold.refresh_gold(spark, f"{root}/gold", f"{root}/silver", database=database)
-    return spark.table(f"{database}.dm_fraude_detection")
+
+    def refresh(database: str) -> None:
+        silver.refresh_silver(spark, f"{root}/bronze", f"{root}/silver", database=database)
+        gold.refresh_gold(spark, f"{root}/gold", f"{root}/silver", database=database)
+
+    return _through_catalog(spark, root, "dm_fraude_detection", refresh)
 
 
-_ADHOC = "SELECT card_brand, sum(nb_cartes) AS nb, max(card_type) AS last_type FROM dm_cartes GROUP BY card_brand"
+_ADHOC = (
+    "SELECT card_brand, sum(nb_cartes) AS nb, max(card_type) AS last_type, "
+    "concat('say \"', max(card_type), '\", ok') AS quoted FROM dm_cartes GROUP BY card_brand"
+)
 _ADHOC_ORACLE = (
     with_typed("cards") + f", dm_cartes AS ({_CARD_MART}) "
-    "SELECT card_brand, CAST(sum(nb_cartes) AS BIGINT) AS nb, max(card_type) AS last_type "
-    "FROM dm_cartes GROUP BY card_brand"
+    "SELECT card_brand, CAST(sum(nb_cartes) AS BIGINT) AS nb, max(card_type) AS last_type, "
+    "'say \"' || max(card_type) || '\", ok' AS quoted FROM dm_cartes GROUP BY card_brand"
 )
 
 
@@ -585,11 +674,11 @@ def gold_sql_adhoc(spark, sf_dir):
     return adhoc.run_query(spark, _ADHOC + " ORDER BY nb DESC;")
 
 
-@query("gold_sql_csv_export", f"SELECT card_brand, CAST(nb AS VARCHAR) AS nb, last_type FROM ({_ADHOC_ORACLE})")
+@query("gold_sql_csv_export", _ADHOC_ORACLE)
 def gold_sql_csv_export(spark, sf_dir):
+    """The export, read back with the types of the result."""
     adhoc.register_marts({"dm_cartes": _card_mart(spark, sf_dir)})
-    _, path = adhoc.run_and_export(spark, _ADHOC, scratch_dir(spark, "export"))
-    return files.read_csv(spark, path)
+    return adhoc.run_and_export(spark, _ADHOC, scratch_dir(spark, "export"))[0]
 
 
 # ---------------------------------------------------------------- reports
@@ -625,7 +714,7 @@ def report_online_segment(spark, sf_dir):
 @query(
     "report_credit_by_gender",
     with_typed("users", "cards") + "SELECT gender, count(*) AS nb_cards, "
-    "CAST(sum(CAST(credit_limit_usd AS DECIMAL(18, 2))) AS DOUBLE) AS credit_limit_usd "
+    "CAST(sum(CAST(credit_limit_usd AS DECIMAL(30, 6))) AS DOUBLE) AS credit_limit_usd "
     f"FROM ({_CLIENT_MART}) GROUP BY gender",
 )
 def report_credit_by_gender(spark, sf_dir):
@@ -728,7 +817,7 @@ def _index_sql(source: str) -> str:
 
 @query("ml_string_index", _BASE + _index_sql("base"))
 def ml_string_index(spark, sf_dir):
-    base = _base(spark, sf_dir)
+    base = stored(_base(spark, sf_dir), "base")
     indexed = fraud.fit_indexers(base).transform(base)
     pairs = [
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"), F.col(f"{c}_idx").alias("idx"))
@@ -748,19 +837,59 @@ def ml_string_index(spark, sf_dir):
     + " FROM sample s",
 )
 def ml_feature_matrix(spark, sf_dir):
-    sample = fraud.store(fraud.training_rows(*_model_entities(spark, sf_dir)))
+    sample = stored(fraud.training_rows(*_model_entities(spark, sf_dir)), "training")
     features = fraud.assembler().transform(fraud.fit_indexers(sample).transform(sample))
     vector = features.select("id", "fraud_label", vector_to_array("features").alias("x"))
     named = [F.col("x")[i].alias(name) for i, name in enumerate(fraud.FEATURES)]
     return vector.select("id", "fraud_label", *named)
 
 
-@query("ml_gbt_score")
+# A class that one feature decides, so that the prediction is known: whether the card has a chip.
+_CHIP_TEST = _SAMPLE + (
+    ", test AS (SELECT id, amount_usd, credit_limit_usd, merchant_state, card_brand, card_type, has_chip, description "
+    f"FROM sample WHERE {_md5_bucket('id', 100, 'split-42')} >= 80) "
+)
+
+
+def _chip_parts(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Train and test part, with the chip as the class."""
+    parts = fraud.prepare_training(*_model_entities(spark, sf_dir))
+    return [part.withColumn("fraud_label", F.col("has_chip")) for part in parts]
+
+
+@query("ml_gbt_score", _CHIP_TEST + "SELECT id, amount_usd, has_chip, CAST(has_chip AS DOUBLE) AS prediction FROM test")
 def ml_gbt_score(spark, sf_dir):
-    """Scores of the test part by a model trained on the train part."""
-    training, test = fraud.prepare_training(*_model_entities(spark, sf_dir))
-    scored = fraud.score(fraud.train(training), test)
-    return scored.select("id", "amount_usd", "fraud_label", "prediction", "fraud_probability")
+    """Predictions for the test part by a model trained on the train part."""
+    training, test = _chip_parts(spark, sf_dir)
+    return fraud.score(fraud.train(training, max_iter=2), test).select("id", "amount_usd", "has_chip", "prediction")
+
+
+@query(
+    "ml_saved_model_score",
+    _CHIP_TEST + "SELECT amount_usd, credit_limit_usd, merchant_state, card_brand, card_type, "
+    "CAST(has_chip AS VARCHAR) AS has_chip, description, CAST(has_chip AS DOUBLE) AS prediction FROM test",
+)
+def ml_saved_model_score(spark, sf_dir):
+    """A model saved and loaded, on rows of the declared schema."""
+    training, test = _chip_parts(spark, sf_dir)
+    path = scratch_dir(spark, "model")
+    fraud.save(fraud.train(training, max_iter=2), path)
+    declared = [part.strip().split(" ") for part in SCORING_INPUT.split(",")]
+    rows = test.select(*(F.col(name).cast(kind).alias(name) for name, kind in declared))
+    scored = fraud.score(fraud.load(path), fraud.check_inputs(rows))
+    return scored.select(*rows.columns, "prediction")
+
+
+@query(
+    "ml_missing_features",
+    _SAMPLE + ", holes AS (SELECT amount_usd, CASE WHEN id % 5 > 0 THEN credit_limit_usd END AS credit_limit_usd FROM sample) "
+    "SELECT count(*) - count(amount_usd) AS n_without_amount_usd, "
+    "count(*) - count(credit_limit_usd) AS n_without_credit_limit_usd, count(*) AS n_rows FROM holes",
+)
+def ml_missing_features(spark, sf_dir):
+    """Rows that training would leave out, with every fifth credit limit missing."""
+    rows = fraud.training_rows(*_model_entities(spark, sf_dir))
+    return fraud.missing_features(rows.withColumn("credit_limit_usd", F.when(F.col("id") % 5 > 0, F.col("credit_limit_usd"))))
 
 
 @query(

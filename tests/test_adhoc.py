@@ -61,7 +61,47 @@ def test_unknown_tables_and_repeated_columns(spark, mart):
 
 
 def test_export(spark, mart, tmp_path):
-    result, path = adhoc.run_and_export(spark, "SELECT card_brand, nb_cartes FROM dm_cartes", str(tmp_path))
-    assert result.columns == ["card_brand", "nb_cartes"]
-    back = spark.read.option("header", True).csv(path)
-    assert sorted(tuple(r) for r in back.collect()) == [("Amex", "1"), ("Visa", "3")]
+    text = "SELECT card_brand, nb_cartes, concat(card_brand, ', \"x\"\n') AS odd FROM dm_cartes"
+    result, path = adhoc.run_and_export(spark, text, str(tmp_path))
+    assert result.dtypes == [("card_brand", "string"), ("nb_cartes", "bigint"), ("odd", "string")]
+    expected = [("Amex", 1, 'Amex, "x"\n'), ("Visa", 3, 'Visa, "x"\n')]
+    assert sorted(tuple(r) for r in result.collect()) == expected
+    assert all(path in name for name in result.inputFiles())
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT java_method('java.lang.System', 'setProperty', 'cardlake.x', '1')",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS p FROM dm_cartes",
+        "SELECT card_brand FROM dm_cartes WHERE try_reflect('java.lang.System', 'getProperty', 'user.home') = 'x'",
+        "SELECT (SELECT max(java_method('java.lang.System', 'setProperty', 'cardlake.x', '1')) FROM dm_cartes) AS p",
+        "SELECT * FROM parquet.`{path}`",
+        "SELECT * FROM csv.`{path}`",
+        "SELECT * FROM private.secrets",
+        "SELECT card_brand FROM dm_cartes WHERE nb_cartes IN (SELECT id FROM private.secrets)",
+        "SELECT * FROM other_view",
+        "SELECT * FROM range(5)",
+    ],
+)
+def test_only_the_marts_can_be_read(spark, mart, tmp_path, text):
+    path = f"{tmp_path}/p"
+    spark.range(3).write.parquet(path)
+    spark.range(2).createOrReplaceTempView("other_view")
+    spark.sql("CREATE DATABASE IF NOT EXISTS private")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS private.secrets USING parquet LOCATION '{path}'")
+    try:
+        with pytest.raises((ValueError, AnalysisException)):
+            adhoc.run_query(spark, text.format(path=path))
+    finally:
+        spark.sql("DROP DATABASE private CASCADE")
+        spark.catalog.dropTempView("other_view")
+    assert spark._jvm.java.lang.System.getProperty("cardlake.x") is None
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_marts_from_files_and_tables_can_be_joined(spark, tmp_path):
+    spark.range(3).selectExpr("cast(id as string) AS card_brand", "id AS nb_cartes").write.parquet(f"{tmp_path}/m")
+    adhoc.register_marts({"dm_cartes": spark.read.parquet(f"{tmp_path}/m"), "dm_clients": spark.range(2).selectExpr("id AS user_id")})
+    text = "WITH c AS (SELECT * FROM dm_cartes) SELECT c.card_brand FROM c JOIN dm_clients ON nb_cartes = user_id"
+    assert adhoc.run_query(spark, text).count() == 2

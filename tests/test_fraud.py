@@ -52,14 +52,17 @@ def test_model_separates_and_survives_saving(spark, base, model, tmp_path):
 def test_scoring_rows_with_unseen_categories(spark, model):
     rows = spark.createDataFrame(
         [
-            (123.45, 5000.0, "NY", "VISA", "DEBIT", "1", "Restaurants"),
-            (9850.0, 12000.0, "CA", "MASTERCARD", "CREDIT", "0", "Electronics"),
+            (31.0, 700.0, "ZZ", "NOBRAND", "PREPAID", "2", "Zeppelins"),
+            (980.5, 700.0, "CA", "NOBRAND", "PREPAID", "1", "Zeppelins"),
+            (44.0, 700.0, "TX", None, None, None, None),
         ],
         SCORING_INPUT,
     )
     scored = {r["merchant_state"]: r for r in fraud.score(model, rows).collect()}
-    assert scored["NY"]["prediction"] == 0.0 and scored["CA"]["prediction"] == 1.0
+    assert [scored[state]["prediction"] for state in ("ZZ", "CA", "TX")] == [0.0, 1.0, 0.0]
     assert scored["CA"]["fraud_probability"] == pytest.approx(scored["CA"]["probability"][1])
+    with pytest.raises(ValueError, match="merchant_state"):
+        fraud.check_inputs(rows.drop("merchant_state"))
 
 
 def test_model_has_the_declared_shape(model):
@@ -84,16 +87,29 @@ def test_missing_numbers_fail_or_are_left_out_and_counted(base):
     assert tuple(fraud.missing_features(holes).first()) == (0, 30, 3000)
 
 
-def test_too_many_categories_are_refused(spark):
-    df = spark.range(30_000).selectExpr("cast(id as string) AS s")
-    with pytest.raises(ValueError, match="more than 10000 categories"):
-        fraud.fit_indexers(df, ["s"])
-
-
-def test_bins_grow_with_the_widest_category(base):
+def test_more_categories_than_bins_fail_with_their_number(base):
     wide = base.where("id < 900").withColumn("description", (F.col("id") % 400).cast("string"))
-    trained = fraud.train(wide, max_iter=1)
-    assert trained.stages[-1].getOrDefault("maxBins") == 401
+    with pytest.raises(ValueError, match="description needs 401 bins, and max_bins is 200"):
+        fraud.train(wide, max_iter=1)
+    assert fraud.train(wide, max_iter=1, max_bins=401).stages[-1].getOrDefault("maxBins") == 401
+
+
+def test_the_model_depends_on_the_rows_only(spark):
+    """More rows than the trees look at for their bins, arriving in different parts and orders."""
+    rows = spark.range(42_000).selectExpr(
+        "id", "cast(pmod(xxhash64(id, 1), 100) < if(pmod(xxhash64(id, 2), 1000) > 700, 70, 10) as int) AS fraud_label",
+        "pmod(xxhash64(id, 2), 1000) + pmod(xxhash64(id, 3), 97) / 97D AS amount_usd",
+        "cast(pmod(xxhash64(id, 4), 9000) as double) AS credit_limit_usd", "concat('S', pmod(xxhash64(id, 5), 40)) AS merchant_state",
+        "concat('B', pmod(xxhash64(id, 6), 3)) AS card_brand", "'DEBIT' AS card_type", "cast(id % 2 as int) AS has_chip",
+        "concat('D', pmod(xxhash64(id, 7), 60)) AS description",
+    )
+    scored = []
+    for parts in (2, 16):
+        model = fraud.train(rows.repartition(parts, F.rand(parts)), max_iter=2)
+        scored.append({r["id"]: (r["prediction"], r["fraud_probability"]) for r in fraud.score(model, rows).collect()})
+    first, second = scored
+    assert {i: p for i, (p, _) in first.items()} == {i: p for i, (p, _) in second.items()}
+    assert all(abs(first[i][1] - second[i][1]) < 1e-9 for i in first)
 
 
 def test_empty_training_set_is_refused(base):
@@ -134,4 +150,6 @@ def test_training_rows_are_the_sampled_base(spark):
     assert train.unionByName(test).exceptAll(rows).isEmpty()
     assert train.count() + test.count() == rows.count()
     assert "Join" not in train._jdf.queryExecution().executedPlan().toString()
-    assert train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert fraud.arranged(train, 5).rdd.getNumPartitions() == 5
+    more, _ = fraud.prepare_training(transactions, labels, cards, codes, keep_one_in=1, train_percent=100)
+    assert more.count() == 5000

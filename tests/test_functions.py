@@ -48,9 +48,11 @@ def test_money(spark):
 
 
 def test_days_with_and_without_time(spark):
-    values = ["2025-05-29 10:11:12", "2025-05-29", "2025-5-9", "2025-02-30", "x", None]
-    expected = [date(2025, 5, 29), date(2025, 5, 29), date(2025, 5, 9), None, None, None]
+    values = ["2025-05-29 10:11:12", "2025-05-29", "2025-5-9", "2025-02-30", "x", None, "2025", "2025-5", " 2025-05-29 ", "2025-05-29T01:02:03"]
+    expected = [date(2025, 5, 29), date(2025, 5, 29), date(2025, 5, 9), None, None, None, None, None, date(2025, 5, 29), date(2025, 5, 29)]
     assert applied(spark, values, casts.to_day("v")) == expected
+    times = applied(spark, values, casts.to_timestamp("v"))
+    assert [t and t.date() for t in times] == expected
 
 
 def test_flags(spark):
@@ -79,6 +81,15 @@ def test_money_sum_does_not_depend_on_order(spark):
         assert df.agg(casts.exact_money_sum("v")).first()[0] == 12.0
 
 
+@pytest.mark.parametrize(
+    ("values", "total"),
+    [([0.005, 0.005, 0.004], 0.014), ([1e30, 1.5], 1e30), ([1e30, -1e30, None], 0.0), ([None], None), ([0.1] * 10, 1.0), ([1e19, 0.25], 1e19)],
+)
+def test_money_sum_rounds_no_amount_and_stands_huge_ones(spark, values, total):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.agg(casts.exact_money_sum("v")).first()[0] == total
+
+
 def test_day_parts(spark):
     df = spark.createDataFrame([("2025-05-09 01:02:03",), ("?",)], "situation_date string")
     assert [tuple(r) for r in dates.with_day_parts(df).collect()] == [

@@ -79,7 +79,8 @@ def test_category_mart(entities, rows):
 def test_category_mart_equals_join_then_count_with_repeated_codes(spark, entities, rows):
     codes = entities["mcc_codes"].unionByName(spark.createDataFrame([(5812, "Bars")], "mcc_code int, description string"))
     naive = joins.describe_categories(entities["transactions"], codes).groupBy("description").count()
-    assert rows(marts.dm_mcc_categories(entities["transactions"], codes)) == rows(naive)
+    rolled = marts.per_state_and_code(entities["transactions"])
+    assert rows(marts.dm_mcc_categories(rolled, codes)) == rows(naive)
     assert rows(quality.duplicate_codes(codes)) == [(5812, 2)]
 
 
@@ -91,13 +92,21 @@ def test_marts_per_label_repeat_the_facts(entities, rows):
     assert {name: rows(mart) for name, mart in plain.items()} == {name: rows(mart) for name, mart in per_label.items()}
 
 
+def test_region_and_category_mart_read_the_transactions_once(spark, entities, tmp_path):
+    for per_label in (False, True):
+        built = build_marts(**entities, count_per_label=per_label)
+        for name in ("dm_transactions_par_region", "dm_mcc_categories"):
+            plan = built[name]._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("rolled") >= 1 and "amount_usd" not in plan
+
+
 def test_label_conflicts(entities, rows):
     assert rows(quality.label_conflicts(entities["labels"])) == [(3, 2, 2, "1")]
 
 
 def test_undated_rows(spark):
-    df = spark.createDataFrame([("2025-05-30",), (None,), ("?",)], "situation_date string")
-    assert quality.undated(df).count() == 2
+    df = spark.createDataFrame([("2025-05-30",), (None,), ("?",), ("2025",)], "situation_date string")
+    assert quality.undated(df).count() == 3
 
 
 def test_layer_counts_show_empty_layers(entities, rows):

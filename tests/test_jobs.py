@@ -8,7 +8,6 @@ from pyspark.sql import DataFrameReader, DataFrameWriter
 
 from cardlake import __main__ as cli
 from cardlake.plans import silver
-from cardlake.sources.relational import range_predicates
 
 TRANSACTIONS = [
     (1, "2019-10-31 23:59:00", 825, 10, "$100.10", 1, "ONLINE", None, None, 5812, None, "2025-05-29 08:00:00"),
@@ -44,7 +43,11 @@ def source(spark, tmp_path):
     table = spark.createDataFrame(TRANSACTIONS, SCHEMA)
 
     def read(reader, url, table_name=None, predicates=None, properties=None, **named):
-        assert properties["password"] == "p" and named["table"] == "transactions"
+        assert properties["password"] == "p"
+        if predicates is None:
+            table.createOrReplaceTempView("transactions")
+            return spark.sql(f"SELECT * FROM {named['table']}")
+        assert named["table"] == "transactions"
         return table.where(" OR ".join(f"({p})" for p in predicates))
 
     with mock.patch.object(DataFrameReader, "jdbc", read):
@@ -59,7 +62,7 @@ def run(spark, *argv):
 def bronze_arguments(source, bronze, *more):
     return (
         "bronze", "--bronze", bronze, "--day", "2025-05-30", "--jdbc-url", "jdbc:x",
-        "--jdbc-properties", source / "jdbc.json", "--start", 0, "--end", 6, "--size", 3,
+        "--jdbc-properties", source / "jdbc.json", "--size", 3,
         "--cards", source / "cards.csv", "--users", source / "users.csv",
         "--mcc-codes", source / "mcc.json", "--labels", source / "labels.json", *more,
     )
@@ -68,9 +71,7 @@ def bronze_arguments(source, bronze, *more):
 def test_from_sources_to_marts(spark, source, tmp_path, rows):
     bronze, gold = tmp_path / "bronze", tmp_path / "gold"
     run(spark, *bronze_arguments(source, bronze))
-    assert spark.read.parquet(f"{bronze}/transactions").count() == 4
-    run(spark, *bronze_arguments(source, bronze, "--everything"))
-    run(spark, *bronze_arguments(source, bronze, "--everything"))
+    run(spark, *bronze_arguments(source, bronze, "--ranges", 2))
     assert spark.read.parquet(f"{bronze}/transactions").count() == 5
     assert (bronze / "cards" / "year=2025" / "month=05" / "day=30").is_dir()
 
@@ -106,16 +107,30 @@ def test_from_sources_to_marts(spark, source, tmp_path, rows):
     assert rows(exported) == [("Amex", "Credit", "1"), ("Visa", "Debit", "1")]
 
 
+def test_a_window_of_ids_is_appended_and_says_what_it_leaves_out(spark, source, tmp_path, caplog):
+    window = bronze_arguments(source, tmp_path / "bronze", "--start", 0, "--end", 6)
+    with pytest.raises(ValueError, match="whole days"):
+        run(spark, *window)
+    with caplog.at_level("WARNING", logger="cardlake"):
+        run(spark, *window, "--mode", "append")
+    assert "1 transactions are outside the window" in caplog.text
+    assert spark.read.parquet(f"{tmp_path}/bronze/transactions").count() == 4
+    run(spark, *bronze_arguments(source, tmp_path / "whole", "--start", 0, "--end", 6, "--everything"))
+    assert spark.read.parquet(f"{tmp_path}/whole/transactions").count() == 5
+    with pytest.raises(ValueError, match="both"):
+        run(spark, *bronze_arguments(source, tmp_path / "bronze", "--start", 0))
+
+
 def test_all_days_mode_keeps_every_snapshot(spark, source, tmp_path, rows):
     bronze = tmp_path / "bronze"
     run(spark, *bronze_arguments(source, bronze))
     everything = silver.build_entity(spark, str(bronze), "transactions", mode="all")
-    assert rows(everything, "id", "day") == [(1, 29), (1, 30), (2, 30)]
+    assert rows(everything, "id", "day") == [(1, 29), (1, 30), (2, 30), (8, 30)]
     n = silver.refresh_entity(
         spark, str(bronze), f"{tmp_path}/silver", "transactions", "all", keep_other_days=True, database="every_day"
     )
-    assert n == 3
-    assert rows(spark.table("every_day.transactions"), "id", "day") == [(1, 29), (1, 30), (2, 30)]
+    assert n == 4
+    assert rows(spark.table("every_day.transactions"), "id", "day") == [(1, 29), (1, 30), (2, 30), (8, 30)]
 
 
 def test_missing_bronze_stops_the_job(spark, tmp_path):
@@ -154,14 +169,29 @@ def test_train_and_score(spark, tmp_path):
     run(spark, "train", "--silver", folder, "--model", model, "--max-iter", 2)
 
     spark.sql(
-        "SELECT 901.0D AS amount_usd, 100.0D AS credit_limit_usd, 'NY' AS merchant_state, 'Visa' AS card_brand, "
+        "SELECT 77 AS id, 901.0D AS amount_usd, 100.0D AS credit_limit_usd, 'NY' AS merchant_state, 'Visa' AS card_brand, "
         "'Debit' AS card_type, '1' AS has_chip, 'c1' AS description"
     ).write.parquet(f"{tmp_path}/input")
     run(spark, "score", "--model", model, "--input", f"{tmp_path}/input", "--output", scores)
-    assert spark.read.parquet(scores).first()["prediction"] == 1.0
+    scored = spark.read.parquet(scores).first()
+    assert (scored["id"], scored["prediction"]) == (77, 1.0)
+    run(spark, "train", "--silver", folder, "--model", model, "--max-iter", 1, "--fraud-values", "No", "--keep-one-in", 1, "--seed", 7,
+        "--train-percent", 90, "--parts", 3)
 
 
-def test_predicates_match_the_command_line_defaults():
-    args = cli.parse(["bronze", "--bronze", "b"])
-    assert (args.start, args.end, args.size) == (6_000_000, 25_000_000, 3_000_000)
-    assert len(range_predicates(cli.id_ranges(args.start, args.end, args.size))) == 7
+def test_connections_are_an_option_of_both_jobs(spark, source, tmp_path):
+    (tmp_path / "t.csv").write_text("id,amount\n" + "".join(f"{i},$1\n" for i in range(200)))
+    parts = []
+
+    def write(writer, url, table, mode=None, properties=None):
+        parts.append(writer._df.rdd.getNumPartitions())
+
+    load = ("load-source", "--csv", tmp_path / "t.csv", "--jdbc-url", "jdbc:x", "--jdbc-properties", source / "jdbc.json")
+    with mock.patch.object(DataFrameWriter, "jdbc", write):
+        run(spark, *load, "--connections", 1)
+        assert parts == [1, 1]
+        run(spark, *bronze_arguments(source, tmp_path / "bronze"))
+        run(spark, "silver", "--bronze", tmp_path / "bronze", "--silver", tmp_path / "silver")
+        run(spark, "gold", "--gold", tmp_path / "gold", "--silver", tmp_path / "silver", "--jdbc-url", "jdbc:x", "--connections", 1,
+            "--count-per-label", "--fraud-values", "Yes")
+    assert set(parts) == {1} and len(parts) == 7

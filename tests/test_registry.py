@@ -8,11 +8,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry_point  # noqa: E402
+from registry.queries import ORACLES, QUERIES  # noqa: E402
 from check_queries import connect, difference  # noqa: E402
 from conftest import SF_DIR  # noqa: E402
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -27,9 +26,9 @@ def test_query_equals_its_sql(spark, duck, name):
     assert difference(frame, rows, duck.execute(ORACLES[name])) is None
 
 
-def test_only_the_model_has_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"ml_gbt_score"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_its_sql():
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):

@@ -104,26 +104,34 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_jdbc_write_limits_connections(spark):
+def test_a_table_name_needs_its_database(spark, tmp_path):
+    with pytest.raises(ValueError, match="database"):
+        write_table(day_frame(spark, 8, [1]), "lonely", f"{tmp_path}/t")
+    assert not spark.catalog.databaseExists("lonely")
+
+
+@pytest.mark.parametrize(("connections", "parts"), [(None, 9), (3, 3), (20, 9)])
+def test_jdbc_write_limits_connections(spark, connections, parts):
     seen = {}
 
     def jdbc(writer, url, table, mode=None, properties=None):
         seen.update(url=url, table=table, mode=mode, properties=properties, parts=writer._df.rdd.getNumPartitions())
 
     with mock.patch.object(DataFrameWriter, "jdbc", jdbc):
-        relational.write_jdbc(spark.range(100).repartition(9), "jdbc:x", "dm_cartes", {"user": "u"}, connections=3)
+        relational.write_jdbc(spark.range(100).repartition(9), "jdbc:x", "dm_cartes", {"user": "u"}, connections=connections)
     assert seen == {
         "url": "jdbc:x",
         "table": "dm_cartes",
         "mode": "overwrite",
         "properties": {"batchsize": "10000", "user": "u"},
-        "parts": 3,
+        "parts": parts,
     }
 
 
 def test_csv_export_has_a_header_and_a_time_stamp(spark, tmp_path):
     df: DataFrame = spark.createDataFrame([("a,b", 1), ('say "x"', None)], "name string, n int")
     path = exports.export_csv(df, str(tmp_path), datetime(2025, 5, 30, 13, 32, 53))
-    assert path.endswith("/query_2025-05-30_13-32-53")
+    assert "/query_2025-05-30_13-32-53_" in path
+    assert exports.export_csv(df, str(tmp_path), datetime(2025, 5, 30, 13, 32, 53)) != path
     lines = [row for part in Path(path).glob("*.csv") for row in csv.DictReader(part.open())]
     assert sorted(lines, key=str) == [{"name": "a,b", "n": "1"}, {"name": 'say "x"', "n": ""}]

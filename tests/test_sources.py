@@ -6,6 +6,7 @@ from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from cardlake.functions.dates import with_day_parts
+from cardlake.sinks import exports
 from cardlake.sources import days, files, relational, snapshots
 
 
@@ -20,6 +21,9 @@ def test_csv_is_text_without_a_schema(spark, tmp_path):
 def test_csv_with_declared_types(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text("id,zip\n1,58523.0\n2,x\n")
+    with pytest.raises(Exception, match="MALFORMED|CANNOT_PARSE|Malformed"):
+        files.read_csv(spark, str(path), "id int, zip double").collect()
+    path.write_text("id,zip\n1,58523.0\n2,\n")
     assert [tuple(r) for r in files.read_csv(spark, str(path), "id int, zip double").collect()] == [
         (1, 58523.0),
         (2, None),
@@ -28,6 +32,13 @@ def test_csv_with_declared_types(spark, tmp_path):
         files.read_csv(spark, str(path), "zip double, id int").collect()
 
 
+def test_csv_quotes_commas_and_line_breaks(spark, tmp_path, rows):
+    values = [("he said \"hi\", ok", 1), ("two\nlines", 2), ("", 3), ("back\\slash", 4)]
+    path = exports.export_csv(spark.createDataFrame(values, "v string, n int"), str(tmp_path))
+    expected = [(v or None, n) for v, n in values]  # an empty cell is null
+    assert rows(files.read_csv(spark, path, "v string, n int", multiline=True)) == sorted(expected, key=repr)
+
+
 def test_code_map_last_value_of_a_repeated_key_counts(spark, tmp_path, rows):
     path = tmp_path / "mcc.json"
     path.write_text('{"5812": "Eating Places", "x1": "odd key",\n "5411": "a, \\"b\\"", "5812": "Restaurants"}')
@@ -36,20 +47,58 @@ def test_code_map_last_value_of_a_repeated_key_counts(spark, tmp_path, rows):
 
 
 def test_map_column_keeps_the_key_of_its_row(spark, rows):
-    df = spark.createDataFrame([(1, '{"a": "x", "b": null, "a": "y"}'), (2, "{}"), (3, "broken"), (4, None)], "id int, j string")
+    df = spark.createDataFrame([(1, '{"a": "x", "b": null, "a": "y"}'), (2, "{}"), (4, None)], "id int, j string")
     assert rows(files.explode_json_map(df, "j", "k", "v", keep=("id",))) == [(1, "a", "y"), (1, "b", None)]
 
 
+@pytest.mark.parametrize("text", ['{"5812": "Eating Places", "54', "broken", '["a"]'])
+def test_a_cut_off_code_list_fails(spark, tmp_path, text):
+    path = tmp_path / "mcc.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_code_map(spark, str(path)).collect()
+
+
 RECORDS = '{"id": "1", "label": "Yes"}\n{"id": 2, "label": "No"}\n{"id": "1", "label": "No"}\n'
 OBJECT = '{"target": {"1": "Yes",\n "2":"No" , "1" : "No"}}'
 
 
-@pytest.mark.parametrize("text", [RECORDS, OBJECT, "[" + ",".join(RECORDS.split("\n")[:-1]) + "]", OBJECT[11:-1]])
-def test_labels_in_every_shape(spark, tmp_path, rows, text):
+ARRAY = "[" + ",".join(RECORDS.split("\n")[:-1]) + "]"
+PRETTY = json.dumps(json.loads(ARRAY), indent=2)
+
+
+@pytest.mark.parametrize(
+    ("shape", "text"),
+    [("records", RECORDS), ("records", ARRAY), ("array", ARRAY), ("array", PRETTY), ("pairs", OBJECT), ("pairs", OBJECT[11:-1]),
+     ("pairs", OBJECT.replace("target", "label"))],
+)
+def test_labels_in_every_shape(spark, tmp_path, rows, shape, text):
     path = tmp_path / "labels.json"
     path.write_text(text)
     expected = [("1", "No"), ("1", "Yes"), ("2", "No")]
-    assert rows(files.read_json(spark, "train_fraud_labels", str(path))) == expected
+    assert rows(files.read_json(spark, "train_fraud_labels", str(path), shape=shape)) == expected
+
+
+@pytest.mark.parametrize(
+    ("shape", "text"),
+    [("records", OBJECT), ("records", PRETTY), ("records", RECORDS[:-15]), ("array", OBJECT), ("array", PRETTY[:-20]), ("pairs", RECORDS),
+     ("pairs", ARRAY), ("pairs", OBJECT[:-12])],
+)
+def test_another_shape_or_a_cut_off_file_fails(spark, tmp_path, shape, text):
+    path = tmp_path / "labels.json"
+    path.write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|not an id/label pair|not a label record"):
+        files.read_labels(spark, str(path), shape).collect()
+
+
+def test_a_folder_of_both_shapes_fails(spark, tmp_path):
+    (tmp_path / "a.json").write_text(RECORDS)
+    (tmp_path / "b.json").write_text(OBJECT.replace("\n", " "))
+    for shape in ("records", "pairs"):
+        with pytest.raises(Exception, match="(?i)malformed|not an id/label pair|not a label record"):
+            files.read_labels(spark, str(tmp_path), shape).collect()
+    with pytest.raises(ValueError, match="unknown label file shape"):
+        files.read_labels(spark, str(tmp_path), "guess")
 
 
 def test_large_label_object_is_split_over_tasks(spark, tmp_path):
@@ -57,7 +106,7 @@ def test_large_label_object_is_split_over_tasks(spark, tmp_path):
     path.write_text(json.dumps({"target": {str(i): "Yes" if i % 50 == 0 else "No" for i in range(200_000)}}))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
     try:
-        df = files.read_labels(spark, str(path))
+        df = files.read_labels(spark, str(path), "pairs")
         assert df.rdd.getNumPartitions() > 4
         assert df.distinct().count() == 200_000
         assert df.where("label = 'Yes'").count() == 4_000
@@ -69,7 +118,7 @@ def test_label_object_with_other_text_fails(spark, tmp_path):
     path = tmp_path / "labels.json"
     path.write_text('{"target": {"1": "Yes", "2": {"nested": "No"}, "3": 4}}')
     with pytest.raises(Exception, match="not an id/label pair"):
-        files.read_labels(spark, str(path)).collect()
+        files.read_labels(spark, str(path), "pairs").collect()
 
 
 def test_unknown_json_name_is_refused(spark):
@@ -77,24 +126,63 @@ def test_unknown_json_name_is_refused(spark):
         files.read_json(spark, "other", "/nowhere")
 
 
-def test_default_id_ranges():
-    ranges = relational.id_ranges()
-    assert len(ranges) == 7
-    assert ranges[0] == (6_000_000, 9_000_000)
-    assert ranges[-1] == (24_000_000, 27_000_000)
-    with pytest.raises(ValueError):
-        relational.id_ranges(size=0)
+def test_id_ranges_by_width_and_by_number():
+    assert relational.id_ranges(6, 25, 3)[0] == (6, 9) and relational.id_ranges(6, 25, 3)[-1] == (24, 27)
+    ranges = relational.id_ranges(5, 105, count=7)
+    assert len(ranges) == 7 and ranges[0][0] == 5 and ranges[-1][1] >= 105
+    assert {high - low for low, high in ranges} == {15}
+    for wrong in ({"size": 0}, {"count": 0}):
+        with pytest.raises(ValueError):
+            relational.id_ranges(0, 10, **wrong)
+    with pytest.raises(ValueError, match="no id ranges"):
+        relational.range_predicates([])
 
 
-def test_predicates_cover_each_row_once(spark):
-    ids = [-1, 0, 9, 10, 19, 20, 29, 30, None]
+@pytest.mark.parametrize("ids", [[-1, 0, 9, 10, 19, 20, 29, 30, None], [5], [None, None], [-57, 88], [12, 13]])
+def test_a_window_and_its_outside_read_each_row_once(spark, ids):
     df = spark.createDataFrame([(i,) for i in ids], "id int")
-    predicates = relational.range_predicates(relational.id_ranges(0, 25, 10), everything=True)
-    hits = [df.where(p).count() for p in predicates]
-    assert hits == [2, 2, 2, 3]
+    df.createOrReplaceTempView("some_ids")
+    bounds = relational.view_bounds(spark, "some_ids")
+    inside = relational.id_ranges(0, 25, 10)
+    ranges = sorted(inside + relational.outside_ranges(bounds, inside))
+    assert all(high - low <= 10 for low, high in ranges)
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    hits = [df.where(p).count() for p in relational.range_predicates(ranges, missing=bounds.missing > 0)]
     assert sum(hits) == len(ids)
-    inner = relational.range_predicates(relational.id_ranges(0, 25, 10))
-    assert [df.where(p).count() for p in inner] == [2, 2, 2]
+    inner = relational.range_predicates(inside)
+    assert sum(df.where(p).count() for p in inner) == sum(i is not None and 0 <= i < 30 for i in ids)
+
+
+def fake_reader(spark, table, calls):
+    """Stands in for the database: subqueries are answered from ``table``, scans by its predicates."""
+
+    def read(reader, url, table, predicates=None, properties=None):
+        calls.append((table, predicates))
+        rows.createOrReplaceTempView("transactions")
+        if predicates is None:
+            return spark.sql(f"SELECT * FROM {table}")
+        return rows.where(" OR ".join(f"({p})" for p in predicates))
+
+    rows = table
+    return mock.patch.object(DataFrameReader, "jdbc", read)
+
+
+def test_by_default_the_database_says_which_ids_there_are(spark, rows):
+    table = spark.createDataFrame([(i,) for i in (-7, 3, 12, 99, None)], "id int")
+    calls = []
+    with fake_reader(spark, table, calls):
+        read = relational.read_jdbc_ranges(spark, "jdbc:x", "transactions", {}, size=20)
+    assert rows(read) == rows(table)
+    _, predicates = calls[-1]
+    assert len(predicates) == 7 and predicates[-1] == "id IS NULL"
+    with fake_reader(spark, table.where("id > 1000"), calls):
+        assert relational.read_jdbc_ranges(spark, "jdbc:x", "transactions", {}).count() == 0
+    with fake_reader(spark, table, calls):
+        inside = relational.id_ranges(0, 20, 10)
+        assert relational.read_jdbc_ranges(spark, "jdbc:x", "transactions", {}, inside, everything=True).count() == 5
+        assert relational.jdbc_rows_outside(spark, "jdbc:x", "transactions", {}, inside) == 3
+        with pytest.raises(ValueError, match="no id ranges"):
+            relational.read_jdbc_ranges(spark, "jdbc:x", "transactions", {}, [])
 
 
 def test_jdbc_scan_is_one_read_with_a_partition_per_range(spark):
@@ -125,6 +213,12 @@ def test_range_counts_show_empty_ranges_and_uncovered_rows(spark, rows):
     )
 
 
+def test_range_counts_read_their_input_once(spark, tmp_path):
+    spark.range(50).write.parquet(f"{tmp_path}/t")
+    counts = relational.range_counts(spark.read.parquet(f"{tmp_path}/t"), "id", 0, 25, 10)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def lake_with_days(spark, root):
     for folder, n in (
         ("year=2025/month=5/day=9", 1),
