@@ -1,8 +1,10 @@
 """Content-addressed web archive: payload bytes once, exact headers apart, records through joins.
 
-The store has two tables. ``payloads`` holds the bytes of every distinct payload once, under their SHA-256; ``headers``
-holds for every record its exact header lines and the digest of its payload. Joined, they give the records, which are
-written as WARC 1.1 files and read back by their content lengths.
+The store has two tables. ``payloads`` holds the bytes of every distinct payload once, compressed, under their
+SHA-256; ``headers`` holds for every record its exact header lines and the digest of its payload. Joined, they give the
+records, each payload verified against its digest. They are written as WARC 1.1 files, compressed as a whole, and read
+back by their content lengths. Payloads are compressed before they are first shuffled and stay so until a record is
+written.
 
 Of records with equal payloads of at least 100 bytes the one with the smallest id is the response, the others are
 revisits of it; smaller payloads are always responses. Null html is an empty payload. Rows without an id are responses
@@ -12,11 +14,12 @@ responses. Other columns than page_id, url and html are not read.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
-from math import ceil
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +27,25 @@ from cardlake.llm.common import NO_ID, id_of, ship, stored, text_of
 from cardlake.session import scratch_dir
 
 MIN_REVISIT = 100
-# Bytes of payload in one archive file: a reader holds one file at a time.
+# Bytes of records in one archive file: a reader holds one file at a time.
 FILE_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARSED = "page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, header string, payload binary"
 
 
 def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Every page with its digest, its record type and the page that it refers to. The bytes come along as text."""
-    rows = pages.select(id_of("page_id").alias("id"), text_of("url").alias("url"), text_of("html").alias("html"))
-    rows = rows.select("*", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    """Every page with its digest, its record type and the page that it refers to; no payload."""
+    html = text_of("html")
+    rows = pages.select(
+        id_of("page_id").alias("id"), text_of("url").alias("url"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("bytes")
+    )
     firsts = rows.filter(F.col("bytes") >= min_revisit).groupBy("digest").agg(F.min("id").alias("first"))
     # A hot digest is split by the adaptive join: its other side has one row.
     joined = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("first") != F.col("id"))
     return joined.select(
-        "id", "url", "html", "digest", "bytes",
+        "id", "url", "digest", "bytes",
         F.when(revisit, "revisit").otherwise("response").alias("type"),
         F.when(revisit, F.col("first")).alias("refers_to"),
     )
@@ -71,29 +77,68 @@ def store(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> tuple[DataFrame,
         ),
         "warc-headers",
     )
-    once = pages.select(text_of("html").alias("payload")).groupBy("payload").agg(F.count(F.lit(1)).alias("uses"))
-    payloads = stored(once.select(F.sha2("payload", 256).alias("digest"), "payload", "uses"), "warc-payloads")
+    ship(pages.sparkSession)
+    packed = pages.select(text_of("html").alias("html")).mapInArrow(_pack, "digest string, packed binary")
+    # Equal payloads have equal compressed bytes; they are merged before the shuffle.
+    payloads = stored(packed.groupBy("digest", "packed").agg(F.count(F.lit(1)).alias("uses")), "warc-payloads")
     return headers, payloads
 
 
+def _parts(names: list[str], rows: Iterator[tuple[list, int]]):
+    """Batches of rows whose sizes add up to a bounded number of bytes."""
+    some, size = [], 0
+    for row, own in rows:
+        some.append(row)
+        size += own
+        if size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*some)], names=names)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(column) for column in zip(*some)], names=names)
+
+
+def _pack(batches):
+    compress = zstandard.ZstdCompressor(level=6).compress
+
+    def rows():
+        for batch in batches:
+            for html in batch.column("html"):
+                payload = html.as_py().encode()
+                yield (hashlib.sha256(payload).hexdigest(), compress(payload)), len(payload)
+
+    return _parts(["digest", "packed"], rows())
+
+
+def _unpack(batches):
+    decompress = zstandard.ZstdDecompressor().decompress
+
+    def rows():
+        for batch in batches:
+            for header, digest, packed in zip(*(batch.column(c).to_pylist() for c in ("header", "digest", "packed"))):
+                payload = decompress(packed)
+                if hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload differs from its digest {digest}")
+                yield (f"{header}\r\n{payload.decode()}",), len(payload) + len(header)
+
+    return _parts(["record"], rows())
+
+
 def restored(headers: DataFrame, payloads: DataFrame) -> DataFrame:
     """Whole records as text: the header, an empty line, and the payload of responses. Each payload is verified."""
-    verified = payloads.select(
-        "digest",
-        F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload"))
-        .otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest")))).alias("payload"),
-    )
-    full = headers.filter("type = 'response'").join(verified, "digest")
-    return full.select(F.concat("header", F.lit("\r\n"), "payload").alias("record"), "bytes").unionByName(
-        headers.filter("type = 'revisit'").select(F.concat("header", F.lit("\r\n")).alias("record"), F.lit(0).cast("long").alias("bytes"))
+    ship(headers.sparkSession)
+    full = headers.filter("type = 'response'").select("header", "digest").join(payloads.select("digest", "packed"), "digest")
+    return full.mapInArrow(_unpack, "record string").unionByName(
+        headers.filter("type = 'revisit'").select(F.concat("header", F.lit("\r\n")).alias("record"))
     )
 
 
-def write_archives(whole: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """WARC files below ``path``, of about ``file_bytes`` each. A record ends with two line ends."""
-    total = whole.agg(F.sum(F.col("bytes") + 600)).first()[0] or 0
-    files = max(1, ceil(total / file_bytes))
-    whole.select("record").repartition(files).write.mode("overwrite").option("lineSep", "\r\n\r\n").text(path)
+def write_archives(headers: DataFrame, payloads: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Compressed WARC files below ``path``, of ``file_bytes`` of records each on average. A record ends with two line ends."""
+    length = F.octet_length("header") + F.when(F.col("type") == "response", F.col("bytes")).otherwise(0)
+    total, rows = headers.agg(F.sum(length), F.count(F.lit(1))).first()
+    most = max(1, int(file_bytes * rows / total)) if total else 1
+    writer = restored(headers, payloads).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most)
+    writer.option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -127,7 +172,7 @@ def _parsed(batches):
     for batch in batches:
         for content in batch.column("content"):
             some, size = [], 0
-            for record in parse(content.as_buffer().to_pybytes()):
+            for record in parse(gzip.decompress(content.as_buffer())):
                 some.append(record)
                 size += len(record["payload"] or b"") + 1000
                 if size > 4_000_000:
@@ -154,5 +199,5 @@ def archive(pages: DataFrame, path: str | None = None, min_revisit: int = MIN_RE
     """Write the archives of ``pages`` and return their records as read back."""
     path = path or scratch_dir(pages.sparkSession, "warc")
     headers, payloads = store(pages, min_revisit)
-    write_archives(restored(headers, payloads), path, file_bytes)
+    write_archives(headers, payloads, path, file_bytes)
     return read_archives(pages.sparkSession, path)
