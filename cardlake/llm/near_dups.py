@@ -8,7 +8,8 @@ similarity of their full sets reaches the threshold; groups are the connected co
 2. Bands of registers are hashed into buckets. There are so many bands that a pair at the threshold shares none with a
    probability of at most 1e-8. Each node of a bucket is paired with the bucket's smallest node only.
 3. A pair goes on unless the joint likelihood of both registers rules the threshold out (about one true pair in 10^8),
-   and is confirmed on the full shingle sets, which are made for the nodes of such pairs only.
+   and is confirmed on the full shingle sets, which are made for the nodes of such pairs only, from texts that are
+   stored for the nodes that share a bucket.
 4. Links give components. Buckets whose nodes all have one component are done: a large group of near copies ends here.
    In the others, nodes of different components are compared by their registers, in blocks of bounded size, and the
    likeliest untested pairs are confirmed. This repeats until no plausible pair between components is untested.
@@ -248,14 +249,13 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     keys = nodes.select("node", F.explode(F.transform(numbers, band)).alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last")
     members = stored(keys.join(buckets.select("key", "hub"), "key"), "members")
-    # The text of a node: that of the row with its id and text key.
+    # Only nodes that share a bucket are ever paired; their texts are stored once for all rounds. The text of a node
+    # is that of the row with its id and text key.
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).withColumn("row_key", F.xxhash64("text"))
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
-        sources = nodes.join(wanted, "node", "left_semi").select("node", "text_key", F.when(F.col("node") < UNNAMED, F.col("node")).alias("source_id"))
-        found = named.join(sources, (F.col("row_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("source_id")))
-        return found.select("node", "text")
+    paired = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    sources = paired.select("node", "text_key", F.when(F.col("node") < UNNAMED, F.col("node")).alias("source_id"))
+    same_row = (F.col("row_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("source_id"))
+    texts = stored(named.join(sources, same_row).select("node", "text"), "texts")
 
     star = members.filter("node <> hub").select("node", "hub").distinct()
     facts = nodes.select("node", "n_shingles", "registers")
@@ -264,13 +264,13 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     pairs = stored(
         candidates.filter(_plausible(size, threshold)("registers", "hub_registers", "n_shingles", "hub_shingles")).select("node", "hub").distinct(), "pairs"
     )
-    tested, links = pairs, stored(confirmed(pairs, texts_of(pairs), width, percent), "links")
+    tested, links = pairs, stored(confirmed(pairs, texts, width, percent), "links")
     roots = components(links)
     while True:
         pairs = _untested(members.select("node", "key"), nodes, roots, tested, size, percent)
         if pairs.isEmpty():
             break
-        more = stored(confirmed(pairs, texts_of(pairs), width, percent), "links")
+        more = stored(confirmed(pairs, texts, width, percent), "links")
         tested = stored(tested.unionByName(pairs), "tested")
         if not more.isEmpty():
             links = stored(links.unionByName(more), "links")
