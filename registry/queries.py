@@ -507,10 +507,10 @@ def ops_layer_counts(spark, sf_dir):
 
 @query(
     "ops_duplicate_codes",
-    "SELECT mcc_code, count(*) AS n_rows FROM (SELECT s_nationkey AS mcc_code FROM supplier) GROUP BY 1 HAVING count(*) > 1",
+    "SELECT mcc_code, count(*) AS n_rows FROM (SELECT c_nationkey AS mcc_code FROM customer) GROUP BY 1 HAVING count(*) > 1",
 )
 def ops_duplicate_codes(spark, sf_dir):
-    return quality.duplicate_codes(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mcc_code")))
+    return quality.duplicate_codes(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("mcc_code")))
 
 
 @query("ops_undated", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <= 1")
