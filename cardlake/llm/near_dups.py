@@ -10,11 +10,12 @@ similarity of their full sets reaches the threshold; groups are the connected co
 3. A pair goes on unless the joint likelihood of both registers rules the threshold out (about one true pair in 10^8),
    and is confirmed on the full shingle sets, which are made for the nodes of such pairs only, from texts that are
    stored for the nodes that share a bucket.
-4. Links give components. Buckets whose nodes all have one component are done: a large group of near copies ends here.
-   In the others, nodes of different components are compared by their registers, in blocks of bounded size, and the
-   likeliest untested pairs are confirmed. This repeats until no plausible pair between components is untested.
+4. Links give components. Nodes that share buckets, directly or through others, are a cluster; a cluster whose nodes all
+   have one component is done, and a large group of near copies ends here. In the others, nodes of different components
+   are compared in blocks of bounded size: registers first, then, where these leave the threshold possible, the full
+   shingle sets. A block gives only as many links as join its components.
 
-So no group's pairs are listed, and no link between components is left out below a cap. Empty texts have no shingles
+So no group's pairs are listed, and there is no cap on partners or candidates. Empty texts have no shingles
 and link with nothing. Rows that repeat an id are one document with the links of all its texts. Rows without an id take
 part, but name a group only if nobody else does. Other columns than doc_id and text are not read.
 """
@@ -25,7 +26,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardlake.llm import sketches
@@ -35,10 +36,8 @@ BAND = 4
 MISSED = 1e-8
 # Nodes without an id have numbers from here on.
 UNNAMED = 2**62
-# Nodes of a mixed bucket that one task compares with as many others.
-BLOCK = 2048
-# Pairs of a node with a component that one round confirms at most; the next round takes the next.
-TRIED = 4
+# Nodes, and shingles, of a cluster that one task compares with as many others.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 TEXT_CHARS = 1_000_000
 SKETCHED = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, registers binary"
 
@@ -164,69 +163,96 @@ def components(links: DataFrame) -> DataFrame:
     return stored(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
 
 
-def _between_components(size: int, threshold: float, percent: int):
-    """Per bucket block: the likeliest untested pairs of nodes of different components."""
-    schema = pa.schema([("node", pa.int64()), ("other_root", pa.int64()), ("hub", pa.int64()), ("estimate", pa.float64())])
+class _Sets:
+    """Union and find over the components of a block."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while x in self.parent:
+            x = self.parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+
+
+def _between_components(width: int, size: int, percent: int):
+    """Per block of a cluster: confirmed links between nodes of different components, as few as join them."""
+    schema = pa.schema([("node", pa.int64()), ("hub", pa.int64())])
+    threshold = percent / 100
     fewest = sketches.fewest_equal(size, threshold)
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by([("root", "ascending"), ("node", "ascending")]).combine_chunks()
-        node, root, chunk, n, low, high = (group.column(c).to_numpy() for c in ("node", "root", "chunk", "n_shingles", "low", "high"))
+        node, root, chunk, low, high = (group.column(c).to_numpy() for c in ("node", "root", "chunk", "low", "high"))
         table = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint16).reshape(len(node), size)
-        tested = [frozenset(t or ()) for t in group.column("tested").to_pylist()]
+        sets = sketches.shingles(group.column("text").to_pylist(), width)
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        starts = np.cumsum(n) - n
+        vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        inside = np.zeros(len(vocabulary), bool)
+        joined, links = _Sets(), []
         cuts = np.append(np.flatnonzero(np.append(True, root[1:] != root[:-1])), len(node))
-        found = []
         for start, end in zip(cuts[:-1], cuts[1:]):
-            if end == len(node):
-                break
-            # The smaller side goes row by row against the other.
             ours, theirs = np.arange(start, end), np.arange(end, len(node))
+            # The smaller side goes row by row against the other.
             rows, others = (ours, theirs) if len(ours) <= len(theirs) else (theirs, ours)
+            if not len(others):
+                continue
             for i in rows:
-                equal = (table[others] == table[i]).sum(1)
-                near = others[(equal >= fewest) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+                near = others[(table[others] == table[i]).sum(1) >= fewest]
                 if low[0] != high[0]:
                     near = near[chunk[near] != chunk[i]]
-                near = np.array([j for j in near if node[j] not in tested[i] and node[i] not in tested[j] and node[j] != node[i]], np.int64)
+                near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
+                near = np.array([j for j in near if joined.find(root[j]) != joined.find(root[i])], np.int64)
                 if not len(near):
                     continue
                 more, less = (table[near] < table[i]).sum(1), (table[near] > table[i]).sum(1)
-                best, possible = sketches.estimates(more, less, size, np.full(len(near), n[i]), n[near], threshold)
-                for j, e in zip(near[possible], best[possible]):
-                    a, b = (i, j) if node[i] > node[j] else (j, i)
-                    found.append((node[a], root[b], node[b], e))
-        kept: dict[tuple[int, int], list] = {}
-        for row in sorted(found, key=lambda r: (-r[3], r[0], r[2])):
-            some = kept.setdefault((row[0], row[1]), [])
-            if len(some) < TRIED:
-                some.append(row)
-        rows = [row for some in kept.values() for row in some]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+                near = near[sketches.estimates(more, less, size, np.full(len(near), n[i]), n[near], threshold)[1]]
+                inside[flat[starts[i] : starts[i] + n[i]]] = True
+                for j in near:
+                    if joined.find(root[j]) == joined.find(root[i]):
+                        continue
+                    shared = int(inside[flat[starts[j] : starts[j] + n[j]]].sum())
+                    if 100 * shared >= percent * (n[i] + n[j] - shared):
+                        links.append((max(node[i], node[j]), min(node[i], node[j])))
+                        joined.join(root[i], root[j])
+                inside[flat[starts[i] : starts[i] + n[i]]] = False
+        return pa.Table.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], schema=schema)
 
     return compare
 
 
-def _untested(members: DataFrame, nodes: DataFrame, roots: DataFrame, tested: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket, are plausible and not yet tested."""
-    threshold = percent / 100
-    named = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    named = stored(named, "bucket-roots")
-    mixed = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("nodes")).filter("least <> most")
-    failed = tested.groupBy("node").agg(F.collect_set("hub").alias("tested"))
-    open_members = named.join(mixed.select("key", "nodes"), "key").join(nodes.select("node", "n_shingles", "registers"), "node").join(failed, "node", "left")
-    chunks = F.ceil(F.col("nodes") / F.lit(BLOCK)).cast("long")
-    chunked = open_members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    # Every pair of chunks of a bucket is a block; a node goes to the blocks of its chunk.
-    dealt = chunked.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
-        "key", F.least("chunk", "partner").alias("low"), F.greatest("chunk", "partner").alias("high"),
-        "chunk", "node", "root", "n_shingles", "registers", "tested",
+def links_between(star: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, width: int, size: int, percent: int) -> DataFrame:
+    """Links between components whose nodes are joined by shared buckets.
+
+    A cluster is a component of the pairs of bucket and node, confirmed or not: it holds every pair that shares a
+    bucket. Nodes of clusters with several components are compared in blocks.
+    """
+    ship(nodes.sparkSession)
+    clusters = components(star).select("node", F.col("root").alias("cluster"))
+    named = stored(
+        clusters.join(roots, "node", "left").join(nodes.select("node", "n_shingles", "registers"), "node")
+        .select("cluster", "node", F.coalesce("root", "node").alias("root"), "n_shingles", "registers"),
+        "clusters",
     )
-    found = dealt.groupBy("key", "low", "high").applyInArrow(
-        _between_components(size, threshold, percent), "node bigint, other_root bigint, hub bigint, estimate double"
+    mixed = named.groupBy("cluster").agg(
+        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("nodes"), F.sum("n_shingles").alias("shingles")
+    ).filter("least <> most")
+    parts = F.greatest(F.ceil(F.col("nodes") / F.lit(BLOCK)), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("long")
+    chunked = named.join(mixed.select("cluster", parts.alias("chunks")), "cluster")
+    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).join(texts, "node")
+    # Every pair of chunks of a cluster is a block; a node goes to the blocks of its chunk.
+    dealt = chunked.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(
+        "cluster", F.least("chunk", "partner").alias("low"), F.greatest("chunk", "partner").alias("high"),
+        "chunk", "node", "root", "registers", "text",
     )
-    pairs = found.groupBy("node", "other_root", "hub").agg(F.max("estimate").alias("estimate"))
-    best = Window.partitionBy("node", "other_root").orderBy(F.desc("estimate"), "hub")
-    return stored(pairs.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= TRIED).select("node", "hub"), "pairs")
+    found = dealt.groupBy("cluster", "low", "high").applyInArrow(_between_components(width, size, percent), "node bigint, hub bigint")
+    return found.distinct()
 
 
 def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -257,24 +283,18 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     same_row = (F.col("row_key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("source_id"))
     texts = stored(named.join(sources, same_row).select("node", "text"), "texts")
 
-    star = members.filter("node <> hub").select("node", "hub").distinct()
+    star = stored(members.filter("node <> hub").select("node", "hub").distinct(), "star")
     facts = nodes.select("node", "n_shingles", "registers")
     hub_facts = facts.select(F.col("node").alias("hub"), F.col("n_shingles").alias("hub_shingles"), F.col("registers").alias("hub_registers"))
     candidates = star.join(facts, "node").join(hub_facts, "hub").filter(_near_sizes("n_shingles", "hub_shingles", percent))
     pairs = stored(
         candidates.filter(_plausible(size, threshold)("registers", "hub_registers", "n_shingles", "hub_shingles")).select("node", "hub").distinct(), "pairs"
     )
-    tested, links = pairs, stored(confirmed(pairs, texts, width, percent), "links")
+    links = stored(confirmed(pairs, texts, width, percent), "links")
     roots = components(links)
-    while True:
-        pairs = _untested(members.select("node", "key"), nodes, roots, tested, size, percent)
-        if pairs.isEmpty():
-            break
-        more = stored(confirmed(pairs, texts, width, percent), "links")
-        tested = stored(tested.unionByName(pairs), "tested")
-        if not more.isEmpty():
-            links = stored(links.unionByName(more), "links")
-            roots = components(links)
+    more = stored(links_between(star, nodes, texts, roots, width, size, percent), "links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
     of_digest = heads.join(roots, "node", "left").select(F.col("digest").alias("of_digest"), F.coalesce("root", "node").alias("root"))
     joined = rows.join(of_digest, F.col("digest") == F.col("of_digest"), "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("node_id"))

@@ -73,9 +73,10 @@ def test_components_equal_all_pairs(spark, rows, width, percent):
     assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute(docs, width, percent), key=repr)
 
 
-def test_mixed_buckets_are_compared_in_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCK", 3)
-    monkeypatch.setattr(near_dups, "TRIED", 1)
+@pytest.mark.parametrize(("block", "shingles"), [(3, 10**6), (1000, 500)])
+def test_mixed_clusters_are_compared_in_blocks(spark, rows, monkeypatch, block, shingles):
+    monkeypatch.setattr(near_dups, "BLOCK", block)
+    monkeypatch.setattr(near_dups, "BLOCK_SHINGLES", shingles)
     docs = [(i, t) for i, t in corpus() if i % 2]
     found = near_dups.grouped(spark.createDataFrame([(i, t, "n", 1, "r", "k") for i, t in docs], SCHEMA), 3, 85)
     assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(brute(docs, 3, 85), key=repr)
