@@ -22,14 +22,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cardlake.llm.byte_bpe import Recent
 from cardlake.llm.common import ship, stored, text_of
+from cardlake.llm.sketches import mixed
 
 THRESHOLD = 0.3
 MAX_LABELLED = 20_000
@@ -45,7 +47,8 @@ IMITATES = {
 }
 # Log probabilities of the channel.
 IMITATED, DROPPED, DROPPED_LETTER, REPEATED, UNCHANGED = -1.2, -1.2, -12.0, -1.6, -0.1
-CACHED = 300_000
+# Limits of work and of a cache; results do not depend on them.
+GROUP_CHARS, CACHED = 1_000_000, 200_000
 _EDGES = re.compile(r"^[^\w$@!|(<€£¡*]+|[^\w$@+*|]+$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
@@ -141,6 +144,8 @@ class Restorer:
 
     def words(self, token: str) -> list[str]:
         """The words of a token, restored if it looks obfuscated."""
+        if token.isalpha() and not _DRAWN.search(token):
+            return [token.lower()]
         core = _EDGES.sub("", token)
         parts = _PLAIN.findall(core)
         if not parts:
@@ -156,35 +161,89 @@ class Restorer:
         return [restored] if restored else []
 
 
-def ngrams(word: str) -> list[int]:
-    """Hashes of the whole word, its beginnings and ends of four to six letters, and all runs of five."""
-    if len(word) < 3:
-        return []
-    found = {"^" + word + "$"}
+_SALTS = mixed(np.arange(16, dtype=np.uint64) + np.uint64(77))
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n-grams, word after word, and how many each word has.
+
+    A word of three letters or more has itself, its beginnings and ends of four to six letters where it is longer, and
+    all runs of five.
+    """
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if not len(letters):
+        return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    letters = mixed(letters + _SALTS[0])
+    word_of = np.repeat(np.arange(len(words)), lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), _POWER, np.uint64))
+    weighed = letters * powers[np.arange(len(letters)) - np.repeat(starts, lengths)]
+    long_enough = np.flatnonzero(lengths >= 3)
+    sums = np.append(np.uint64(0), np.cumsum(weighed))
+    found = [mixed((sums[ends] - sums[starts])[long_enough] + _SALTS[1])]
+    owners = [long_enough]
     for n in (4, 5, 6):
-        if len(word) > n:
-            found.add("^" + word[:n])
-            found.add(word[-n:] + "$")
-    found.update(word[i : i + 5] for i in range(len(word) - 4))
-    return [crc32(g.encode()) & (FEATURES - 1) for g in found]
+        windows = max(0, len(letters) - n + 1)
+        rolled = np.zeros(windows, np.uint64)
+        for j in range(n):
+            rolled += letters[j : j + windows] * powers[j] if j < len(powers) else np.uint64(0)
+        longer = np.flatnonzero(lengths > n)
+        found += [mixed(rolled[starts[longer]] + _SALTS[n]), mixed(rolled[ends[longer] - n] + _SALTS[n + 4])]
+        owners += [longer, longer]
+        if n == 5 and windows:
+            inside = np.flatnonzero(word_of[:windows] == word_of[n - 1 :])
+            found.append(mixed(rolled[inside] + _SALTS[12]))
+            owners.append(word_of[inside])
+    owner, hashes = np.concatenate(owners), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    return (hashes[order] & np.uint64(FEATURES - 1)).astype(np.int64), np.bincount(owner, minlength=len(words))
+
+
+def tokens_of(text: str) -> set[str]:
+    """The distinct tokens, and every run of single characters as one."""
+    found = set(text.split())
+    if any(len(token) == 1 for token in found):
+        found.update("".join(run.group().split()) for run in _SPELLED.finditer(text))
+    return found
 
 
 class Reader:
-    """The tokens of texts as hashes of n-grams."""
-
-    def __init__(self, model: np.ndarray):
-        self.restorer = Restorer(model)
-
-    def hashes(self, token: str) -> np.ndarray:
-        return np.array([h for word in self.restorer.words(token) for h in ngrams(word)], np.int64)
-
-    @staticmethod
-    def tokens(text: str) -> set[str]:
-        """The distinct tokens, and every run of single characters as one."""
-        found = set(text.split())
-        if any(len(token) == 1 for token in found):
-            found.update("".join(run.group().split()) for run in _SPELLED.finditer(text))
-        return found
+    """What the tokens of texts give, worked out for all new tokens of a group of texts together."""
+
+    def __init__(self, model: np.ndarray, value):
+        """``value`` turns the hashes of all tokens, and how many each has, into one value per token."""
+        self.restorer, self.value, self.known = Restorer(model), value, Recent(CACHED)
+
+    def read(self, texts: list[str]):
+        """For each group of texts: the values of each text's tokens."""
+        for start, end in groups(texts):
+            split = [tokens_of(text) for text in texts[start:end]]
+            values = {token: self.known.get(token) for tokens in split for token in tokens}
+            new = [token for token, found in values.items() if found is None]
+            words = [self.restorer.words(token) for token in new]
+            hashes, counts = ngrams([word for some in words for word in some])
+            sums = np.append(0, np.cumsum(counts))
+            ends = np.cumsum([len(some) for some in words], dtype=np.int64) if words else np.empty(0, np.int64)
+            per_token = np.diff(np.append(0, sums[ends]))
+            for token, found in zip(new, self.value(hashes, per_token)):
+                values[token] = found
+                if len(token) <= 64:
+                    self.known.put(token, found)
+            for tokens in split:
+                yield [values[token] for token in tokens]
+
+
+def groups(texts: list[str]):
+    """Ranges of texts with a bounded number of characters each."""
+    start, size = 0, 0
+    for end, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= GROUP_CHARS or end == len(texts):
+            yield start, end
+            start, size = end, 0
 
 
 def _weights(positive: np.ndarray, negative: np.ndarray, n_positive: float, n_negative: float) -> np.ndarray:
@@ -198,24 +257,26 @@ class Scorer:
     """What a document's heaviest words weigh."""
 
     def __init__(self, model: np.ndarray, weights: np.ndarray):
-        self.reader, self.weights, self.known = Reader(model), weights, {}
-
-    def _weight(self, token: str) -> float:
-        hashes = self.reader.hashes(token)
-        found = float(self.weights[hashes].max()) if len(hashes) else 0.0
-        if len(token) <= 64:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[token] = found
-        return found
-
-    def summary(self, text: str) -> list[float]:
-        known, weight = self.known, self._weight
-        tokens = Reader.tokens(text)
-        heavy = sorted([w for w in [known[t] if t in known else weight(t) for t in tokens] if w > 0], reverse=True)
-        top = [*heavy[:3], 0.0, 0.0, 0.0]
-        strong = sum(1 for w in heavy if w > 1)
-        return [top[0], top[1], top[2], min(sum(heavy[:10]), 60.0), float(np.log1p(strong)), strong / max(len(tokens), 1)]
+        self.weights = weights
+        self.reader = Reader(model, self._heaviest)
+
+    def _heaviest(self, hashes: np.ndarray, per_token: np.ndarray) -> list[float]:
+        """The weight of each token: that of its best n-gram."""
+        found = np.zeros(len(per_token))
+        some = np.flatnonzero(per_token)
+        if len(some):
+            starts = np.cumsum(per_token) - per_token
+            found[some] = np.maximum.reduceat(self.weights[hashes], starts[some])
+        return found.tolist()
+
+    def summaries(self, texts: list[str]) -> np.ndarray:
+        rows = []
+        for weights in self.reader.read(texts):
+            heavy = sorted([w for w in weights if w > 0], reverse=True)
+            top = [*heavy[:3], 0.0, 0.0, 0.0]
+            strong = sum(1 for w in heavy if w > 1)
+            rows.append([top[0], top[1], top[2], min(sum(heavy[:10]), 60.0), float(np.log1p(strong)), strong / max(len(weights), 1)])
+        return np.array(rows).reshape(len(rows), 6)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -241,13 +302,16 @@ class Classifier:
     def __getstate__(self):
         return {**self.__dict__, "scorer": None}
 
-    def score(self, text: str | None) -> float:
+    def scores(self, texts: list[str]) -> np.ndarray:
         if self.coefficients is None:
-            return 0.0
+            return np.zeros(len(texts))
         if self.scorer is None:
             self.scorer = Scorer(self.model, self.weights)
-        z = float(np.dot(self.coefficients[:-1], self.scorer.summary(text or "")) + self.coefficients[-1])
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        z = self.scorer.summaries(texts) @ self.coefficients[:-1] + self.coefficients[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text or ""])[0])
 
 
 def bucket(doc_id: str = "doc_id"):
@@ -268,20 +332,13 @@ def _feature_counts(rows: DataFrame, model: np.ndarray) -> np.ndarray:
     """Documents with each hash, by fold and label: an array of FOLDS x 2 x FEATURES."""
 
     def count(batches):
-        reader, known = Reader(model), {}
+        reader = Reader(model, lambda hashes, per_token: np.split(hashes, np.cumsum(per_token)[:-1]) if len(per_token) else [])
         empty = np.empty(0, np.int64)
         totals = np.zeros(FOLDS * 2 * FEATURES, np.int32)
         for batch in batches:
-            for fold, toxic, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "toxic", "text"))):
-                parts = []
-                for token in Reader.tokens(text):
-                    found = known.get(token)
-                    if found is None:
-                        if len(known) >= CACHED // 4:
-                            known.clear()
-                        found = known[token] = reader.hashes(token)
-                    parts.append(found)
-                totals[np.unique(np.concatenate(parts) if parts else empty) + (fold * 2 + toxic) * FEATURES] += 1
+            folds, toxic, texts = (batch.column(c).to_pylist() for c in ("fold", "toxic", "text"))
+            for fold, bad, parts in zip(folds, toxic, reader.read(texts)):
+                totals[np.unique(np.concatenate(parts) if parts else empty) + (fold * 2 + bad) * FEATURES] += 1
         spots = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(spots.astype(np.int32)), pa.array(totals[spots])], names=["spot", "n"])
 
@@ -305,8 +362,12 @@ def _summaries(rows: DataFrame, model: np.ndarray, weights: list[np.ndarray]):
         scorers = [Scorer(model, w) for w in weights]
         for batch in batches:
             folds, toxic, texts = (batch.column(c).to_pylist() for c in ("fold", "toxic", "text"))
-            found = [scorers[fold].summary(text) for fold, text in zip(folds, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.bool_()), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "summary"])
+            for fold, scorer in enumerate(scorers):
+                mine = [i for i, f in enumerate(folds) if f == fold]
+                found = scorer.summaries([texts[i] for i in mine])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([toxic[i] for i in mine], pa.bool_()), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["toxic", "summary"]
+                )
 
     return rows.mapInArrow(summarise, "toxic boolean, summary array<double>").toPandas()
 
@@ -336,7 +397,7 @@ def scored(docs: DataFrame, classifier: Classifier, column: str = "score") -> Da
 
     @F.pandas_udf("double")
     def score(texts):
-        return texts.map(classifier.score)
+        return pd.Series(classifier.scores(texts.tolist()))
 
     return docs.withColumn(column, score(text_of("text")))
 
