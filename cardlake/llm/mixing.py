@@ -113,38 +113,34 @@ def _order(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
 
 
+def _key() -> Column:
+    """The source as text that is never null, so that joins and windows share one partitioning."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
 def _in_blocks(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Rows with the plan of their source and their block: the first bits of a hash of the id, by the source's blocks."""
-    planned = plan.select(F.col("source").alias("__llm_source"), "blocks", "tokens", "quota", "passes", "rest")
-    joined = rows.join(planned, F.col("source").eqNullSafe(F.col("__llm_source")))
-    return joined.withColumn("block", F.conv(F.substring(_order(F.col("doc_id"), F.col("n_tokens")), 1, 8), 16, 10).cast("long") % F.col("blocks")).drop("__llm_source")
+    planned = plan.select(_key().alias("key"), "blocks", "tokens", "quota", "passes", "rest")
+    hashed = F.conv(F.substring(_order(F.col("doc_id"), F.col("n_tokens")), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("key", _key()).join(planned, "key").withColumn("block", hashed % F.col("blocks"))
 
 
 def _block_starts(blocks: DataFrame) -> DataFrame:
     """Per source, pass and block: tokens of the blocks before it in the pass's permutation of blocks."""
-    before = (
-        Window.partitionBy("source", "pass").orderBy("block_order", "block").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy("key", "pass").orderBy("block_order", "block").rowsBetween(Window.unboundedPreceding, -1)
     ordered = blocks.withColumn("block_order", _order(F.col("pass"), F.col("source"), F.col("block")))
-    return ordered.withColumn("block_start", F.coalesce(F.sum("block_tokens").over(before), F.lit(0))).drop("block_order")
+    return ordered.select("key", "pass", "block", F.coalesce(F.sum("block_tokens").over(before), F.lit(0)).alias("block_start"))
 
 
 def _placed(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """Rows of a pass with ``start_token``, the tokens of their source that come before them in the pass."""
-    named = starts.select(
-        F.col("source").alias("__llm_source"), F.col("pass").alias("__llm_pass"), F.col("block").alias("__llm_block"), "block_start"
-    )
-    joined = rows.join(
-        named,
-        F.col("source").eqNullSafe(F.col("__llm_source")) & (F.col("pass") == F.col("__llm_pass")) & (F.col("block") == F.col("__llm_block")),
-    ).drop("__llm_source", "__llm_pass", "__llm_block")
+    joined = rows.join(starts, ["key", "pass", "block"]).withColumn("row_order", _order(F.col("pass"), F.col("doc_id")))
     before = (
-        Window.partitionBy("source", "pass", "block").orderBy("__llm_order", "doc_id", "n_tokens")
+        Window.partitionBy("key", "pass", "block").orderBy("row_order", "doc_id", "n_tokens")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ordered = joined.withColumn("__llm_order", _order(F.col("pass"), F.col("doc_id")))
     within = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
-    return ordered.withColumn("start_token", F.col("block_start") + within).drop("__llm_order", "block_start")
+    return joined.withColumn("start_token", F.col("block_start") + within)
 
 
 def plan(rows: DataFrame, ratio: float | None, repetitions: float | None, entropy: float | None) -> DataFrame:
@@ -164,8 +160,8 @@ def schedule(
     planned = plan(rows, ratio, repetitions, entropy)
     blocked = _in_blocks(rows, planned)
     passes = F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)))
-    blocks = blocked.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("block_tokens"))
-    starts = _block_starts(blocks.filter("passes > 0 or rest > 0").select("source", "block", "block_tokens", passes.alias("pass")))
+    blocks = blocked.groupBy("key", "source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("block_tokens"))
+    starts = _block_starts(blocks.filter("passes > 0 or rest > 0").select("key", "source", "block", "block_tokens", passes.alias("pass")))
     placed = _placed(blocked.filter("passes > 0 or rest > 0").select("*", passes.alias("pass")), starts)
     taken = placed.filter((F.col("pass") < F.col("passes")) | (F.col("start_token") + F.col("n_tokens") <= F.col("rest")))
     return taken.select(
@@ -186,7 +182,7 @@ def mixed(docs: DataFrame, ratio: float | None = None, repetitions: float = 2.0)
         F.struct(*columns).alias("__llm_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words().alias("n_tokens")
     )
     narrow_blocks = _in_blocks(docs.select("doc_id", "source", words().alias("n_tokens")), planned)
-    last = narrow_blocks.groupBy("source", "block", F.col("passes").alias("pass")).agg(F.sum("n_tokens").alias("block_tokens"))
+    last = narrow_blocks.groupBy("key", "source", "block", F.col("passes").alias("pass")).agg(F.sum("n_tokens").alias("block_tokens"))
     placed = _placed(_in_blocks(carried, planned).withColumn("pass", F.col("passes")), _block_starts(last))
     partial = F.when((F.col("start_token") + F.col("n_tokens") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
     times = (F.col("passes") + partial).cast("int")
