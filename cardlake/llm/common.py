@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.session import scratch_dir
+from cardlake.session import stored  # noqa: F401 - for the operators
 
 # A null id sorts after every other id.
 NO_ID = 2**63 - 1
@@ -37,13 +37,6 @@ def public_id(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
-def stored(frame: DataFrame, label: str, **options) -> DataFrame:
-    """The rows, written to a new shared folder and read back: later steps survive the loss of executors."""
-    path = scratch_dir(frame.sparkSession, label)
-    frame.write.mode("overwrite").options(**options).parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once per session, and keep batches of long texts small."""
     context = spark.sparkContext
