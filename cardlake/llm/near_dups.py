@@ -132,7 +132,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     sets = stored(_shingle_sets(texts.join(hubs, "node"), width), "shingle-sets")
     sent = sets.select("node", F.explode("hubs").alias("hub"), "shingles")
     centres = sets.filter(F.array_contains("hubs", F.col("node"))).select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles"))
-    both = sent.filter("node <> hub").join(centres, "hub")
+    # Equal shingles make the stored sets small on disk, so few tasks would read them; the work is spread by pair.
+    both = sent.filter("node <> hub").repartition("node", "hub").join(centres, "hub")
     shared = F.size(F.array_intersect("shingles", "hub_shingles"))
     union = F.size("shingles") + F.size("hub_shingles") - shared
     return both.filter(F.lit(100) * shared >= F.lit(percent) * union).select("node", "hub").distinct()
