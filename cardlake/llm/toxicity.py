@@ -6,6 +6,10 @@ spelled with blanks or dots between letters becomes a lattice: each character st
 it imitates, for a repetition or for nothing. The likeliest path under the language model and the channel is the
 restored word. Other tokens have one path, themselves.
 
+Separators inside words, and blanks between fragments, are read both as borders and as dropped: beside the tokens, runs
+of neighbouring fragments of at most ``SHORT`` characters are joined, and so are the parts of one token at any length.
+Where readings overlap, the heaviest counts. A blank beside a longer part stays a border.
+
 The score looks at character n-grams of restored words, so that unseen endings of a known stem count. How much more
 often an n-gram occurs in toxic documents, less twice its standard error, is its weight. A word weighs as much as its
 best n-gram, and a logistic regression over a document's heaviest words gives the score. It is fitted on weights that
@@ -47,6 +51,10 @@ IMITATES = {
 }
 # Log probabilities of the channel.
 IMITATED, DROPPED, DROPPED_LETTER, REPEATED, UNCHANGED = -1.2, -1.2, -12.0, -1.6, -0.1
+# Characters of a fragment that is joined over blanks. A longer one has n-grams of the word inside.
+SHORT = 4
+# Characters of joined fragments. Every beginning, end and run of :func:`ngrams` lies in runs of so many.
+JOINED, JOINED_PARTS = 12, 24
 # Limits of work and of a cache; results do not depend on them.
 GROUP_CHARS, CACHED = 1_000_000, 200_000
 _EDGES = re.compile(r"^[^\w$@!|(<€£¡*]+|[^\w$@+*|]+$")
@@ -54,6 +62,12 @@ _PLAIN = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
+# Characters of a part, once "_" is a blank; symbols that imitate letters are among them.
+_SYMBOLS = "".join(re.escape(c) for c in IMITATES if not c.isalnum())
+_PART = re.compile(rf"[\w{_SYMBOLS}]+")
+_INNER = re.compile(rf"[\w{_SYMBOLS}][^\w{_SYMBOLS}]+[\w{_SYMBOLS}]")
+_FRAGMENT = rf"[{_SYMBOLS}]*+[\w{_SYMBOLS}]{{0,{SHORT}}}+[{_SYMBOLS}]*+(?![\w{_SYMBOLS}])"
+_FRAGMENTS = re.compile(rf"(?<![\w{_SYMBOLS}])(?=[\w{_SYMBOLS}]){_FRAGMENT}(?:[^\w{_SYMBOLS}]++{_FRAGMENT})++")
 
 
 @lru_cache(maxsize=1)
@@ -210,30 +224,93 @@ def tokens_of(text: str) -> set[str]:
     return found
 
 
+def _runs(parts: list[str], longest: int) -> list[tuple[int, int, str]]:
+    """First and last part and letters of every joined run of parts, and of every part that can weigh anything.
+
+    Runs have at most ``longest`` characters; two neighbours are joined at any length.
+    """
+    parts = [part for part in parts if part.isalnum() or any(map(str.isalnum, part))]
+    runs = []
+    for first, run in enumerate(parts):
+        if len(run) > 2:
+            runs.append((first, first, run))
+        for last in range(first + 1, len(parts)):
+            run += parts[last]
+            if len(run) > longest and last > first + 1:
+                break
+            if len(run) > 2 and (run.isalpha() or _LETTER.search(run)):
+                runs.append((first, last, run))
+    return runs if len(parts) > 1 else []
+
+
+def joined_runs(text: str, tokens: set[str]) -> list[list[tuple[int, int, str]]]:
+    """Readings without separators of every distinct chain of fragments, and of every token with parts."""
+    plain = text.lower().replace("_", " ")
+    chains = [_runs(_PART.findall(chain), JOINED) for chain in {found.group() for found in _FRAGMENTS.finditer(plain)}]
+    for token in tokens:
+        if len(token) > SHORT and not token.isalpha():
+            token = token.lower().replace("_", " ")
+            if _INNER.search(token):
+                parts = _PART.findall(token)
+                if max(map(len, parts)) > SHORT:
+                    chains.append(_runs(parts, JOINED_PARTS))
+    return [chain for chain in chains if chain]
+
+
+def every_run(chain: list[tuple[int, int, str]], values: dict) -> list:
+    return [values[run] for _, _, run in chain]
+
+
+def heaviest_runs(chain: list[tuple[int, int, str]], values: dict[str, float]) -> list[float]:
+    """Weights of joined runs that don't overlap a heavier reading; parts alone are counted as tokens."""
+    heavy = [(-values[run], last - first, first, last) for first, last, run in chain if values[run] > 0]
+    taken, found = set(), []
+    for weight, more, first, last in sorted(heavy):
+        places = range(first, last + 1)
+        if taken.isdisjoint(places):
+            taken.update(places)
+            if more:
+                found.append(-weight)
+    return found
+
+
 class Reader:
     """What the tokens of texts give, worked out for all new tokens of a group of texts together."""
 
-    def __init__(self, model: np.ndarray, value):
-        """``value`` turns the hashes of all tokens, and how many each has, into one value per token."""
-        self.restorer, self.value, self.known = Restorer(model), value, Recent(CACHED)
+    def __init__(self, model: np.ndarray, value, pick):
+        """``value`` turns the hashes of all tokens, and how many each has, into one value per token.
+
+        ``pick`` takes the values of a chain of fragments that count.
+        """
+        self.restorer, self.value, self.pick = Restorer(model), value, pick
+        self.known, self.known_runs = Recent(CACHED), Recent(CACHED)
 
     def read(self, texts: list[str]):
         """For each group of texts: the values of each text's tokens."""
         for start, end in groups(texts):
             split = [tokens_of(text) for text in texts[start:end]]
-            values = {token: self.known.get(token) for tokens in split for token in tokens}
-            new = [token for token, found in values.items() if found is None]
-            words = [self.restorer.words(token) for token in new]
-            hashes, counts = ngrams([word for some in words for word in some])
-            sums = np.append(0, np.cumsum(counts))
-            ends = np.cumsum([len(some) for some in words], dtype=np.int64) if words else np.empty(0, np.int64)
-            per_token = np.diff(np.append(0, sums[ends]))
-            for token, found in zip(new, self.value(hashes, per_token)):
-                values[token] = found
-                if len(token) <= 64:
-                    self.known.put(token, found)
-            for tokens in split:
-                yield [values[token] for token in tokens]
+            chains = [joined_runs(text, tokens) for text, tokens in zip(texts[start:end], split)]
+            values = self._values({token for tokens in split for token in tokens}, self.known)
+            runs = self._values({run for some in chains for chain in some for _, _, run in chain}, self.known_runs)
+            for tokens, some in zip(split, chains):
+                found = [values[token] for token in tokens]
+                for chain in some:
+                    found += self.pick(chain, runs)
+                yield found
+
+    def _values(self, tokens: set[str], known: Recent) -> dict:
+        values = {token: known.get(token) for token in tokens}
+        new = [token for token, found in values.items() if found is None]
+        words = [self.restorer.words(token) for token in new]
+        hashes, counts = ngrams([word for some in words for word in some])
+        sums = np.append(0, np.cumsum(counts))
+        ends = np.cumsum([len(some) for some in words], dtype=np.int64) if words else np.empty(0, np.int64)
+        per_token = np.diff(np.append(0, sums[ends]))
+        for token, found in zip(new, self.value(hashes, per_token)):
+            values[token] = found
+            if len(token) <= 64:
+                known.put(token, found)
+        return values
 
 
 def groups(texts: list[str]):
@@ -258,7 +335,7 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: np.ndarray):
         self.weights = weights
-        self.reader = Reader(model, self._heaviest)
+        self.reader = Reader(model, self._heaviest, heaviest_runs)
 
     def _heaviest(self, hashes: np.ndarray, per_token: np.ndarray) -> list[float]:
         """The weight of each token: that of its best n-gram."""
@@ -332,7 +409,7 @@ def _feature_counts(rows: DataFrame, model: np.ndarray) -> np.ndarray:
     """Documents with each hash, by fold and label: an array of FOLDS x 2 x FEATURES."""
 
     def count(batches):
-        reader = Reader(model, lambda hashes, per_token: np.split(hashes, np.cumsum(per_token)[:-1]) if len(per_token) else [])
+        reader = Reader(model, lambda hashes, per_token: np.split(hashes, np.cumsum(per_token)[:-1]) if len(per_token) else [], every_run)
         empty = np.empty(0, np.int64)
         totals = np.zeros(FOLDS * 2 * FEATURES, np.int32)
         for batch in batches:

@@ -46,6 +46,29 @@ def test_obfuscated_words_score_as_plain_ones(fitted):
         assert classifier.score(rest + bad) >= 0.3, bad
 
 
+def test_separators_inside_words_and_short_fragments(fitted):
+    _, classifier = fitted
+    rest = "soltome vidennari kapan lo "
+    for bad in ("gru.bber wuz-zock", "grub_ber wuz'zock", "gr-ub-ber wu-zzo-ck", "gru bber wuz zock", "g rub ber wu z zock", "gru8 ber, wuz\nz0ck", "gru-b ber wuz. zock!!"):
+        assert classifier.score(rest + bad) >= 0.3, bad
+    for clean in ("sol-tome viden-nari", "kapan_lo ri'na", "sol to me vi den na ri ka pan lo", "a-b-c d. e, 1-2 3 4", "sol! to! me! " * 50):
+        assert classifier.score(rest + clean) < 0.3, clean
+
+
+def test_readings_of_separators():
+    read = lambda text: {run for chain in toxicity.joined_runs(text, toxicity.tokens_of(text)) for first, last, run in chain if last > first}
+    for text, word in (("id.iot", "idiot"), ("clo_wn", "clown"), ("id-i-ot", "idiot"), ("an i d i ot", "idiot"), ("Sc um!!", "scum!!"), ("mo-ronically", "moronically"), ("you-sc-um", "scum")):
+        assert word in read(text), text
+    assert read("longer words stay apart") == set() and read("") == set() and read("!!! 1 2 3") == set()
+    assert len(read("na " * 100_000)) == 5
+
+
+def test_a_heavier_reading_takes_the_place_of_others():
+    chain = [(0, 0, "abc"), (0, 1, "abcde"), (1, 2, "defgh"), (2, 2, "fgh")]
+    assert toxicity.heaviest_runs(chain, {"abc": 1.0, "abcde": 3.0, "defgh": 2.0, "fgh": 0.0}) == [3.0]
+    assert toxicity.heaviest_runs(chain, {"abc": 3.0, "abcde": 3.0, "defgh": 2.0, "fgh": 0.0}) == [2.0]
+
+
 def test_restoration(fitted):
     restorer = toxicity.Restorer(fitted[1].model)
     assert restorer.words("gru88er") == ["grubber"]
