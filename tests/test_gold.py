@@ -64,6 +64,19 @@ def test_region_mart(entities, rows):
     assert rows(mart) == [("CA", 7.0), ("GA", -20.05), (None, 100.3)]
 
 
+def test_region_mart_keeps_sums_beyond_the_decimals(spark, rows):
+    amounts = [
+        (9e19, "GA", 1), (9e19, "GA", 1), (5.0, "GA", 2),
+        (9e19, "TX", 1), (9e19, "TX", 2),
+        (9e19, "CA", 1), (9e19, "CA", 1), (1e21, "CA", 1),
+        (9e19, "NY", 1), (-9e19, "NY", 1), (0.1, "NY", 1), (0.2, "NY", 2),
+        (None, "WA", 1),
+    ]
+    facts = spark.createDataFrame(amounts, "amount_usd double, merchant_state string, mcc int")
+    mart = marts.dm_transactions_par_region(marts.per_state_and_code(facts))
+    assert rows(mart) == [("CA", 1.18e21), ("GA", 1.8e20), ("NY", 0.3), ("TX", 1.8e20), ("WA", None)]
+
+
 def test_card_mart(entities, rows):
     assert rows(build_marts(**entities)["dm_cartes"]) == [
         ("Amex", "Credit", 1),
