@@ -27,7 +27,7 @@ NEVER = 1 << 60
 CACHED, CACHED_LENGTH = 200_000, 64
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Letters that stand for bytes in the vocabulary file: printable bytes stand for themselves, others follow at 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -57,7 +57,7 @@ class Recent:
 
 class PrefixTokenizer:
     def __init__(self, path: str):
-        letters = _byte_letters()
+        letters = byte_letters()
         with open(path, encoding="utf-8") as source:
             spec = json.load(source)
 

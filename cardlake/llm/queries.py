@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import chat, exact_dedup, mixing, near_dups, packing, quality, sentence_pieces, token_counts, toxicity, warc
+from cardlake.llm import alignment, chat, exact_dedup, mixing, near_dups, packing, quality, sentence_pieces, token_counts, toxicity, warc
 from cardlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.with_full_payload(warc.archive(table(spark, sf_dir, "pages"))).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@register("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over all documents."""
+    return alignment.aligned(table(spark, sf_dir, "documents"))
