@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlake.llm import alignment, chat, exact_dedup, mixing, near_dups, packing, quality, sentence_pieces, token_counts, toxicity, warc
+from cardlake.llm import (
+    alignment, chat, collocations, exact_dedup, mixing, near_dups, packing, quality, quality_network, sentence_pieces, token_counts,
+    toxicity, warc,
+)
 from cardlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +181,45 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("op11_quality_classifier")
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of all documents to be good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality_network.scored(docs, quality_network.fit(docs, table(spark, sf_dir, "labels")))
+    return rows.select(
+        "doc_id", F.coalesce(toxicity.bucket() == 2, F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= quality_network.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
+@register("op12_collocations", r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM d),
+g AS (SELECT lang, ws, unnest([1, 2, 3, 4]) AS k FROM w),
+o AS (SELECT lang, k, unnest(list_transform(generate_series(1, len(ws) - k + 1), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+      FROM g WHERE len(ws) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM o GROUP BY lang, k, phrase),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 30),
+x AS (SELECT lang, phrase, k, a, ws, unnest(generate_series(1, k - 1)) AS cut FROM c),
+s AS (SELECT x.lang, x.phrase, x.a, cut, l.n AS l, r.n AS r, (2000000::HUGEINT * x.a) // (l.n + r.n) AS score
+      FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(ws[1:cut], ' ')
+             JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(ws[cut + 1:x.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+u AS (SELECT lang, a, ws, k, unnest(generate_series(2, k - 1)) AS m FROM c WHERE k > 2),
+v AS (SELECT lang, a, unnest(list_transform(generate_series(1, k - m + 1), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM u),
+y AS (SELECT lang, phrase, max(a) AS around FROM v GROUP BY lang, phrase),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN y ON b.lang = y.lang AND b.phrase = y.phrase WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a)
+SELECT z.lang, rank, phrase, a, l, r, t.n, score::BIGINT AS score FROM z JOIN t ON z.lang = t.lang WHERE rank <= 2000""")
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @register("op13_alignment")
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over all documents."""
