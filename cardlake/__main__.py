@@ -58,6 +58,8 @@ def run_bronze(spark, args) -> None:
         log.info("transactions: %s", counts)
         if counts["n_outside"]:
             log.warning("%d transactions are outside the window and were not read", counts["n_outside"])
+        if counts["n_held"]:
+            log.info("%d transactions were loaded before", counts["n_held"])
     for name, path in (("cards", args.cards), ("users", args.users)):
         if path:
             log.info("%s: %d rows", name, bronze.ingest_csv(spark, name, path, args.bronze, args.day))
@@ -145,7 +147,10 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     feed.add_argument("--size", type=int, default=DEFAULT_SIZE, help="ids of a range")
     feed.add_argument("--ranges", type=int, help="number of ranges, instead of their size")
     feed.add_argument("--everything", action="store_true", help="also read the ids outside the window")
-    feed.add_argument("--mode", choices=("overwrite", "append"), default="overwrite")
+    feed.add_argument(
+        "--mode", choices=("overwrite", "append"), default="overwrite",
+        help="replace whole days, or add the ids that are not loaded yet",
+    )
     for name in ("cards", "users", "mcc-codes", "labels"):
         feed.add_argument(f"--{name}")
     feed.add_argument("--labels-shape", choices=LABEL_SHAPES, default="pairs", help="how the label file is built")

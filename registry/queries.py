@@ -18,6 +18,7 @@ from cardlake.plans import adhoc, fraud, gold, silver
 from cardlake.schemas import SCORING_INPUT
 from cardlake.session import scratch_dir, stored
 from cardlake.sinks.days import write_by_situation_date, write_ingestion_day
+from cardlake.sinks.loads import entries, held_ranges, load_window
 from cardlake.sources import days, files, relational, snapshots
 from registry import bindings
 from registry.bindings import RAW, table, typed, with_typed
@@ -309,6 +310,41 @@ def bronze_ingestion_day_roundtrip(spark, sf_dir):
     return days.read_days(spark, root, "all")
 
 
+# Windows of ids: one twice, then one that overlaps it and covers the rest.
+_WINDOWS = [(0, 3999), (0, 3999), (2000, 10**12)]
+
+
+def _load_windows(spark: SparkSession, sf_dir: str) -> str:
+    root = scratch_dir(spark, "bronze") + "/transactions"
+    for low, last in _WINDOWS:
+        rows = _snapshot_orders(spark, sf_dir).where(F.col("o_orderkey").between(low, last))
+        load_window(rows, root, (low, last), "o_orderkey")
+    return root
+
+
+@query("bronze_windows_loaded_once", _SNAPSHOT_SQL)
+def bronze_windows_loaded_once(spark, sf_dir):
+    """Every row once, whatever windows were loaded again."""
+    return days.read_days(spark, _load_windows(spark, sf_dir), "all")
+
+
+@query(
+    "bronze_load_ledger",
+    f"""
+    WITH snapshots AS ({_SNAPSHOT_SQL}),
+    loads AS (SELECT DISTINCT situation_date AS day, CASE WHEN o_orderkey < 4000 THEN 0 ELSE 2000 END AS low,
+                     CASE WHEN o_orderkey < 4000 THEN 3999 ELSE 1000000000000 END AS last FROM snapshots)
+    SELECT day, CAST(min(low) AS BIGINT) AS low, CAST(max(last) AS BIGINT) AS last,
+           (SELECT count(*) FROM snapshots WHERE situation_date = day) AS n_rows
+    FROM loads GROUP BY day""",
+)
+def bronze_load_ledger(spark, sf_dir):
+    """What is loaded for each day: one range, as the windows overlap, and the rows that the loads counted."""
+    ledger = entries(spark, _load_windows(spark, sf_dir))
+    counts = ledger.groupBy("day").agg(F.sum("n_rows").alias("n_rows"))
+    return held_ranges(ledger).join(counts, "day")
+
+
 # ---------------------------------------------------------------- Silver
 
 
