@@ -1,6 +1,7 @@
 """Collocations of every language by best-first growth with score bounds.
 
-A phrase grows from its prefix. The prefix's count bounds the score of everything that grows from it: if the first k
+Texts are read once and stored as hashes of their words, under a salt for which no two words share one, so a hash stands
+for its word. A phrase grows from its prefix. The prefix's count bounds the score of everything that grows from it: if the first k
 words occur l times and the prefix a times, no longer phrase scores above 2000000 * a / (l + a). Words are counted
 first, then pairs of frequent words. A threshold per language, taken from the scores of its pairs, is the frontier: only
 prefixes whose bound reaches it are grown to three and four words, and phrases around a pair or triple that reaches it,
@@ -18,11 +19,11 @@ Texts of any length are read whole. Languages without candidates have no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +31,17 @@ from cardlake.llm.common import ship, stored, text_of
 from cardlake.llm.sketches import mixed
 
 TOP, LEAST, SHARE = 2000, 30, 80
-LONGEST = 4
-# Bits of the table of a set of phrases.
-BITS = 2**25
-# Texts and words that are worked on together, and words known to a task; results do not depend on them.
-GROUP_BYTES, BUFFER, KNOWN = 4_000_000, 2_000_000, 1_000_000
+# Bits of the table of a set of phrases, and bytes of a word's hash.
+BITS, DIGEST = 2**25, 8
+# Bytes of texts and words that are worked on together, and words known to a task; results do not depend on them.
+GROUP_BYTES, BUFFER, KNOWN = 1_000_000, 1_000_000, 500_000
+# Words of a stored row, and rows that leave a task together.
+ROW, BATCH_ROWS = 512, 50_000
 # Classes of scores for each doubling, from which thresholds are taken.
 CLASSES = 64
 # The first threshold lets in so many times the wanted pairs, each further one WIDER times more.
 FIRST, WIDER = 2, 4
-COUNTED = "lang string, phrase string, n bigint"
+ENCODED = "lang string, words array<bigint>, word string, hash bigint, n bigint"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 NOTHING, BORDER = 0, 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -48,7 +50,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 class _Numbers(dict):
     """Numbers of one language's words, given out when first asked for."""
 
-    def __init__(self, lang: bytes, owner: Words):
+    def __init__(self, lang: bytes, owner: Vocabulary):
         super().__init__({b"": NOTHING, b"\n": BORDER})
         self.lang, self.owner = lang, owner
 
@@ -60,33 +62,43 @@ class _Numbers(dict):
         return number
 
 
-class Words:
-    """The words of a task by number, and a hash of each that every task has alike."""
+class Vocabulary:
+    """The words of a task by number, how often each was met, and a hash of each that every task has alike."""
 
-    def __init__(self):
+    def __init__(self, salt: int, digest: int):
+        self.salt, self.digest = salt, digest
         self.words, self.langs, self.by_lang = [b"", b""], [b"", b""], {}
-        self.hashes = np.zeros(2, np.uint64)
+        self.hashes, self.counts = np.zeros(2, np.uint64), np.zeros(2, np.int64)
 
-    def numbers(self, lang: bytes, texts: list[bytes]) -> np.ndarray:
-        """Numbers of the words of texts of one language, with BORDER between pieces and texts."""
+    def read(self, lang: bytes, texts: list[bytes]) -> np.ndarray:
+        """Hashes of the words of texts of one language, with 0 between pieces and texts."""
         own = self.by_lang.get(lang)
         if own is None:
             own = self.by_lang[lang] = _Numbers(lang, self)
         tokens = b"\n".join([*texts, b""]).translate(_LOWER).replace(b"\n", b" \n ").split(b" ")
-        found = np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))
-        return found[found != NOTHING]
-
-    def hashed(self) -> np.ndarray:
-        """The hash of every word, under its language."""
+        numbers = np.fromiter(map(own.__getitem__, tokens), np.int64, len(tokens))
         known = len(self.hashes)
         if known < len(self.words):
-            new = b"".join([word_hash(lang, word) for lang, word in zip(self.langs[known:], self.words[known:])])
+            new = b"".join([word_hash(lang, word, self.salt, self.digest) for word in self.words[known:]])
             self.hashes = np.append(self.hashes, np.frombuffer(new, np.uint64))
-        return self.hashes
+            self.counts = np.append(self.counts, np.zeros(len(self.words) - known, np.int64))
+        self.counts += np.bincount(numbers, minlength=len(self.counts))
+        return self.hashes[numbers[numbers != NOTHING]]
+
+    def rows(self):
+        """Every word with its count."""
+        for start in range(2, len(self.words), BATCH_ROWS):
+            part = slice(start, start + BATCH_ROWS)
+            langs, words = (pa.array(values[part], pa.binary()).cast(pa.string()) for values in (self.langs, self.words))
+            none = pa.nulls(len(words), pa.list_(pa.int64()))
+            columns = [langs, none, words, pa.array(self.hashes[part].view(np.int64)), pa.array(self.counts[part])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "word", "hash", "n"])
 
 
-def word_hash(lang: bytes, word: bytes) -> bytes:
-    return hashlib.blake2b(word, digest_size=8, key=hashlib.blake2b(lang, digest_size=16).digest()).digest()
+def word_hash(lang: bytes, word: bytes, salt: int, digest: int = DIGEST) -> bytes:
+    """Eight bytes, of which ``digest`` are used."""
+    key = hashlib.blake2b(lang, digest_size=16).digest()
+    return hashlib.blake2b(word, digest_size=digest, key=key, salt=salt.to_bytes(8, "little")).digest().ljust(8, b"\0")
 
 
 def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -94,6 +106,54 @@ def longer(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mixed(hashes * _STEP + words)
 
 
+def _blocks(batches):
+    """Languages with texts of bounded size, texts of one language together."""
+    some, size = {}, 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").cast(pa.binary()).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            some.setdefault(lang, []).append(text)
+            size += len(text)
+            if size > GROUP_BYTES:
+                yield from some.items()
+                some, size = {}, 0
+    yield from some.items()
+
+
+def _encoder(salt: int, digest: int):
+    """Words as hashes in rows that are cut between pieces, and at the end the words themselves."""
+
+    def encode(batches):
+        known = Vocabulary(salt, digest)
+        for lang, texts in _blocks(batches):
+            hashes = known.read(lang, texts)
+            borders = np.flatnonzero(hashes == 0) + 1
+            wanted = np.searchsorted(borders, np.arange(ROW, len(hashes), ROW))
+            cuts = np.unique(np.concatenate([[0], borders[wanted[wanted < len(borders)]], [len(hashes)]]))
+            lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            n = len(lists)
+            columns = [pa.array([lang] * n, pa.binary()).cast(pa.string()), lists, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "word", "hash", "n"])
+            if len(known.words) > KNOWN:
+                yield from known.rows()
+                known = Vocabulary(salt, digest)
+        yield from known.rows()
+
+    return encode
+
+
+def encoded(rows: DataFrame, digest: int = DIGEST) -> tuple[DataFrame, DataFrame, int]:
+    """The texts as hashes of words, the words with hash and count, and the salt under which no two words share a hash."""
+    ship(rows.sparkSession)
+    for salt in itertools.count():
+        both = stored(rows.select("lang", "text").mapInArrow(_encoder(salt, digest), ENCODED), "encoded")
+        words = both.filter("word is not null").groupBy("lang", "word").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
+        words = stored(words, "words")
+        # A hash of 0 would be a border.
+        clashes = words.groupBy("hash").agg(F.count("*").alias("words")).filter("words > 1 or hash = 0")
+        if clashes.isEmpty():
+            return both.filter("words is not null").select("lang", "words"), words, salt
+
+
 def _spot(hashes: np.ndarray, size: int) -> np.ndarray:
     """The bit of a hash in a table of ``size`` bits, a power of two."""
     return hashes >> np.uint64(65 - size.bit_length())
@@ -110,49 +170,31 @@ class BitTable:
         return (self.bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bit_table(phrases: DataFrame, size: int = BITS) -> BitTable:
-    """The table of the rows' languages and phrases."""
-    ship(phrases.sparkSession)
-
-    def spots(batches):
-        for batch in batches:
-            found = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                words = np.frombuffer(b"".join([word_hash(lang.encode(), word) for word in phrase.encode().split(b" ")]), np.uint64)
-                found.append(reduce(longer, (words[k : k + 1] for k in range(1, len(words))), words[:1])[0])
-            yield pa.RecordBatch.from_arrays([pa.array(_spot(np.array(found, np.uint64), size).astype(np.int64))], names=["spot"])
-
-    mask = F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mask")
-    rows = phrases.select("lang", "phrase").mapInArrow(spots, "spot bigint").groupBy(F.shiftright("spot", 6).alias("at")).agg(mask)
-    # At most size / 64 rows.
-    found = rows.toArrow()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-    return BitTable(bits)
+class Tables:
+    """Makes bit tables of phrases, hashed as the words of :func:`encoded`."""
 
+    def __init__(self, salt: int, bits: int = BITS, digest: int = DIGEST):
+        self.salt, self.bits, self.digest = salt, bits, digest
 
-def _blocks(batches):
-    """Languages with texts of bounded size, texts of one language together."""
-    some, size = {}, 0
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").cast(pa.binary()).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-            some.setdefault(lang, []).append(text)
-            size += len(text)
-            if size > GROUP_BYTES:
-                yield from some.items()
-                some, size = {}, 0
-    yield from some.items()
+    def of(self, phrases: DataFrame) -> BitTable:
+        """The table of the rows' languages and phrases."""
+        salt, size, digest = self.salt, self.bits, self.digest
 
+        def spots(batches):
+            for batch in batches:
+                found = []
+                for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+                    words = np.frombuffer(b"".join([word_hash(lang.encode(), word, salt, digest) for word in phrase.encode().split(b" ")]), np.uint64)
+                    found.append(reduce(longer, (words[k : k + 1] for k in range(1, len(words))), mixed(words[:1]))[0])
+                yield pa.RecordBatch.from_arrays([pa.array(_spot(np.array(found, np.uint64), size).astype(np.int64))], names=["spot"])
 
-def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of columns of numbers below 2^31, and how often each occurs."""
-    keys = columns
-    while len(keys) > 2:
-        _, first = np.unique(keys[0] << 32 | keys[1], return_inverse=True)
-        keys = [first, *keys[2:]] if len(keys) == 3 else [first, np.unique(keys[2] << 32 | keys[3], return_inverse=True)[1]]
-    key = keys[0] << 32 | keys[1] if len(keys) == 2 else keys[0]
-    _, at, times = np.unique(key, return_index=True, return_counts=True)
-    return [column[at] for column in columns], times
+        mask = F.expr("bit_or(shiftleft(1L, cast(spot & 63 as int)))").alias("mask")
+        rows = phrases.select("lang", "phrase").mapInArrow(spots, "spot bigint").groupBy(F.shiftright("spot", 6).alias("at")).agg(mask)
+        # At most bits / 64 rows.
+        found = rows.toArrow()
+        bits = np.zeros(size // 64, np.uint64)
+        bits[found.column("at").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+        return BitTable(bits)
 
 
 class Scope:
@@ -161,27 +203,21 @@ class Scope:
     def __init__(self, length: int, **tables: BitTable):
         self.length, self.tables = length, tables
 
-    def starts(self, numbers: np.ndarray, words: Words) -> np.ndarray:
-        """Where phrases in scope start."""
-        if len(numbers) < self.length:
+    def starts(self, words: np.ndarray) -> np.ndarray:
+        """Where phrases in scope start, in hashes of words with 0 between pieces."""
+        if len(words) < self.length:
             return np.empty(0, np.int64)
-        hashes = words.hashed()
-        if self.length == 1:
-            return np.flatnonzero(numbers != BORDER)
-        tables = self.tables
+        tables, inside, one = self.tables, words != 0, mixed(words)
         if self.length == 2:
-            frequent = tables["words"].holds(hashes)
-            frequent[BORDER] = False
-            found = frequent[numbers]
+            found = inside & tables["words"].holds(one)
             return np.flatnonzero(found[:-1] & found[1:])
-        inside = numbers != BORDER
-        inside = inside[:-1] & inside[1:]
-        one = hashes[numbers]
-        two = longer(one[:-1], one[1:])
+        two = longer(one[:-1], words[1:])
         # Three neighbouring words, all of whose pairs are frequent.
-        pairs = inside & tables["pairs"].holds(two)
+        pairs = inside[:-1] & inside[1:]
+        spots = np.flatnonzero(pairs)
+        pairs[spots] = tables["pairs"].holds(two[spots])
         at = np.flatnonzero(pairs[:-1] & pairs[1:])
-        three = longer(two[at], one[at + 2])
+        three = longer(two[at], words[at + 2])
         if "tails" in tables:
             return at[tables["tails"].holds(three)]
         in_scope = tables["grown"].holds(two[at]) | tables["near"].holds(two[at + 1])
@@ -197,40 +233,63 @@ class Scope:
         return at[follows][wanted & possible[follows] & possible[follows + 1]]
 
 
+def distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns of hashes, and how often each occurs.
+
+    Rows are ordered by one hash of all columns; where two different rows share it, by the columns themselves.
+    """
+    order = np.argsort(reduce(longer, columns[1:], columns[0]), kind="stable")
+    key = reduce(longer, columns[1:], columns[0])[order]
+    ordered = [column[order] for column in columns]
+    differs = [column[1:] != column[:-1] for column in ordered]
+    new = reduce(np.logical_or, differs)
+    if (new & (key[1:] == key[:-1])).any():
+        order = np.lexsort(columns[::-1])
+        ordered = [column[order] for column in columns]
+        new = reduce(np.logical_or, [column[1:] != column[:-1] for column in ordered])
+    first = np.flatnonzero(np.append(np.ones(min(1, len(order)), bool), new))
+    return [column[first] for column in ordered], np.diff(np.append(first, len(order)))
+
+
 def _counter(scope: Scope):
-    def count(batches):
-        words, buffer, size = Words(), [], 0
-
-        def counts():
-            numbers = np.concatenate([np.empty(0, np.int64), *buffer])
-            starts = scope.starts(numbers, words)
-            columns, times = _distinct([numbers[starts + k] for k in range(scope.length)])
-            texts = pa.array(words.words, pa.binary())
-            parts = [texts.take(pa.array(column)) for column in columns]
-            phrases = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if len(parts) > 1 else parts[0]
-            langs = pa.array(words.langs, pa.binary()).take(pa.array(columns[0]))
-            return pa.RecordBatch.from_arrays(
-                [langs.cast(pa.string()), phrases.cast(pa.string()), pa.array(times.astype(np.int64))], names=["lang", "phrase", "n"]
-            )
+    names = [f"w{k}" for k in range(1, scope.length + 1)] + ["n"]
 
-        for lang, texts in _blocks(batches):
-            buffer.append(words.numbers(lang, texts))
+    def counts(buffer):
+        words = np.concatenate([np.empty(0, np.uint64), *buffer])
+        starts = scope.starts(words)
+        columns, times = distinct([words[starts + k] for k in range(scope.length)])
+        for start in range(0, len(times), BATCH_ROWS):
+            part = slice(start, start + BATCH_ROWS)
+            yield pa.RecordBatch.from_arrays([*(pa.array(column[part].view(np.int64)) for column in columns), pa.array(times[part])], names=names)
+
+    def count(batches):
+        buffer, size = [], 0
+        for batch in batches:
+            # Every row ends with a border or the end of a text, and so does every batch.
+            column = batch.column("words")
+            buffer.append(column.flatten().to_numpy().view(np.uint64))
             size += len(buffer[-1])
             if size > BUFFER:
-                yield counts()
+                yield from counts(buffer)
                 buffer, size = [], 0
-                if len(words.words) > KNOWN:
-                    words = Words()
-        yield counts()
+        yield from counts(buffer)
 
     return count
 
 
-def counted(rows: DataFrame, scope: Scope, least: int = 1) -> DataFrame:
-    """Occurrences of every phrase in scope within pieces, overlapping ones included, if it has ``least`` or more."""
-    ship(rows.sparkSession)
-    found = rows.select("lang", "text").mapInArrow(_counter(scope), COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    return found.filter(F.col("n") >= least) if least > 1 else found
+def counted(blocks: DataFrame, words: DataFrame, scope: Scope, least: int = 1) -> DataFrame:
+    """Occurrences of every phrase in scope within pieces, overlapping ones included, if it has ``least`` or more.
+
+    ``words`` has all words of such phrases.
+    """
+    numbered = [f"w{k}" for k in range(1, scope.length + 1)]
+    found = blocks.select("words").mapInArrow(_counter(scope), ", ".join(f"{name} bigint" for name in [*numbered, "n"]))
+    found = found.groupBy(*numbered).agg(F.sum("n").alias("n"))
+    found = stored(found.filter(F.col("n") >= least) if least > 1 else found, "counted")
+    for name in numbered:
+        lang = ["lang"] if name == "w1" else []
+        found = found.join(words.select(F.col("hash").alias(name), F.col("word").alias(f"{name}_word"), *lang), name)
+    return found.select("lang", F.concat_ws(" ", *(f"{name}_word" for name in numbered)).alias("phrase"), "n")
 
 
 def score(a: str, total: str):
@@ -272,25 +331,24 @@ def _as_counts(found: DataFrame) -> DataFrame:
     return found.select("lang", "phrase", F.col("a").alias("n"))
 
 
-def frontier(rows: DataFrame, words: DataFrame, pairs: DataFrame, limits: DataFrame, least: int, share: int, bits: int = BITS) -> DataFrame:
+def frontier(blocks: DataFrame, words: DataFrame, pairs: DataFrame, limits: DataFrame, tables: Tables, least: int, share: int) -> DataFrame:
     """All surviving phrases that reach their language's threshold, for the languages of ``limits``."""
-    rows = rows.join(limits, "lang", "left_semi")
+    blocks = blocks.join(limits, "lang", "left_semi")
     own = pairs.join(limits, "lang")
     reaches, grows = F.col("score") >= F.col("threshold"), F.col("bound") >= F.col("threshold")
-    known = {"pairs": bit_table(own, bits), "grown": bit_table(own.filter(grows), bits), "near": bit_table(own.filter(reaches), bits)}
-    parts = words.unionByName(_as_counts(pairs))
-    triples = stored(scored(counted(rows, Scope(3, **known), least), parts), "triples")
+    known = {"pairs": tables.of(own), "grown": tables.of(own.filter(grows)), "near": tables.of(own.filter(reaches))}
+    parts = words.select("lang", F.col("word").alias("phrase"), "n").unionByName(_as_counts(pairs))
+    triples = stored(scored(counted(blocks, words, Scope(3, **known), least), parts), "triples")
     threes = triples.join(limits, "lang")
-    known["triples"] = bit_table(triples, bits)
-    known |= {"grown triples": bit_table(threes.filter(grows), bits), "near triples": bit_table(threes.filter(reaches), bits)}
-    fours = stored(counted(rows, Scope(4, **known), least), "fours")
+    known |= {"triples": tables.of(triples), "grown triples": tables.of(threes.filter(grows)), "near triples": tables.of(threes.filter(reaches))}
+    fours = stored(counted(blocks, words, Scope(4, **known), least), "fours")
     parts = parts.unionByName(_as_counts(triples))
     whole = stored(scored(fours, parts).join(limits, "lang").filter(reaches), "whole-fours")
     unknown = whole.filter("unknown")
     if not unknown.isEmpty():
         # Rests of three words that were out of scope.
         tails = unknown.select("lang", F.array_join(F.slice(F.split("phrase", " "), 2, 3), " ").alias("phrase")).distinct()
-        counts = counted(rows, Scope(3, pairs=known["pairs"], tails=bit_table(tails, bits)))
+        counts = counted(blocks, words, Scope(3, pairs=known["pairs"], tails=tables.of(tails)))
         missing = stored(counts.join(tails, ["lang", "phrase"], "left_semi"), "tails")
         whole = scored(whole.select("lang", "phrase", F.col("a").alias("n")), parts.unionByName(missing)).join(limits, "lang").filter(reaches)
     columns = ["lang", "phrase", "a", "l", "r", "score"]
@@ -305,20 +363,22 @@ def frontier(rows: DataFrame, words: DataFrame, pairs: DataFrame, limits: DataFr
     return reached.join(around, ["lang", "phrase"], "left").filter(~F.coalesce(held, F.lit(False))).drop("around")
 
 
-def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int = SHARE, bits: int = BITS) -> DataFrame:
+def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int = SHARE, bits: int = BITS, digest: int = DIGEST) -> DataFrame:
     """The best ``top`` phrases of two to four words of each language.
 
     Candidates occur ``least`` times or more. One is left out if a longer one around it occurs ``share`` percent as often.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of("text").alias("text"))
-    every = stored(counted(rows, Scope(1)), "words")
+    blocks, every, salt = encoded(rows, digest)
+    tables = Tables(salt, bits, digest)
     totals = stored(every.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    words = every.filter(F.col("n") >= least)
-    pairs = stored(scored(counted(rows, Scope(2, words=bit_table(words, bits)), least), words), "pairs")
+    words = stored(every.filter(F.col("n") >= least), "frequent-words")
+    single = words.select("lang", F.col("word").alias("phrase"), "n")
+    pairs = stored(scored(counted(blocks, words, Scope(2, words=tables.of(single)), least), single), "pairs")
     langs, wanted, done = stored(pairs.select("lang").distinct(), "langs"), FIRST * top, []
     while not langs.isEmpty():
         limits = stored(thresholds(pairs, langs, wanted), "thresholds")
-        found = stored(frontier(rows, words, pairs, limits, least, share, bits), "survivors")
+        found = stored(frontier(blocks, words, pairs, limits, tables, least, share), "survivors")
         sizes = limits.join(found.groupBy("lang").agg(F.count("*").alias("found")), "lang", "left")
         settled = (F.coalesce("found", F.lit(0)) >= top) | (F.col("threshold") == 0)
         sizes = stored(sizes.select("lang", settled.alias("settled")), "settled")

@@ -75,24 +75,43 @@ def test_full_tables_change_nothing(spark, monkeypatch):
     assert found(spark, rows, top=15, least=4, bits=64) == brute(rows, 15, 4)
 
 
-def test_counts_do_not_depend_on_the_limits_of_a_task(monkeypatch):
+def test_hashes_that_clash_are_drawn_again(spark):
+    """With one byte a hash, most salts give two words the same one."""
+    rows = [(f"a b c d{i % 4} e f. {i % 5} g", "en") for i in range(60)]
+    assert found(spark, rows, top=10, least=5, digest=1) == brute(rows, 10, 5)
+
+
+def test_what_a_task_gives_does_not_depend_on_its_limits(monkeypatch):
     rows = corpus(100, 6)
     batch = pa.RecordBatch.from_pydict({"lang": [lang or "und" for _, lang in rows], "text": [text for text, _ in rows]})
 
-    def counts(length):
+    def results():
+        one, two, blocks = Counter(), Counter(), []
+        for part in collocations._encoder(0, 8)([batch, batch]):
+            for lang, word, n in zip(*(part.column(c).to_pylist() for c in ("lang", "word", "n"))):
+                one[lang, word] += n or 0
+            some = part.filter(part.column("words").is_valid())
+            blocks += [some.select(["words"])] if some.num_rows else []
         # Every pair is in scope of a table whose bits are all set.
-        scope = collocations.Scope(length, words=collocations.BitTable(np.array([2**64 - 1], np.uint64)))
-        total = Counter()
-        for part in collocations._counter(scope)([batch, batch]):
-            for lang, phrase, n in zip(*(part.column(c).to_pylist() for c in ("lang", "phrase", "n"))):
-                total[lang, phrase] += n
-        return total
+        scope = collocations.Scope(2, words=collocations.BitTable(np.array([2**64 - 1], np.uint64)))
+        for part in collocations._counter(scope)(blocks):
+            for first, second, n in zip(*(part.column(c).to_pylist() for c in ("w1", "w2", "n"))):
+                two[first, second] += n
+        return one, two
+
+    wide = results()
+    for name, limit in (("BUFFER", 50), ("KNOWN", 5), ("GROUP_BYTES", 20), ("ROW", 3), ("BATCH_ROWS", 2)):
+        monkeypatch.setattr(collocations, name, limit)
+    assert results() == wide and len(wide[1]) > 100
+
 
-    wide = [counts(1), counts(2)]
-    monkeypatch.setattr(collocations, "BUFFER", 50)
-    monkeypatch.setattr(collocations, "KNOWN", 5)
-    monkeypatch.setattr(collocations, "GROUP_BYTES", 20)
-    assert [counts(1), counts(2)] == wide and len(wide[1]) > 100
+def test_distinct_rows_of_hashes():
+    r = np.random.Generator(np.random.PCG64(1))
+    for width in (1, 2, 3, 4):
+        columns = [r.integers(0, 4, 500).astype(np.uint64) for _ in range(width)]
+        rows, times = collocations.distinct(columns)
+        assert Counter(dict(zip(zip(*(column.tolist() for column in rows)), times.tolist()))) == Counter(zip(*(column.tolist() for column in columns)))
+    assert [len(x) for x in (*collocations.distinct([np.empty(0, np.uint64)] * 2)[0], collocations.distinct([np.empty(0, np.uint64)] * 2)[1])] == [0, 0, 0]
 
 
 def test_rests_of_three_words_outside_the_frontier(spark):
@@ -120,8 +139,9 @@ def test_empty_tables(spark):
 
 def test_no_bound_is_below_a_score(spark):
     docs = spark.createDataFrame(corpus(200, 6), "text string, lang string").fillna("und", ["lang"])
-    one = collocations.counted(docs, collocations.Scope(1))
-    two = collocations.scored(collocations.counted(docs, collocations.Scope(2, words=collocations.bit_table(one)), 2), one)
+    blocks, words, salt = collocations.encoded(docs)
+    single = words.selectExpr("lang", "word as phrase", "n")
+    two = collocations.scored(collocations.counted(blocks, words, collocations.Scope(2, words=collocations.Tables(salt).of(single)), 2), single)
     assert two.count() and two.filter("score > bound").count() == 0
 
 
