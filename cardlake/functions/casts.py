@@ -68,35 +68,6 @@ def money(name: str) -> Column:
     return _decimal_number(F.translate(F.col(name), "$,", ""))
 
 
-# Twenty digits before the point and eighteen behind it.
-EXACT = "decimal(38,18)"
-
-
-def exact(name: str) -> Column:
-    """The amount as a decimal with all its digits; null for amounts of 1e20 or more."""
-    return F.col(name).try_cast(EXACT)
-
-
-def beyond_exact(name: str) -> Column:
-    """The amount as a number where it has no exact decimal, else null."""
-    return F.when(exact(name).isNull(), F.col(name).cast("double"))
-
-
-def money_total(exact_sum: Column, beyond_sum: Column) -> Column:
-    """A total of both parts; null where neither has an amount."""
-    return F.when(beyond_sum.isNull(), exact_sum.cast("double")).otherwise(
-        beyond_sum + F.coalesce(exact_sum.cast("double"), F.lit(0.0))
-    )
-
-
-def exact_money_sum(name: str) -> Column:
-    """Sum as decimals: exact, so the order of the rows does not matter, and no amount is rounded.
-
-    Amounts too large for a decimal are added as doubles, so that one of them does not end the job.
-    """
-    return money_total(F.try_sum(exact(name)), F.sum(beyond_exact(name)))
-
-
 def flag(name: str, yes: str = "YES", no: str = "NO", exact_case: bool = False) -> Column:
     """Nullable boolean of a yes/no text; any other text is null."""
     text = F.col(name) if exact_case else F.upper(F.trim(F.col(name)))

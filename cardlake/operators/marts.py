@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardlake.functions.casts import beyond_exact, exact, money_total
+from cardlake.functions.sums import sum_parts, total_of_parts
 from cardlake.operators.joins import clients_with_cards, describe_categories
 
 
@@ -20,30 +20,19 @@ def dm_clients(users: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def per_state_and_code(transactions: DataFrame) -> DataFrame:
-    """Amount and number of transactions per merchant state and category code.
+    """Amount, in parts, and number of transactions per merchant state and category code.
 
-    One pass over the transactions; the region and the category mart are both sums over its rows. ``near_usd`` is the
-    sum of the exact amounts as doubles, for sums that have no exact decimal.
+    One pass over the transactions; the region and the category mart are both sums over its rows.
     """
-    return transactions.groupBy("merchant_state", "mcc").agg(
-        F.try_sum(exact("amount_usd")).alias("exact_usd"),
-        F.sum(exact("amount_usd").cast("double")).alias("near_usd"),
-        F.sum(beyond_exact("amount_usd")).alias("beyond_usd"),
-        F.count("*").alias("n"),
-    )
+    return transactions.groupBy("merchant_state", "mcc").agg(*sum_parts("amount_usd"), F.count("*").alias("n"))
 
 
 def dm_transactions_par_region(rolled: DataFrame) -> DataFrame:
     """Amount per merchant state, from ``per_state_and_code``; missing amounts are skipped, a missing state is a group.
 
-    Roll up plain transactions. Rows joined with labels count an amount once per label. Where a sum of exact amounts
-    reaches 1e20, they are added as doubles.
+    Roll up plain transactions. Rows joined with labels count an amount once per label.
     """
-    overflowed = F.count_if(F.col("exact_usd").isNull() & F.col("near_usd").isNotNull()) > 0
-    exact_sum = F.when(~overflowed, F.try_sum("exact_usd").cast("double"))
-    return rolled.groupBy("merchant_state").agg(
-        money_total(F.coalesce(exact_sum, F.sum("near_usd")), F.sum("beyond_usd")).alias("total_usd")
-    )
+    return rolled.groupBy("merchant_state").agg(total_of_parts().alias("total_usd"))
 
 
 def dm_cartes(cards: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardlake.functions.casts import exact_money_sum
+from cardlake.functions.sums import exact_sum
 
 
 def state_totals(region_mart: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def online_segment(fraud_mart: DataFrame) -> DataFrame:
 def credit_by_gender(client_mart: DataFrame) -> DataFrame:
     """Cards and available credit per gender."""
     return client_mart.groupBy("gender").agg(
-        F.count("*").alias("nb_cards"), exact_money_sum("credit_limit_usd").alias("credit_limit_usd")
+        F.count("*").alias("nb_cards"), exact_sum("credit_limit_usd").alias("credit_limit_usd")
     )
 
 

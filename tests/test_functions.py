@@ -74,22 +74,6 @@ def test_fraud_flag(spark):
     assert applied(spark, values, casts.fraud_flag("v", ("1",))) == [0, 0, 1, 0, 0]
 
 
-def test_money_sum_does_not_depend_on_order(spark):
-    values = [0.1, 0.2, 1e12, -1e12, 0.3] * 20
-    for order in (values, sorted(values), sorted(values, reverse=True)):
-        df = spark.createDataFrame([(v,) for v in order], "v double").repartition(3)
-        assert df.agg(casts.exact_money_sum("v")).first()[0] == 12.0
-
-
-@pytest.mark.parametrize(
-    ("values", "total"),
-    [([0.005, 0.005, 0.004], 0.014), ([1e30, 1.5], 1e30), ([1e30, -1e30, None], 0.0), ([None], None), ([0.1] * 10, 1.0), ([1e19, 0.25], 1e19)],
-)
-def test_money_sum_rounds_no_amount_and_stands_huge_ones(spark, values, total):
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    assert df.agg(casts.exact_money_sum("v")).first()[0] == total
-
-
 def test_day_parts(spark):
     df = spark.createDataFrame([("2025-05-09 01:02:03",), ("?",)], "situation_date string")
     assert [tuple(r) for r in dates.with_day_parts(df).collect()] == [

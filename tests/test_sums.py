@@ -1,0 +1,62 @@
+import random
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from cardlake.functions.sums import exact_sum, sum_parts, total_of_parts
+
+
+def sums(spark, values, parts=3):
+    """The sum in one step, and in two over groups of rows."""
+    df = spark.createDataFrame([(v, i % 7) for i, v in enumerate(values)], "v double, g int").repartition(parts)
+    rolled = df.groupBy("g").agg(*sum_parts("v"))
+    return df.agg(exact_sum("v")).first()[0], rolled.agg(total_of_parts()).first()[0]
+
+
+def true_sum(values):
+    """Correctly rounded sum of the decimals that the doubles stand for."""
+    known = [Fraction(repr(v)) for v in values if v is not None]
+    return float(sum(known)) if known else None
+
+
+def test_does_not_depend_on_order(spark):
+    values = [0.1, 0.2, 1e12, -1e12, 0.3] * 20
+    for order in (values, sorted(values), sorted(values, reverse=True)):
+        assert sums(spark, order) == (12.0, 12.0)
+
+
+@pytest.mark.parametrize(
+    ("values", "total"),
+    [
+        ([0.005, 0.005, 0.004], 0.014), ([1e30, 1.5], 1e30), ([1e30, -1e30, None], 0.0), ([None], None), ([0.1] * 10, 1.0),
+        ([1e19, 0.25], 1e19), ([9e19, 9e19], 1.8e20), ([9e19, 9e19, 9e19, -9e19, 0.1], 1.8e20), ([9e19, -9e19, 0.1, 0.2], 0.3),
+        ([1e300, 5.0], 1e300), ([float("inf"), 1.0], float("inf")), ([], None), ([9e37, 9e37, 1.0], 1.8e38), ([0.0, -0.0], 0.0),
+        ([1.00005, 2.00005], 3.0001), ([1e-18] * 3, 3e-18), ([-0.0001, -0.00005], -0.00015), ([2.0**44 / 10_000, -0.25], 2.0**44 / 10_000 - 0.25),
+    ],
+)
+def test_rounds_no_amount_and_stands_huge_ones(spark, values, total):
+    assert sums(spark, values) == (total, total)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sums_are_the_nearest_doubles(spark, seed):
+    r = random.Random(seed)
+    kinds = [
+        lambda: round(r.uniform(-1e6, 1e6), r.randint(0, 4)), lambda: round(r.uniform(-1e9, 1e9), 2), lambda: r.uniform(-1, 1),
+        lambda: round(r.uniform(-100, 100), 9), lambda: float(r.randint(-(10**15), 10**15)), lambda: None, lambda: r.choice([0.07, -1e15, 1759218604.4416]),
+    ]
+    # What has more than eighteen decimals is no amount.
+    values = [v if v is None or len(repr(v).partition(".")[2]) <= 16 and "e" not in repr(v) or abs(v) > 1 else round(v, 15) for v in (r.choice(kinds)() for _ in range(400))]
+    assert sums(spark, values) == (true_sum(values),) * 2
+
+
+def test_other_types(spark):
+    df = spark.range(10).select(F.col("id").cast("int").alias("v"))
+    assert df.agg(exact_sum("v")).first()[0] == 45.0
+    assert spark.range(3).select(F.lit("1.5").cast("decimal(10,2)").alias("v")).agg(exact_sum("v")).first()[0] == 4.5
+
+
+def test_nothing_is_a_decimal_where_amounts_are_plain(spark):
+    rolled = spark.createDataFrame([(0.1, 1), (-1234.5678, 1)], "v double, g int").groupBy("g").agg(*sum_parts("v")).first()
+    assert rolled.odd_whole is None and rolled.odd_near is None and rolled.units_high is not None
