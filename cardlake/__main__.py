@@ -18,6 +18,7 @@ from cardlake.plans import adhoc, bronze, fraud, gold, silver
 from cardlake.schemas import GOLD
 from cardlake.session import build_session
 from cardlake.sinks.relational import write_jdbc
+from cardlake.sinks.versions import read_current
 from cardlake.sources.files import LABEL_SHAPES, read_csv
 from cardlake.sources.relational import DEFAULT_SIZE
 from cardlake.sources.snapshots import half_snapshot, stamp
@@ -101,7 +102,9 @@ def run_train(spark, args) -> None:
     balance = {row["fraud_label"]: row["n_rows"] for row in class_balance(training.unionByName(test)).collect()}
     log.info("sample: %s", balance)
     log.info("missing numbers: %s", fraud.missing_features(training).first().asDict())
-    model = fraud.train(training, args.max_iter, args.max_bins, args.seed, args.handle_invalid, args.parts)
+    parts = fraud.training_of(fraud.load(args.parts_of))["parts"] if args.parts_of else args.parts
+    model = fraud.train(training, args.max_iter, args.max_bins, args.seed, args.handle_invalid, parts, args.rare)
+    log.info("trained on: %s", fraud.training_of(model))
     log.info("AUC: %s", fraud.area_under_roc(fraud.score(model, test)))
     fraud.save(model, args.model)
 
@@ -113,7 +116,7 @@ def run_score(spark, args) -> None:
 
 
 def run_query(spark, args) -> None:
-    adhoc.register_marts({name: spark.read.parquet(f"{args.gold}/{name}") for name in GOLD})
+    adhoc.register_marts({name: read_current(spark, f"{args.gold}/{name}") for name in GOLD})
     _, path = adhoc.run_and_export(spark, args.sql, args.output)
     log.info("exported to %s", path)
 
@@ -174,13 +177,16 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     fit.add_argument("--model", required=True)
     fit.add_argument("--silver", help="folder of the Silver tables; the catalog is used when left out")
     fit.add_argument("--max-iter", type=int, default=30)
-    fit.add_argument("--max-bins", type=int, default=200)
+    fit.add_argument("--max-bins", type=int, default=fraud.MAX_BINS)
     fit.add_argument("--handle-invalid", choices=("error", "skip", "keep"), default="error")
     fit.add_argument("--fraud-values", nargs="+", default=list(FRAUD_VALUES), help="labels that mean fraud")
     fit.add_argument("--seed", type=int, default=42)
     fit.add_argument("--keep-one-in", type=int, default=10, help="of the other transactions, one in so many is used")
     fit.add_argument("--train-percent", type=int, default=80)
-    fit.add_argument("--parts", type=int, default=fraud.PARTS, help="parts of the training rows")
+    fit.add_argument("--rare", choices=("error", "fold"), default="error", help="what a column with more values than bins does")
+    parts = fit.add_mutually_exclusive_group()
+    parts.add_argument("--parts", type=int, help="parts of the training rows; by their number when left out")
+    parts.add_argument("--parts-of", help="folder of a model whose number of parts is used again")
 
     rate = job("score", run_score)
     rate.add_argument("--model", required=True)

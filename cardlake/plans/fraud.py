@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardlake.operators.indexing import category_index, index_sizes
 from cardlake.operators.joins import FRAUD_VALUES, feature_base, flag_labels
 from cardlake.operators.sampling import balanced_sample, train_test_split
 from cardlake.session import ensure_checkpoint_dir, stored
@@ -19,17 +20,32 @@ NUMERIC = ["amount_usd", "credit_limit_usd"]
 INDEXED = [f"{name}_idx" for name in CATEGORICAL]
 FEATURES = NUMERIC + INDEXED
 
-# Parts of the training rows; more for samples that do not fit into the memory of so many tasks.
-PARTS = 16
+MAX_BINS = 200
+# Least parts of the training rows, and rows of a part beyond them.
+PARTS, ROWS_PER_PART = 16, 200_000
 
 
-def fit_indexers(df: DataFrame, columns: list[str] = CATEGORICAL) -> StringIndexerModel:
+def parts_for(n_rows: int) -> int:
+    """Parts of so many training rows: a number that follows from the rows, not from files or cores."""
+    return max(PARTS, -(-n_rows // ROWS_PER_PART))
+
+
+def fit_indexers(df: DataFrame, columns: list[str] = CATEGORICAL, max_bins: int = MAX_BINS, rare: str = "error") -> PipelineModel:
     """Indexes by falling frequency, then by text; unseen and missing values get the next free index.
 
-    The indexer collects the distinct values of its columns.
+    Trees need all values of a column at once, at most ``max_bins`` with that index. A column with more fails with the
+    number that it needs; with ``rare="fold"`` its rarest values share the index of unseen ones.
     """
-    indexer = StringIndexer(inputCols=columns, outputCols=[f"{c}_idx" for c in columns], handleInvalid="keep")
-    return indexer.fit(df)
+    if rare not in ("error", "fold"):
+        raise ValueError(f"rare must be 'error' or 'fold', not {rare!r}")
+    index = stored(category_index(df, columns), "index")
+    needed, column = max(((index_size + 1, name) for name, index_size in index_sizes(index).items()), default=(0, ""))
+    if needed > max_bins and rare == "error":
+        raise ValueError(f"{column} needs {needed} bins, and max_bins is {max_bins}")
+    # At most max_bins - 1 values of each column.
+    kept = index.where(index["idx"] < max_bins - 1).orderBy("name", "idx").collect()
+    labels = {name: [row["value"] for row in kept if row["name"] == name] for name in columns}
+    return PipelineModel([StringIndexerModel.from_labels(labels[name], name, f"{name}_idx", "keep") for name in columns])
 
 
 def assembler(handle_invalid: str = "error") -> VectorAssembler:
@@ -96,25 +112,24 @@ def prepare_training(
 def train(
     training: DataFrame,
     max_iter: int = 30,
-    max_bins: int = 200,
+    max_bins: int = MAX_BINS,
     seed: int = 42,
     handle_invalid: str = "error",
-    parts: int = PARTS,
+    parts: int | None = None,
+    rare: str = "error",
 ) -> PipelineModel:
     """Fit indexers, assembler and boosted trees. The model depends on the rows and the arguments only.
 
-    A category column with more values than bins fails, with the number that it needs.
+    Without ``parts`` their number follows from the number of rows. ``training_of`` tells rows and parts of a model.
     """
-    if training.isEmpty():
+    n_rows = training.count()
+    if not n_rows:
         raise ValueError("the training set is empty; check the labels and the sample")
     # With a checkpoint folder the boosting cuts its lineage every few rounds.
     ensure_checkpoint_dir(training.sparkSession)
+    parts = parts or parts_for(n_rows)
     rows = arranged(training, parts)
-    indexers = fit_indexers(rows)
-    # Every column has one more index, for unseen and missing values.
-    needed, column = max((len(labels) + 1, name) for name, labels in zip(CATEGORICAL, indexers.labelsArray))
-    if needed > max_bins:
-        raise ValueError(f"{column} needs {needed} bins, and max_bins is {max_bins}")
+    indexers = fit_indexers(training, CATEGORICAL, max_bins, rare)
     classifier = GBTClassifier(
         labelCol="fraud_label",
         featuresCol="features",
@@ -122,7 +137,9 @@ def train(
         maxBins=max_bins,
         seed=seed,
     )
-    return Pipeline(stages=[indexers, assembler(handle_invalid), classifier]).fit(rows)
+    model = Pipeline(stages=[indexers, assembler(handle_invalid), classifier]).fit(rows)
+    model.training = {"rows": n_rows, "parts": parts}
+    return model
 
 
 def check_inputs(rows: DataFrame) -> DataFrame:
@@ -146,9 +163,28 @@ def area_under_roc(scored: DataFrame, score_column: str = "rawPrediction", label
     ).evaluate(scored)
 
 
+def training_of(model: PipelineModel) -> dict[str, int]:
+    """Rows and parts that the model was trained on; a rerun with these parts gives the same trees."""
+    return dict(getattr(model, "training", {}))
+
+
+def _training_path(path: str) -> str:
+    return f"{path.rstrip('/')}/training"
+
+
 def save(model: PipelineModel, path: str) -> None:
+    """Store the model, and beside its stages what it was trained on."""
     model.write().overwrite().save(path)
+    known = training_of(model)
+    if known:
+        spark = SparkSession.active()
+        spark.createDataFrame([(known["rows"], known["parts"])], "rows bigint, parts int").coalesce(1).write.json(_training_path(path))
 
 
 def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    model = PipelineModel.load(path)
+    spark = SparkSession.active()
+    notes = spark._jvm.org.apache.hadoop.fs.Path(_training_path(path))
+    if notes.getFileSystem(spark._jsc.hadoopConfiguration()).exists(notes):
+        model.training = spark.read.schema("rows bigint, parts int").json(_training_path(path)).first().asDict()
+    return model

@@ -9,6 +9,7 @@ from cardlake.operators.joins import FRAUD_VALUES, label_transactions
 from cardlake.session import stored
 from cardlake.sinks.relational import write_jdbc
 from cardlake.sinks.tables import write_table
+from cardlake.sinks.versions import read_current
 
 
 def build_marts(
@@ -44,7 +45,7 @@ def read_silver(
     spark: SparkSession, entity: str, silver_root: str | None = None, database: str = "silver"
 ) -> DataFrame:
     """A Silver table by name, or by its folder where no shared catalog keeps the names."""
-    return spark.read.parquet(f"{silver_root}/{entity}") if silver_root else spark.table(f"{database}.{entity}")
+    return read_current(spark, f"{silver_root}/{entity}") if silver_root else spark.table(f"{database}.{entity}")
 
 
 def refresh_gold(

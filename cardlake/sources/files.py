@@ -58,13 +58,12 @@ def _all_but(wrong: Column, what: str, text: Column) -> Column:
     return F.when(wrong, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
 
 
-def read_label_records(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_label_records(spark: SparkSession, path: str) -> DataFrame:
     """Label file with one JSON record, or one array of records, per line.
 
-    ``multiline`` reads one array per file that is spread over lines; a file is then one task. A record that does not
-    parse, or has neither an id nor a label, fails the job.
+    A record that does not parse, or has neither an id nor a label, fails the job.
     """
-    rows = spark.read.schema(LABEL_RECORDS).option("mode", "FAILFAST").option("multiLine", multiline).json(path)
+    rows = spark.read.schema(LABEL_RECORDS).option("mode", "FAILFAST").json(path)
     nothing = F.col("id").isNull() & F.col("label").isNull()
     return rows.where(_all_but(nothing, "a label record", F.to_json(F.struct("id", "label"))))
 
@@ -95,6 +94,32 @@ def read_label_pairs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Text up to a closing brace: a record of an array, or what follows the last one.
+_ARRAY_RECORD = r"^[\s\[,]*\{[^{}]*$"
+_ARRAY_END = r"^[\s\]]*$"
+
+
+def read_label_array(spark: SparkSession, path: str) -> DataFrame:
+    """Labels stored as one JSON array of records per file, over one line or many, however large.
+
+    The file is split at the closing braces, so that many tasks read parts of one array. Records are flat, and their
+    texts hold no braces; anything else fails the job instead of losing labels. Brackets are counted first, to find an
+    array that is cut off between two records.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path)
+    text = F.col("value")
+    opened, closed = pieces.agg(F.count_if(text.rlike(r"^\s*\[")), F.count_if(text.rlike(r"^[^{]*\]\s*$"))).first()
+    if opened != closed:
+        raise ValueError(f"not a label record: of the arrays {opened} are opened and {closed} closed in {path}")
+    records = pieces.where(~text.rlike(_ARRAY_END) & ~text.rlike(r"^\s*\[\s*\]\s*$"))
+    checked = records.where(_all_but(~text.rlike(_ARRAY_RECORD), "a label record", text))
+    # Null for what is no record, as the engine may parse before it filters.
+    whole = F.when(text.rlike(_ARRAY_RECORD), F.concat(F.regexp_replace("value", r"^[\s\[,]+", ""), F.lit("}")))
+    rows = checked.select(F.from_json(whole, LABEL_RECORDS, {"mode": "FAILFAST"}).alias("record"), text.alias("_text")).select("record.*", "_text")
+    nothing = F.col("id").isNull() & F.col("label").isNull()
+    return rows.where(_all_but(nothing, "a label record", F.col("_text"))).drop("_text")
+
+
 LABEL_SHAPES = ("pairs", "records", "array")
 
 
@@ -105,9 +130,7 @@ def read_labels(spark: SparkSession, path: str, shape: str = "pairs") -> DataFra
     """
     if shape not in LABEL_SHAPES:
         raise ValueError(f"unknown label file shape {shape!r}; known: {LABEL_SHAPES}")
-    if shape == "pairs":
-        return read_label_pairs(spark, path)
-    return read_label_records(spark, path, multiline=shape == "array")
+    return {"pairs": read_label_pairs, "records": read_label_records, "array": read_label_array}[shape](spark, path)
 
 
 JSON_READERS = {"mcc_codes": read_code_map, "train_fraud_labels": read_labels}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cardlake.functions.casts import flag, gender_code, money, to_day, to_double, to_int, to_timestamp
 from cardlake.functions.dates import with_day_parts
 from cardlake.functions.hashing import hash_bucket
-from cardlake.operators import joins, marts, quality, reports, sampling
+from cardlake.operators import indexing, joins, marts, quality, reports, sampling
 from cardlake.operators.cleaning import CLEANERS
 from cardlake.plans import adhoc, fraud, gold, silver
 from cardlake.schemas import SCORING_INPUT
@@ -145,6 +145,25 @@ def src_json_pairs(spark, sf_dir):
     return files.read_json(spark, "train_fraud_labels", path, shape="pairs")
 
 
+@query(
+    "src_json_array",
+    with_typed("fraud_labels") + "SELECT CAST(id AS VARCHAR) AS id, label FROM fraud_labels",
+)
+def src_json_array(spark, sf_dir):
+    """Arrays of records over many lines, one to a file; some ids are numbers, and columns come in both orders."""
+    path = scratch_dir(spark, "json")
+    number = F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise(F.concat(F.lit('"'), F.col("id").cast("string"), F.lit('"')))
+    one = F.concat(F.lit('  {"id": '), number, F.lit(',\n   "label": "'), "label", F.lit('"}'))
+    other = F.concat(F.lit('  {"label": "'), F.col("label"), F.lit('", "id": '), number, F.lit(', "more": null}'))
+    record = F.when(F.col("id") % 2 == 0, one).otherwise(other)
+    # At most 22 000 labels to a file.
+    block = F.floor(F.col("id") / 20_000).alias("block")
+    arrays = typed(spark, sf_dir, "fraud_labels").select(block, record.alias("record")).groupBy("block")
+    arrays = arrays.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("record"), ",\n"), F.lit("\n]")).alias("value"))
+    arrays.write.mode("overwrite").partitionBy("block").text(path)
+    return files.read_json(spark, "train_fraud_labels", path, shape="array").select("id", "label")
+
+
 _RANGE_START, _RANGE_END, _RANGE_SIZE = -3000, 10_000, 3000
 
 
@@ -854,7 +873,7 @@ def _index_sql(source: str) -> str:
 @query("ml_string_index", _BASE + _index_sql("base"))
 def ml_string_index(spark, sf_dir):
     base = stored(_base(spark, sf_dir), "base")
-    indexed = fraud.fit_indexers(base).transform(base)
+    indexed = indexing.with_indexes(base, stored(indexing.category_index(base, fraud.CATEGORICAL), "index"), fraud.CATEGORICAL)
     pairs = [
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"), F.col(f"{c}_idx").alias("idx"))
         for c in fraud.CATEGORICAL
@@ -863,6 +882,27 @@ def ml_string_index(spark, sf_dir):
     return rows.groupBy("name", "value", "idx").agg(F.count("*").alias("n_rows"))
 
 
+# As many values of a column as have an index of their own, in the folded index.
+_FOLD = 3
+
+
+@query(
+    "ml_folded_index",
+    _BASE + f", indexes AS ({_index_sql('base')}) SELECT name, least(idx, {_FOLD}) AS idx, CAST(sum(n_rows) AS BIGINT) AS n_rows "
+    f"FROM (SELECT name, n_rows, CASE WHEN value IS NULL THEN {_FOLD} ELSE idx END AS idx FROM indexes) GROUP BY ALL",
+)
+def ml_folded_index(spark, sf_dir):
+    """Rows of every index where rare, unseen and missing values share one; a column of few values has a smaller one."""
+    base = stored(_base(spark, sf_dir), "base")
+    index = stored(indexing.category_index(base, fraud.CATEGORICAL, _FOLD), "index")
+    indexed = indexing.with_indexes(base, index, fraud.CATEGORICAL)
+    # Of a column with fewer values the next free index is below _FOLD.
+    own = [F.when(F.col(c).isNull(), float(_FOLD)).otherwise(F.col(f"{c}_idx")) for c in fraud.CATEGORICAL]
+    pairs = [F.struct(F.lit(c).alias("name"), idx.alias("idx")) for c, idx in zip(fraud.CATEGORICAL, own)]
+    rows = indexed.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*")
+    return rows.groupBy("name", "idx").agg(F.count("*").alias("n_rows"))
+
+
 @query(
     "ml_feature_matrix",
     _SAMPLE + f", indexes AS ({_index_sql('sample')}) SELECT s.id, s.fraud_label, amount_usd, credit_limit_usd, "

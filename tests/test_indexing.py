@@ -1,0 +1,110 @@
+import random
+from collections import Counter
+from unittest import mock
+
+import pytest
+from pyspark.sql import functions as F
+
+from cardlake.operators import indexing
+from cardlake.plans import fraud
+
+SCHEMA = "id bigint, s string, n int, idx double"
+
+
+def rows_of(seed, n=2000):
+    r = random.Random(seed)
+    values = [None, "", "é", "z", *(f"v{i}" for i in range(150))]
+    # A third of all rows on one value, and many ties.
+    return [(i, "hot" if i % 3 == 0 else r.choice(values), r.choice([1, 2, 3, None]), 0.5) for i in range(n)]
+
+
+def expected(values):
+    counts = Counter(v for v in values if v is not None)
+    return {v: float(i) for i, (v, _) in enumerate(sorted(counts.items(), key=lambda item: (-item[1], item[0].encode())))}
+
+
+@pytest.mark.parametrize("width", [1, 4, 13])
+def test_ranks_do_not_depend_on_the_parts(spark, width):
+    rows = rows_of(1)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", width)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = indexing.category_index(df, ["s", "n"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["value"]: r["idx"] for r in found if r["name"] == "s"} == expected([row[1] for row in rows])
+    assert {r["value"]: r["idx"] for r in found if r["name"] == "n"} == expected([None if row[2] is None else str(row[2]) for row in rows])
+
+
+def test_rows_get_the_index_and_none_is_lost(spark):
+    rows = rows_of(2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    ranks = expected([row[1] for row in rows])
+    for most in (None, 10):
+        found = indexing.with_indexes(df.drop("idx"), indexing.category_index(df, ["s", "n"], most), ["s", "n"]).collect()
+        free = float(len(ranks) if most is None else most)
+        assert len(found) == len(rows)
+        assert all(r["s_idx"] == min(free, ranks.get(r["s"], free)) for r in found)
+        assert {r["n"]: r["n_idx"] for r in found}[None] == 3.0
+
+
+def test_no_value_comes_to_the_driver(spark):
+    """What is collected are one number a column, and the parts of the sort."""
+    df = spark.createDataFrame(rows_of(3), SCHEMA)
+    seen, real = [], type(df).collect
+
+    def collect(frame):
+        found = real(frame)
+        seen.append((frame.columns, len(found)))
+        return found
+
+    with mock.patch.object(type(df), "collect", collect):
+        indexing.with_indexes(df.drop("idx"), indexing.category_index(df, ["s", "n"]), ["s", "n"]).write.format("noop").mode("overwrite").save()
+    assert seen == [(["name", "n"], 2)]
+
+
+def test_an_empty_table_and_a_column_of_nulls(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert indexing.category_index(empty, ["s"]).count() == 0
+    nulls = spark.createDataFrame([(1, None, 1, 0.0)], SCHEMA).drop("idx")
+    assert indexing.with_indexes(nulls, indexing.category_index(nulls, ["s", "n"]), ["s", "n"]).first()["s_idx"] == 0.0
+
+
+def test_rare_values_fold_in_the_model(spark):
+    rows = spark.range(3000).selectExpr(
+        "id", "cast(id % 4 = 0 as int) AS fraud_label", "cast(id % 4 * 100 + id % 7 as double) AS amount_usd", "1D AS credit_limit_usd",
+        "'CA' AS merchant_state", "'VISA' AS card_brand", "'DEBIT' AS card_type", "cast(id % 2 as int) AS has_chip",
+        "cast(if(id % 3 = 0, 0, id % 500) as string) AS description",
+    )
+    with pytest.raises(ValueError, match="description needs"):
+        fraud.train(rows, max_iter=1, max_bins=40)
+    model = fraud.train(rows, max_iter=1, max_bins=40, rare="fold")
+    assert [len(indexer.labels) for indexer in model.stages[0].stages] == [1, 1, 1, 2, 39]
+    assert model.stages[0].stages[4].labels[0] == "0"
+    assert fraud.score(model, rows).where(F.col("description_idx") > 39).isEmpty()
+    with pytest.raises(ValueError, match="rare"):
+        fraud.fit_indexers(rows, rare="drop")
+
+
+def test_parts_follow_from_the_rows_and_are_kept_with_the_model(spark, tmp_path, monkeypatch):
+    assert [fraud.parts_for(n) for n in (1, 3_200_000, 3_200_001, 10**9)] == [16, 16, 17, 5000]
+    rows = spark.range(900).selectExpr(
+        "id", "cast(id % 3 = 0 as int) AS fraud_label", "cast(id % 97 as double) AS amount_usd", "1D AS credit_limit_usd",
+        "'CA' AS merchant_state", "'VISA' AS card_brand", "'DEBIT' AS card_type", "1 AS has_chip", "'x' AS description",
+    )
+    monkeypatch.setattr(fraud, "ROWS_PER_PART", 45)
+    parts = []
+    real = fraud.arranged
+    monkeypatch.setattr(fraud, "arranged", lambda frame, n: parts.append(real(frame, n).rdd.getNumPartitions()) or real(frame, n))
+    model = fraud.train(rows, max_iter=1)
+    assert parts == [20] and fraud.training_of(model) == {"rows": 900, "parts": 20}
+    path = str(tmp_path / "model")
+    for _ in range(2):
+        fraud.save(model, path)
+    again = fraud.load(path)
+    assert fraud.training_of(again) == {"rows": 900, "parts": 20}
+    repeated = fraud.train(rows.repartition(3), max_iter=1, parts=fraud.training_of(again)["parts"])
+    assert repeated.stages[-1].toDebugString.split("\n")[1:] == model.stages[-1].toDebugString.split("\n")[1:]

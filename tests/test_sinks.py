@@ -7,9 +7,10 @@ from unittest import mock
 import pytest
 from pyspark.sql import DataFrame, DataFrameWriter
 
-from cardlake.sinks import exports, relational
+from cardlake.sinks import exports, relational, tables
 from cardlake.sinks.days import write_by_situation_date, write_ingestion_day
 from cardlake.sinks.tables import replace_days, write_table
+from cardlake.sinks.versions import current_path, read_current, versions
 from cardlake.sources import days
 
 SCHEMA = "id int, situation_date string"
@@ -60,14 +61,14 @@ def test_table_holds_one_snapshot_by_default(spark, tmp_path, rows):
     write_table(day_frame(spark, 8, [1, 2]), "sink_a.t", path)
     write_table(day_frame(spark, 9, [3]), "sink_a.t", path)
     assert rows(spark.table("sink_a.t")) == [(3, 2025, 5, 9)]
-    assert rows(spark.read.parquet(path)) == [(3, 2025, 5, 9)]
+    assert rows(read_current(spark, path)) == [(3, 2025, 5, 9)]
 
 
 def test_relative_path_is_not_put_below_the_warehouse(spark, tmp_path, rows):
     where = Path(spark._jvm.java.io.File("").getAbsolutePath())
     relative = os.path.relpath(tmp_path / "t", where)
     write_table(day_frame(spark, 8, [1]), "sink_d.t", relative)
-    assert rows(spark.read.parquet(f"{tmp_path}/t"), "id") == [(1,)]
+    assert rows(read_current(spark, f"{tmp_path}/t"), "id") == [(1,)]
 
 
 @pytest.mark.parametrize("known_table", [True, False])
@@ -81,7 +82,7 @@ def test_single_days_are_replaced(spark, tmp_path, rows, known_table):
         replace_days(day_frame(spark, 9, [4]), table, path)
     expected = [(1, 2025, 5, 8), (2, 2025, 5, 8), (4, 2025, 5, 9)]
     assert rows(spark.table(table)) == expected
-    assert rows(spark.read.parquet(path)) == expected
+    assert rows(read_current(spark, path)) == expected
 
 
 def test_days_can_be_added_to_a_snapshot_table(spark, tmp_path, rows):
@@ -104,6 +105,68 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("bucket_by", [None, ("id", 4)])
+def test_a_write_that_fails_halfway_leaves_the_old_snapshot(spark, tmp_path, rows, bucket_by):
+    path, table = f"{tmp_path}/t", f"sink_f.t{bucket_by is None}"
+    write_table(day_frame(spark, 8, [1, 2]), table, path, bucket_by=bucket_by)
+    before = current_path(spark, path)
+    broken = day_frame(spark, 9, range(100)).repartition(8, "id").selectExpr("if(id = 77, raise_error('lost'), id) AS id", "year", "month", "day")
+    broken = broken.selectExpr("cast(id as int) AS id", "year", "month", "day")
+    with pytest.raises(Exception, match="lost"):
+        write_table(broken, table, path, bucket_by=bucket_by)
+    assert rows(spark.table(table), "id") == rows(read_current(spark, path), "id") == [(1,), (2,)]
+    write_table(day_frame(spark, 9, [5]), table, path, bucket_by=bucket_by)
+    assert rows(spark.table(table), "id") == rows(read_current(spark, path), "id") == [(5,)]
+    # What was not finished is gone, the snapshot before is kept for its readers.
+    assert [folder for _, folder, _ in versions(spark, path)] == [before, current_path(spark, path)]
+    assert spark.read.parquet(before).count() == 2
+
+
+def test_a_table_that_is_read_does_not_change_under_its_readers(spark, tmp_path, rows):
+    path, table = f"{tmp_path}/t", "sink_g.t"
+    write_table(day_frame(spark, 8, [1, 2]), table, path)
+    reader = spark.table(table)
+    other = spark.newSession().table(table)
+    write_table(reader.selectExpr("id + 10 AS id", "year", "month", "day"), table, path)
+    assert rows(reader, "id") == rows(other, "id") == [(1,), (2,)]
+    assert rows(spark.table(table), "id") == rows(spark.newSession().table(table), "id") == [(11,), (12,)]
+
+
+def test_a_switch_that_fails_leaves_whole_snapshots(spark, tmp_path, rows):
+    path, table = f"{tmp_path}/t", "sink_h.t"
+    write_table(day_frame(spark, 8, [1]), table, path)
+    with mock.patch.object(tables, "_switch", side_effect=RuntimeError("killed")), pytest.raises(RuntimeError):
+        write_table(day_frame(spark, 9, [2]), table, path)
+    assert rows(spark.table(table), "id") == [(1,)] and rows(read_current(spark, path), "id") == [(2,)]
+    write_table(day_frame(spark, 9, [3]), table, path)
+    assert rows(spark.table(table), "id") == rows(read_current(spark, path), "id") == [(3,)]
+
+
+def test_a_new_layout_makes_the_table_anew(spark, tmp_path, rows):
+    path, table = f"{tmp_path}/t", "sink_i.t"
+    write_table(day_frame(spark, 8, [1]), table, path)
+    write_table(spark.range(2).selectExpr("id", "'x' AS more"), table, path, partition_by=None)
+    assert spark.table(table).columns == ["id", "more"] and spark.table(table).count() == 2
+    write_table(spark.range(2).selectExpr("id", "'x' AS more"), table, path, partition_by=None, bucket_by=("id", 2))
+    assert spark.table(table).count() == 2
+    write_table(day_frame(spark, 9, [4]).limit(0), table, path)
+    assert spark.table(table).columns == ["id", "year", "month", "day"] and spark.table(table).count() == 0
+
+
+def test_partitions_of_a_version_are_pruned(spark, tmp_path):
+    path, table = f"{tmp_path}/t", "sink_j.t"
+    write_table(day_frame(spark, 8, [1]).unionByName(day_frame(spark, 9, [2])), table, path)
+    one = spark.table(table).where("day = 9")
+    assert [name.split("/")[-2] for name in one.inputFiles()] == ["day=9"] or "PartitionFilters: [isnotnull(day" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 1
+
+
+def test_plain_folders_are_read_as_they_are(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/plain")
+    assert current_path(spark, f"{tmp_path}/plain") == f"{tmp_path}/plain"
+    assert read_current(spark, f"{tmp_path}/plain").count() == 3
+
+
 def test_a_table_name_needs_its_database(spark, tmp_path):
     with pytest.raises(ValueError, match="database"):
         write_table(day_frame(spark, 8, [1]), "lonely", f"{tmp_path}/t")

@@ -324,3 +324,37 @@ def test_stacked_snapshots(spark, rows):
     assert per_day["2025-05-29 08:00:00"] == 500
     first = stacked.where("situation_date < '2025-05-30'").select("id")
     assert first.exceptAll(snapshots.half_snapshot(df)).isEmpty()
+
+
+def test_one_large_array_is_read_by_many_tasks(spark, tmp_path, rows):
+    records = [f'{{"id": "{i}",\n "label": "{"Yes" if i % 3 else "No [x]"}"}}' for i in range(30_000)]
+    (tmp_path / "a.json").write_text("[\n" + ",\n ".join(records) + "\n]\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        labels = files.read_labels(spark, str(tmp_path), "array")
+        assert labels.rdd.getNumPartitions() >= 4
+        found = rows(labels)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted([(str(i), "Yes" if i % 3 else "No [x]") for i in range(30_000)], key=repr)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '[{"id": "1", "label": "Yes"}, {"id": "2", "label": "No"}', '[{"id": "1", "label": "Yes"}, {"id": "2", "lab', '[{"id": "1"}, {"x": {"id": "2"}}]',
+        '[{"id": "1", "label": "a}b"}]', '{"id": "1", "label": "Yes"}]', '[{}]', '[{"id": "1" "label": "Yes"}]', '[1, 2]', '[{"id": "1"}] trailing',
+    ],
+)
+def test_arrays_that_are_cut_off_or_not_flat_fail(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception):
+        files.read_labels(spark, str(tmp_path), "array").collect()
+
+
+def test_empty_arrays_and_several_files(spark, tmp_path, rows):
+    (tmp_path / "a.json").write_text("[ ]\n")
+    assert files.read_labels(spark, str(tmp_path), "array").count() == 0
+    (tmp_path / "b.json").write_text('[{"id": 1, "label": "Yes", "more": [1]}, {"label": null, "id": "2"}]')
+    assert rows(files.read_labels(spark, str(tmp_path), "array")) == [("1", "Yes"), ("2", None)]
