@@ -55,18 +55,22 @@ def test_separators_inside_words_and_short_fragments(fitted):
         assert classifier.score(rest + clean) < 0.3, clean
 
 
-def test_readings_of_separators():
-    read = lambda text: {run for chain in toxicity.joined_runs(text, toxicity.tokens_of(text)) for first, last, run in chain if last > first}
-    for text, word in (("id.iot", "idiot"), ("clo_wn", "clown"), ("id-i-ot", "idiot"), ("an i d i ot", "idiot"), ("Sc um!!", "scum!!"), ("mo-ronically", "moronically"), ("you-sc-um", "scum")):
-        assert word in read(text), text
-    assert read("longer words stay apart") == set() and read("") == set() and read("!!! 1 2 3") == set()
-    assert len(read("na " * 100_000)) == 5
+def test_separators_are_dropped_where_the_channel_says_so(fitted, monkeypatch):
+    joiner = toxicity.Joiner(fitted[1].model)
+    texts = ["id.iot", "clo_wn 2024 an i d", "one", "", "!!! 1 2 3", "a b\nc", "x\0y z", "gru8 ber", "$$$ b c", "é à"]
+    monkeypatch.setattr(toxicity, "DROPPED_BLANK", 500.0)
+    monkeypatch.setattr(toxicity, "DROPPED_MARK", 500.0)
+    assert joiner.words(texts) == [["idiot"], ["clown", "anid"], [], [], [], ["abc"], ["yz"], ["gru8ber"], ["bc"], ["éà"]]
+    assert joiner.words(["na " * 100_000])[0] == ["na" * 100_000] and joiner.words([]) == []
+    monkeypatch.setattr(toxicity, "DROPPED_BLANK", -500.0)
+    assert joiner.words(texts) == [["idiot"], ["clown"], *[[]] * 8]
 
 
-def test_a_heavier_reading_takes_the_place_of_others():
-    chain = [(0, 0, "abc"), (0, 1, "abcde"), (1, 2, "defgh"), (2, 2, "fgh")]
-    assert toxicity.heaviest_runs(chain, {"abc": 1.0, "abcde": 3.0, "defgh": 2.0, "fgh": 0.0}) == [3.0]
-    assert toxicity.heaviest_runs(chain, {"abc": 3.0, "abcde": 3.0, "defgh": 2.0, "fgh": 0.0}) == [2.0]
+def test_the_language_model_decides_between_border_and_dropped(spark):
+    """"qu" is never apart, and no word begins with "u"; "na" and "ri" are words."""
+    docs = spark.createDataFrame([(i, "quna na ri riqu na", "s", "t", "x") for i in range(50)], DOCS)
+    joiner = toxicity.Joiner(toxicity.language_model(docs))
+    assert joiner.words(["na q una ri", "ri q.una", "na ri na"]) == [["quna"], ["quna"], []]
 
 
 def test_restoration(fitted):
@@ -74,7 +78,7 @@ def test_restoration(fitted):
     assert restorer.words("gru88er") == ["grubber"]
     assert restorer.words("w.u.z.z.0.c.k") == ["wuzzock"]
     assert restorer.words("solll") in (["sol"], ["soll"])
-    assert restorer.words("Plain,") == ["plain"] and restorer.words("two-words") == ["two", "words"]
+    assert restorer.words("Plain,") == ["plain"] and restorer.words("two-words") == ["two", "words", "twowords"]
     assert restorer.words("2024") == [] and restorer.words("%%%") == []
 
 
