@@ -8,11 +8,11 @@ reaches it. Exponents are multiples of 2^-20, and each step of the search is one
 A weight becomes a quota of tokens: whole passes over the source and a part of one more. Every pass is a new
 permutation: of the source's blocks, and of the documents inside each block. Prefix sums over a source's blocks, and
 over each block's documents, give every document its place, so that no task holds more than a block of any source,
-however large. The part of a pass takes documents in that order while they fit the quota whole.
+however large. The part of a pass passes over documents that are longer than all of it, and takes the others in that
+order while they fit whole.
 
 Tokens are words unless the caller names a column. A null text has none. Rows without a source form a source of their
-own. A source without any token has no weight, and its rows are in no pass. Rows that repeat are placed one by one;
-extra columns are carried by :func:`mixed` and not read by :func:`schedule`.
+own. A source without any token has no weight and is read once. Rows that repeat are placed one by one; extra columns are carried by :func:`mixed` and not read by :func:`schedule`.
 """
 
 from __future__ import annotations
@@ -36,14 +36,21 @@ def words(column: str = "text") -> Column:
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
 
 
-def sources(rows: DataFrame) -> DataFrame:
-    """Per source, null included: its documents and tokens, its share of the tokens, and its number of blocks."""
-    each = rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
-    each = stored(each, "sources")
+def sizes(rows: DataFrame) -> DataFrame:
+    """Documents and tokens of every source, null included."""
+    return stored(rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")), "sources")
+
+
+def _blocks() -> Column:
+    return F.ceil(F.col("docs") / F.lit(BLOCK_DOCS)).cast("long").alias("blocks")
+
+
+def sources(every: DataFrame) -> DataFrame:
+    """Per source with tokens: its documents and tokens, its share of the tokens, and its number of blocks."""
+    each = every.filter("tokens > 0")
     total = each.agg(F.sum("tokens")).first()[0] or 0
     return each.select(
-        "source", "docs", "tokens", (F.col("tokens") / F.lit(float(total or 1))).alias("share"),
-        F.ceil(F.col("docs") / F.lit(BLOCK_DOCS)).cast("long").alias("blocks"), F.lit(total).cast("long").alias("total"),
+        "source", "docs", "tokens", (F.col("tokens") / F.lit(float(total or 1))).alias("share"), _blocks(), F.lit(total).cast("long").alias("total"),
     )
 
 
@@ -132,20 +139,47 @@ def _block_starts(blocks: DataFrame) -> DataFrame:
     return ordered.select("key", "pass", "block", F.coalesce(F.sum("block_tokens").over(before), F.lit(0)).alias("block_start"))
 
 
+def _counted() -> Column:
+    """Tokens of a row in its pass: none in the partial pass if the row is longer than all of it."""
+    return F.when((F.col("pass") < F.col("passes")) | (F.col("n_tokens") <= F.col("rest")), F.col("n_tokens")).otherwise(0)
+
+
+def _fits() -> Column:
+    """Whether a row is taken by the partial pass."""
+    return (F.col("n_tokens") <= F.col("rest")) & (F.col("start_token") + F.col("n_tokens") <= F.col("rest"))
+
+
 def _placed(rows: DataFrame, starts: DataFrame) -> DataFrame:
     """Rows of a pass with ``start_token``, the tokens of their source that come before them in the pass."""
-    joined = rows.join(starts, ["key", "pass", "block"]).withColumn("row_order", _order(F.col("pass"), F.col("doc_id")))
+    joined = rows.join(starts, ["key", "pass", "block"]).withColumn("counted", _counted()).withColumn("row_order", _order(F.col("pass"), F.col("doc_id")))
     before = (
         Window.partitionBy("key", "pass", "block").orderBy("row_order", "doc_id", "n_tokens")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    within = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
+    within = F.coalesce(F.sum("counted").over(before), F.lit(0))
     return joined.withColumn("start_token", F.col("block_start") + within)
 
 
 def plan(rows: DataFrame, ratio: float | None, repetitions: float | None, entropy: float | None) -> DataFrame:
-    each = sources(rows)
-    return stored(quotas(each, exponent(each, ratio, repetitions, entropy), ratio), "quotas")
+    """The quotas of all sources; one without tokens has a single pass."""
+    every = sizes(rows)
+    each = sources(every)
+    weighed = quotas(each, exponent(each, ratio, repetitions, entropy), ratio)
+    long = lambda n: F.lit(n).cast("long")
+    wordless = every.filter("tokens = 0").select(
+        "source", "docs", "tokens", _blocks(), F.lit(0.0).alias("weight"), long(0).alias("quota"), long(1).alias("passes"), long(0).alias("rest")
+    )
+    return stored(weighed.unionByName(wordless), "quotas")
+
+
+def realised(scheduled: DataFrame, planned: DataFrame) -> DataFrame:
+    """Per source its target weight, and its share of the tokens that a schedule reads."""
+    read = scheduled.groupBy(_key().alias("key")).agg(F.sum("n_tokens").alias("read"))
+    total = F.sum("read").over(Window.partitionBy(F.lit(1)))
+    # One row a source.
+    return planned.withColumn("key", _key()).join(read, "key", "left").select(
+        "source", "weight", (F.coalesce("read", F.lit(0)) / F.greatest(total, F.lit(1))).alias("read_share")
+    )
 
 
 def schedule(
@@ -160,13 +194,15 @@ def schedule(
     planned = plan(rows, ratio, repetitions, entropy)
     blocked = _in_blocks(rows, planned)
     passes = F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - F.when(F.col("rest") > 0, 0).otherwise(1)))
-    blocks = blocked.groupBy("key", "source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("block_tokens"))
-    starts = _block_starts(blocks.filter("passes > 0 or rest > 0").select("key", "source", "block", "block_tokens", passes.alias("pass")))
+    fitting = F.sum(F.when(F.col("n_tokens") <= F.col("rest"), F.col("n_tokens")).otherwise(0))
+    blocks = blocked.groupBy("key", "source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("all_tokens"), fitting.alias("fitting"))
+    blocks = blocks.filter("passes > 0 or rest > 0").select("*", passes.alias("pass"))
+    starts = _block_starts(blocks.withColumn("block_tokens", F.when(F.col("pass") < F.col("passes"), F.col("all_tokens")).otherwise(F.col("fitting"))))
     placed = _placed(blocked.filter("passes > 0 or rest > 0").select("*", passes.alias("pass")), starts)
-    taken = placed.filter((F.col("pass") < F.col("passes")) | (F.col("start_token") + F.col("n_tokens") <= F.col("rest")))
+    taken = placed.filter((F.col("pass") < F.col("passes")) | _fits())
+    place = (F.col("pass") * F.col("tokens") + F.col("start_token")) / F.greatest("quota", F.lit(1))
     return taken.select(
-        "doc_id", "source", "pass", "block", "n_tokens", "start_token",
-        ((F.col("pass") * F.col("tokens") + F.col("start_token")) / F.col("quota")).alias("place"),
+        "doc_id", "source", "pass", "block", "n_tokens", "start_token", place.alias("place")
     )
 
 
@@ -182,9 +218,9 @@ def mixed(docs: DataFrame, ratio: float | None = None, repetitions: float = 2.0)
         F.struct(*columns).alias("__llm_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source"), words().alias("n_tokens")
     )
     narrow_blocks = _in_blocks(docs.select("doc_id", "source", words().alias("n_tokens")), planned)
-    last = narrow_blocks.groupBy("key", "source", "block", F.col("passes").alias("pass")).agg(F.sum("n_tokens").alias("block_tokens"))
+    last = narrow_blocks.withColumn("pass", F.col("passes")).groupBy("key", "source", "block", "pass").agg(F.sum(_counted()).alias("block_tokens"))
     placed = _placed(_in_blocks(carried, planned).withColumn("pass", F.col("passes")), _block_starts(last))
-    partial = F.when((F.col("start_token") + F.col("n_tokens") <= F.col("rest")) & (F.col("rest") > 0), 1).otherwise(0)
+    partial = F.when(_fits() & (F.col("rest") > 0), 1).otherwise(0)
     times = (F.col("passes") + partial).cast("int")
     return placed.filter(times > 0).select("__llm_row", F.explode(F.sequence(F.lit(1), times)).alias("__llm_pass")).select(
         *(F.col("__llm_row").getField(c).alias(c) for c in columns)

@@ -91,8 +91,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_mixing", r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
-s AS (SELECT source, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0),
-p AS (SELECT *, tokens / (sum(tokens) OVER ())::DOUBLE AS share, (sum(tokens) OVER ())::BIGINT AS total FROM s),
+s AS (SELECT source, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY source),
+p AS (SELECT *, tokens / (sum(tokens) OVER ())::DOUBLE AS share, (sum(tokens) OVER ())::BIGINT AS total FROM s WHERE tokens > 0),
 l AS (SELECT list(share) AS shares FROM p),
 -- The smallest multiple of 2^-20 under which no source is read more than twice.
 b(low, high) AS (
@@ -105,15 +105,17 @@ b(low, high) AS (
 e AS (SELECT CASE WHEN 1.0 / (list_min(shares) * len(shares)) <= 2 THEN 0 ELSE (SELECT min(high) FROM b) / 1048576.0::DOUBLE END AS a FROM l),
 w AS (SELECT p.*, pow(share, a) / (sum(pow(share, a)) OVER ()) AS weight, ceil(docs / 1000.0)::BIGINT AS blocks FROM p, e),
 q AS (SELECT source, tokens, blocks, floor(weight * total)::BIGINT AS quota FROM w),
-r AS (SELECT *, quota // tokens AS passes, quota % tokens AS rest FROM q),
+r AS (SELECT *, quota // tokens AS passes, quota % tokens AS rest FROM q
+      UNION ALL SELECT source, tokens, ceil(docs / 1000.0)::BIGINT, 0, 1, 0 FROM s WHERE tokens = 0),
 k AS (SELECT d.*, tokens, quota, passes, rest,
         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || n_tokens), 1, 8))::BIGINT % blocks AS block
       FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
 g AS (SELECT k.*, unnest(generate_series(0, passes - CASE WHEN rest > 0 THEN 0 ELSE 1 END)) AS pass FROM k),
-o AS (SELECT *, md5('mix|' || pass || '|' || coalesce(source, '') || '|' || block) AS bo, md5('mix|' || pass || '|' || coalesce(doc_id::VARCHAR, '')) AS dd FROM g),
+o AS (SELECT *, md5('mix|' || pass || '|' || coalesce(source, '') || '|' || block) AS bo, md5('mix|' || pass || '|' || coalesce(doc_id::VARCHAR, '')) AS dd
+      FROM g WHERE pass < passes OR n_tokens <= rest),
 t AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY bo, block, dd, doc_id, n_tokens
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_token FROM o)
-SELECT doc_id, source, pass, block, n_tokens, start_token, (pass * tokens + start_token) / quota::DOUBLE AS place
+SELECT doc_id, source, pass, block, n_tokens, start_token, (pass * tokens + start_token) / greatest(quota, 1)::DOUBLE AS place
 FROM t WHERE pass < passes OR start_token + n_tokens <= rest""")
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schedule of all sources for a budget of all tokens, in which no source is read more than twice."""
