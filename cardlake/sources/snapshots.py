@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardlake.functions.hashing import hash_number
+from cardlake.session import stored
 
 
 def stamp(df: DataFrame, when: str) -> DataFrame:
@@ -16,18 +17,20 @@ def stamp(df: DataFrame, when: str) -> DataFrame:
 def half_snapshot(df: DataFrame) -> DataFrame:
     """``count // 2`` of the rows: those with the smallest row hashes, the same ones on every run.
 
-    A limit of that size would send half of the table through one task. Here two small histograms of
-    the hash give the value up to which rows are taken, and the rest is a filter. Only the rows that
-    have exactly this hash are counted one by one.
+    A limit of that size would send half of the table through one task. Here one pass stores the hash of every row,
+    eight bytes each, and two small histograms of these give the value up to which rows are taken; the rest is a filter,
+    for which the table is read a second time. Only where rows with exactly this hash are taken in part are they read
+    and counted apart.
     """
     hashed = hash_number(df.columns, "half")
-    cell = F.shiftright(hashed, 16)
-    per_cell = _counts(df, cell)
+    hashes = stored(df.select(hashed.alias("hash")), "row-hashes")
+    cell = F.shiftright("hash", 16)
+    per_cell = _counts(hashes, cell)
     if not per_cell:
         return df
     target = sum(count for _, count in per_cell) // 2
     last_cell, below = _boundary(per_cell, target, 0)
-    last_hash, below = _boundary(_counts(df.where(cell == last_cell), hashed), target, below)
+    last_hash, below = _boundary(_counts(hashes.where(cell == last_cell), F.col("hash")), target, below)
     half = df.where(hashed < last_hash)
     if below == target:
         return half

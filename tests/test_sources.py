@@ -358,3 +358,19 @@ def test_empty_arrays_and_several_files(spark, tmp_path, rows):
     assert files.read_labels(spark, str(tmp_path), "array").count() == 0
     (tmp_path / "b.json").write_text('[{"id": 1, "label": "Yes", "more": [1]}, {"label": null, "id": "2"}]')
     assert rows(files.read_labels(spark, str(tmp_path), "array")) == [("1", "Yes"), ("2", None)]
+
+
+@pytest.mark.parametrize(("copies", "reads"), [(1, 2), (30, 3)])
+def test_half_snapshot_reads_the_table_twice(spark, copies, reads):
+    """A third time where copies of one row lie on both sides of the middle."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    rows = spark.range(41).selectExpr("id", f"explode(sequence(1, {copies})) AS x").drop("x")
+    half = snapshots.half_snapshot(rows.mapInPandas(counted, "id bigint"))
+    assert half.count() == 41 * copies // 2
+    assert seen.value == reads * 41 * copies
