@@ -20,7 +20,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.llm.common import ship, text_of
@@ -30,6 +30,8 @@ SEPARATOR = 50256
 LENGTH = 2048
 # Bytes of text whose tokens one task packs together.
 SHARD_BYTES = 8_000_000
+# Shards that go to one partition, so that partitions stay of one size, too.
+SHARDS_A_TASK = 4
 BATCH_TOKENS = 1_000_000
 PIECES = "doc_id bigint, piece int, start bigint, n_tokens int, ids binary"
 PACKED = (
@@ -154,6 +156,7 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
     total = docs.agg(F.sum(F.octet_length(text_of("text")) + 1)).first()[0] or 0
     shards = max(1, ceil(total / shard_bytes))
     dealt = pieces(docs, length, vocabulary).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "ids"), F.lit(shards)))
+    dealt = dealt.repartition(ceil(shards / SHARDS_A_TASK), "shard")
     return dealt.groupBy("shard").applyInArrow(_packer(length, SEPARATOR), PACKED)
 
 
@@ -169,8 +172,13 @@ def matrix(ids: list[bytes], length: int = LENGTH) -> np.ndarray:
 
 
 def write_matrices(rows: DataFrame, path: str) -> None:
-    """The packed rows as Parquet below ``path``, one folder per shard; rows of a shard stay in order."""
-    rows.repartition("shard").sortWithinPartitions("shard", "row").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """The packed rows as Parquet files; every file holds whole shards, each with its rows in order."""
+    rows.sortWithinPartitions("shard", "row").write.mode("overwrite").parquet(path)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """The packed rows that were written to ``path``: ids, cumulative segment lengths and position resets."""
+    return spark.read.schema(PACKED).parquet(path)
 
 
 def unpacked(rows: DataFrame) -> DataFrame:

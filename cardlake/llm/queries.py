@@ -11,7 +11,8 @@ from cardlake.llm import (
     alignment, chat, collocations, exact_dedup, mixing, near_dups, packing, quality, quality_network, sentence_pieces, token_counts,
     toxicity, warc,
 )
-from cardlake.llm.common import table
+from cardlake.llm.common import stored, table
+from cardlake.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,8 +82,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        OR 100 * caps > 30 * n_words OR 100 * excl > 30 * n_words) AS kept
 FROM v""")
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger of all documents under the current policy."""
-    rows = quality.verdicts(quality.ledger(table(spark, sf_dir, "documents")))
+    """The current policy over the stored ledger of all documents."""
+    rows = quality.verdicts(stored(quality.ledger(table(spark, sf_dir, "documents")), "ledger"))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
@@ -163,8 +164,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as packed rows of ids."""
-    return packing.packed(table(spark, sf_dir, "documents"))
+    """All documents as packed rows of ids, written and read back."""
+    path = scratch_dir(spark, "matrices")
+    packing.write_matrices(packing.packed(table(spark, sf_dir, "documents")), path)
+    return packing.read_matrices(spark, path)
 
 
 @register("op10_warc", """

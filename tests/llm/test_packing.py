@@ -55,6 +55,30 @@ def test_rows_hold_every_token_once(spark):
     assert packing.matrix([row.ids for row in rows], 64).shape == (len(rows), 64)
 
 
+def test_matrices_are_written_and_read_back(spark, tmp_path):
+    r = random.Random(5)
+    texts = {i: " ".join(r.choice(["alpha", "be", "日本"]) for _ in range(r.randint(0, 200))) for i in range(150)}
+    docs = spark.createDataFrame([(i, t, "s", 1, "x") for i, t in texts.items()], SCHEMA).repartition(3)
+    path = str(tmp_path / "matrices")
+    rows = packing.packed(docs, length=64, shard_bytes=5_000)
+    assert rows.rdd.getNumPartitions() > 1
+    packing.write_matrices(rows, path)
+    back = packing.read_matrices(spark, path)
+    assert back.dtypes == rows.dtypes
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    encoder = packing.encoding(packing.VOCABULARY)
+    found = {row.doc_id: np.frombuffer(row.ids, packing.IDS).tolist() for row in packing.unpacked(back).collect()}
+    assert found == {i: encoder.encode_ordinary(t) for i, t in texts.items()}
+    # A shard lies whole in one file, its rows in order.
+    placed = back.selectExpr("_metadata.file_name AS f", "shard", "row", "monotonically_increasing_id() AS at").collect()
+    assert len({row.shard for row in placed}) == len({(row.f, row.shard) for row in placed}) > 3
+    for shard in {row.shard for row in placed}:
+        own = sorted((row for row in placed if row.shard == shard), key=lambda row: row.at)
+        assert [row.row for row in own] == list(range(len(own)))
+    packing.write_matrices(packing.packed(docs.limit(0)), path)
+    assert packing.read_matrices(spark, path).count() == 0
+
+
 def test_rows_that_repeat_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "same", "s", 1, "x")] * 5, SCHEMA)
     assert sum(len(row.doc_ids) for row in packing.packed(docs).collect()) == 5

@@ -1,5 +1,6 @@
 import random
 import re
+import shutil
 from collections import Counter
 
 import pytest
@@ -57,6 +58,19 @@ def test_policies_and_ablations_read_only_bits(ledger):
         assert found.n_kept_without == sum(r.failed & active & ~bit == 0 for r in rows)
 
 
+def test_policies_of_a_stored_ledger_read_no_text(spark, tmp_path):
+    """The texts are gone when the policies are applied; null ids, repeated rows and a long text are in the ledger."""
+    rows = [(None, "a b c a b c", "w", "f", 1)] * 3 + [(1, "same " * 60, "w", "f", 1)] * 2 + [(2, "w%d " * 1, "w", "f", 1), (3, " ".join(f"w{i}" for i in range(60_000)), "w", "f", 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/docs")
+    quality.ledger(spark.read.parquet(f"{tmp_path}/docs")).write.parquet(f"{tmp_path}/ledger")
+    shutil.rmtree(tmp_path / "docs")
+    ledger = spark.read.parquet(f"{tmp_path}/ledger")
+    for policy in quality.POLICIES:
+        found = sorted(((r.doc_id or 0, r.n_words, r.kept) for r in quality.verdicts(ledger, policy).collect()))
+        assert found == [(0, 6, False)] * 3 + [(1, 60, False)] * 2 + [(2, 1, False), (3, 60_000, True)]
+        assert quality.ablations(ledger, policy).count() == len(quality.POLICIES[policy])
+
+
 def test_empty_table(spark):
     empty = quality.ledger(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0
