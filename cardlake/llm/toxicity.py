@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -55,7 +54,7 @@ IMITATED, DROPPED, DROPPED_LETTER, REPEATED, UNCHANGED = -1.2, -1.2, -12.0, -1.6
 # Log odds of a blank, and of another separator, that was put into a word, beside what the language model says.
 DROPPED_BLANK, DROPPED_MARK = 1.5, 4.0
 # Limits of work and of a cache; results do not depend on them.
-GROUP_CHARS, CACHED = 500_000, 150_000
+GROUP_CHARS, CACHED = 500_000, 300_000
 _EDGES = re.compile(r"^[^\w$@!|(<€£¡*]+|[^\w$@+*|]+$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
@@ -81,18 +80,20 @@ def letter_classes() -> np.ndarray:
     return classes
 
 
+_ENDS, _BLANK, _LIKE = 32, 64, 128
+
+
 @lru_cache(maxsize=1)
-def stream_classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every code point: the class of the letter that a digit or sign inside a word imitates, whether it ends words,
-    and whether it is a blank."""
-    imitated, ends, blanks = np.zeros(0x110000, np.uint8), np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+def stream_kinds() -> np.ndarray:
+    """One byte for every code point: the class of a letter, or of the letter that a digit or sign imitates (_LIKE), whether
+    it ends words (_ENDS), and whether it is a blank (_BLANK)."""
+    kinds = letter_classes().copy()
+    kinds[[0, *(code for code in range(0x3000) if chr(code).isdigit())]] |= _ENDS
     for char, letters in IMITATES.items():
-        ends[ord(char)] = True
-        if char.isdigit() or char in "@$€£":
-            imitated[ord(char)] = ord(letters[0]) - 96
-    ends[[0, *(code for code in range(0x3000) if chr(code).isdigit())]] = True
-    blanks[[code for code in range(0x3001) if chr(code).isspace()]] = True
-    return imitated, ends, blanks
+        like = _LIKE + ord(letters[0]) - 96 if char.isdigit() or char in "@$€£" else 0
+        kinds[ord(char)] |= _ENDS | like
+    kinds[[code for code in range(0x3001) if chr(code).isspace()]] |= _BLANK
+    return kinds
 
 
 def _trigrams(batches):
@@ -190,19 +191,24 @@ _POWER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of n-grams, word after word, and how many each word has.
+    """Hashes of n-grams, word after word, and how many each word has."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return ngrams_of(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), lengths)
+
+
+def ngrams_of(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of words that lie one after the other.
 
     A word of three letters or more has itself, its beginnings and ends of four to six letters where it is longer, and
     all runs of five.
     """
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    letters = codes.astype(np.uint64)
     if not len(letters):
-        return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+        return np.empty(0, np.int64), np.zeros(len(lengths), np.int64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
     letters = mixed(letters + _SALTS[0])
-    word_of = np.repeat(np.arange(len(words)), lengths)
+    word_of = np.repeat(np.arange(len(lengths)), lengths)
     powers = np.cumprod(np.full(int(lengths.max()), _POWER, np.uint64))
     weighed = letters * powers[np.arange(len(letters)) - np.repeat(starts, lengths)]
     long_enough = np.flatnonzero(lengths >= 3)
@@ -223,7 +229,7 @@ def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(word_of[inside])
     owner, hashes = np.concatenate(owners), np.concatenate(found)
     order = np.argsort(owner, kind="stable")
-    return (hashes[order] & np.uint64(FEATURES - 1)).astype(np.int64), np.bincount(owner, minlength=len(words))
+    return (hashes[order] & np.uint64(FEATURES - 1)).astype(np.int64), np.bincount(owner, minlength=len(lengths))
 
 
 def tokens_of(text: str) -> set[str]:
@@ -241,52 +247,58 @@ class Joiner:
     def __init__(self, model: np.ndarray):
         self.model = model
 
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """For each text, in lower case, the words whose letters are held apart, as they read without separators."""
+    def spans(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words, in lower case, whose letters are held apart, as they read without separators.
+
+        The characters of all texts that may be letters, and of each word where it starts and ends among them and its text.
+        """
         codes = np.frombuffer("\0".join(texts).encode("utf-32-le"), np.uint32)
-        imitated, ends, blanks = stream_classes()
-        kind = letter_classes()[codes]
+        kinds, none = stream_kinds()[codes], np.empty(0, np.int64)
         # A single digit or sign beside a letter reads as the letter that it imitates.
-        like, beside = imitated[codes], np.append(kind > 0, [False])
-        alone = (like > 0) & (np.append(0, like[:-1]) == 0) & (np.append(like[1:], 0) == 0)[: len(like)]
-        kind = np.where(alone & (np.append(False, kind[:-1] > 0)[: len(like)] | beside[1:]), like, kind)
-        spots = np.flatnonzero(kind)
-        found: list[list[str]] = [[] for _ in texts]
+        like = np.flatnonzero(kinds & _LIKE)
+        class_of = np.where(kinds & _ENDS, 0, kinds & 31)
+        if len(like):
+            sides = np.concatenate([[0], kinds, [0]])
+            before, after = sides[like], sides[like + 2]
+            beside = (np.where(before & _ENDS, 0, before & 31) > 0) | (np.where(after & _ENDS, 0, after & 31) > 0)
+            alone = like[((before | after) & _LIKE == 0) & beside]
+            class_of[alone] = kinds[alone] & 31
+        spots = np.flatnonzero(class_of)
         if len(spots) < 2:
-            return found
+            return codes[spots], none, none, none
         apart = np.diff(spots) > 1
         at = np.flatnonzero(apart)
         # Of the characters between two letters: how many there are, how many are blanks, whether one ends words.
         before, after = spots[at], spots[at + 1]
-        n_blanks, n_ends = (np.append(0, np.cumsum(table[codes], dtype=np.int32)) for table in (blanks, ends))
-        open_ = n_ends[after] == n_ends[before + 1]
-        at, before, after = at[open_], before[open_], after[open_]
+        n_blanks, n_ends = (np.append(0, np.cumsum(kinds & bit != 0, dtype=np.int32)) for bit in (_BLANK, _ENDS))
+        inside = n_ends[after] == n_ends[before + 1]
+        at, before, after = at[inside], before[inside], after[inside]
         n_blank = n_blanks[after] - n_blanks[before + 1]
         may_join = ~apart
         may_join[at] = True
-        letters = np.concatenate([[0], kind[spots].astype(np.int64), [0]])
+        letters = np.concatenate([[0], class_of[spots], [0]]).astype(np.int64)
         # Letter at + 1 of ``letters`` stands before a separator; w and v lie beyond its neighbours y and u.
-        y, u = letters[at + 1], letters[at + 2]
-        left = np.append(False, may_join)[at]
-        right = np.append(may_join, False)[np.minimum(at + 1, len(may_join))]
-        near_left, near_right = left & ~np.append(True, apart)[at], right & ~np.append(apart, True)[np.minimum(at + 1, len(apart))]
-        w, v = letters[at], letters[np.minimum(at + 3, len(letters) - 1)]
-        t, zero = self.model, 0
+        w, y, u, v = letters[at], letters[at + 1], letters[at + 2], letters[np.minimum(at + 3, len(letters) - 1)]
+        left, right = np.append(False, may_join)[at], np.append(may_join, False)[at + 1]
+        near_left, near_right = left & ~np.append(True, apart)[at], right & ~np.append(apart, True)[at + 1]
+        t = self.model
         joined = t[w * left, y, u] + t[y, u, v * right] + DROPPED_BLANK * n_blank + DROPPED_MARK * (after - before - 1 - n_blank)
-        border = t[w * near_left, y, zero] + t[zero, zero, u] + t[zero, u, v * near_right]
+        border = t[w * near_left, y, 0] + t[0, 0, u] + t[0, u, v * near_right]
         dropped = at[joined > border]
-        if not len(dropped):
-            return found
         linked = ~apart
         linked[dropped] = True
         borders = np.flatnonzero(~linked)
         word = np.unique(np.searchsorted(borders, dropped))
-        starts = np.append(0, borders + 1)[word]
-        stops = np.append(borders, len(spots) - 1)[word] + 1
+        starts, stops = np.append(0, borders + 1)[word], np.append(borders, len(spots) - 1)[word] + 1
         owner = np.searchsorted(np.cumsum([len(text) + 1 for text in texts]), spots[starts], "right")
-        plain = codes[spots].tobytes()
-        for text, start, stop in zip(owner.tolist(), (4 * starts).tolist(), (4 * stops).tolist()):
-            found[text].append(plain[start:stop].decode("utf-32-le"))
+        return codes[spots], starts, stops, owner
+
+    def words(self, texts: list[str]) -> list[list[str]]:
+        """The same as text, for each text."""
+        codes, starts, stops, owner = self.spans(texts)
+        found: list[list[str]] = [[] for _ in texts]
+        for text, start, stop in zip(owner.tolist(), starts.tolist(), stops.tolist()):
+            found[text].append(codes[start:stop].tobytes().decode("utf-32-le"))
         return found
 
 
@@ -302,20 +314,28 @@ class Reader:
         for start, end in groups(texts):
             lowered = [text.lower() for text in texts[start:end]]
             split = [tokens_of(text) for text in lowered]
+            codes, starts, stops, owner = self.joiner.spans(lowered)
+            sizes = stops - starts
+            # The characters of all words, one after the other.
+            chosen = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            plain = np.add.reduceat(letter_classes()[codes[chosen]] == 0, np.cumsum(sizes) - sizes) == 0 if len(sizes) else np.empty(0, bool)
+            for word in np.flatnonzero(~plain).tolist():
+                # A word with digits or signs is one more token, to be restored.
+                split[owner[word]].add(codes[starts[word] : stops[word]].tobytes().decode("utf-32-le"))
             values = self._values(set().union(*split))
-            joined = [
-                [read for word in some for read in ([word] if word.isalpha() else self.restorer.words(word))] for some in self.joiner.words(lowered)
-            ]
-            # Nearly every one is new, so none is kept.
-            more = iter(self.value(*ngrams([word for some in joined for word in some])))
-            for tokens, some in zip(split, joined):
-                yield [values[token] for token in tokens] + list(islice(more, len(some)))
+            # Nearly every other word is new, so none is kept.
+            kept = np.repeat(plain, sizes)
+            more = self.value(*ngrams_of(codes[chosen[kept]], sizes[plain]))
+            places = np.searchsorted(owner[plain], np.arange(len(split) + 1)).tolist()
+            for tokens, first, last in zip(split, places, places[1:]):
+                yield [values[token] for token in tokens] + more[first:last]
 
     def _values(self, tokens: set[str]) -> dict:
         known = self.known
         values = {token: known[token] for token in tokens if token in known}
         new = [token for token in tokens if token not in values]
-        words = [self.restorer.words(token) for token in new]
+        read = self.restorer.words
+        words = [(token,) if token.isalpha() and not _DRAWN.search(token) else read(token) for token in new]
         hashes, counts = ngrams([word for some in words for word in some])
         sums = np.append(0, np.cumsum(counts))
         ends = np.cumsum([len(some) for some in words], dtype=np.int64) if words else np.empty(0, np.int64)
