@@ -353,9 +353,9 @@ def bronze_windows_loaded_once(spark, sf_dir):
     WITH snapshots AS ({_SNAPSHOT_SQL}),
     loads AS (SELECT DISTINCT situation_date AS day, CASE WHEN o_orderkey < 4000 THEN 0 ELSE 2000 END AS low,
                      CASE WHEN o_orderkey < 4000 THEN 3999 ELSE 1000000000000 END AS last FROM snapshots)
-    SELECT day, CAST(min(low) AS BIGINT) AS low, CAST(max(last) AS BIGINT) AS last,
-           (SELECT count(*) FROM snapshots WHERE situation_date = day) AS n_rows
-    FROM loads GROUP BY day""",
+    SELECT loads.day AS day, CAST(min(low) AS BIGINT) AS low, CAST(max(last) AS BIGINT) AS last, any_value(n) AS n_rows
+    FROM loads JOIN (SELECT situation_date, count(*) AS n FROM snapshots GROUP BY situation_date) c ON c.situation_date = loads.day
+    GROUP BY loads.day""",
 )
 def bronze_load_ledger(spark, sf_dir):
     """What is loaded for each day: one range, as the windows overlap, and the rows that the loads counted."""
