@@ -146,11 +146,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all documents."""
+    """Scores of all documents; rows without an id are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
     return rows.select(
-        "doc_id", (toxicity.bucket() == 2).alias("held_out"), "score",
+        "doc_id", F.coalesce(toxicity.bucket() == 2, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
     )
 

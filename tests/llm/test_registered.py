@@ -94,3 +94,22 @@ def test_pipeline_stages_keep_their_contracts(spark):
         if name != "sentencepiece":
             assert docs.columns == columns
     assert docs.columns == ["doc_id", "ids", "decoded"]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, a source without words, repeated rows, a very long text and extra columns; then no rows at all."""
+    clean = [(i, f"w{i} " + " ".join(f"p{i}q{j}" for j in range(30)), "en", "a", i, "x") for i in range(20)]
+    odd = [
+        (None, "nameless words here", None, None, None, None), (30, None, "en", "void", 0, "x"), (31, "", "en", "void", 0, "x"),
+        (32, "long " + " ".join(f"l{j}" for j in range(50_000)), "en", "b", 1, "x"), (33, clean[0][1], "en", "a", 1, "x"), clean[1],
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, component_id bigint, score string"
+    spark.createDataFrame(clean + odd, schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # The copy 33 goes, as do one of the empty texts and the repeated row; all others are read.
+    assert {r.doc_id for r in found} == {None, 30, 32, *range(20)}
+    assert all(r.decoded == "" and not r.ids for r in found if r.doc_id == 30)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
