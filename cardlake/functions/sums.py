@@ -23,16 +23,18 @@ def _amounts(name: str) -> dict[str, Column]:
     scaled = F.rint(x * UNIT)
     plain = (F.abs(x) < MOST_UNITS / UNIT) & (scaled / UNIT == x)
     units = F.when(plain, scaled.cast("bigint"))
-    exact, whole = x.try_cast(_EXACT), x.try_cast(_WHOLE)
+    # Null for all other amounts, so that the casts, which may be worked out for every row, cost nothing there.
+    odd = F.when(~plain, x)
+    exact, whole = odd.try_cast(_EXACT), odd.try_cast(_WHOLE)
     rest = exact % F.lit(1).cast("decimal(1,0)")
     return {
         "units_high": F.shiftright(units, LIMB),
         "units_low": units.bitwiseAND(F.lit(2**LIMB - 1)),
         # Amounts of 1e20 and more have no rest.
-        "odd_whole": F.when(~plain, F.when(exact.isNotNull(), (exact - rest).cast(_WHOLE)).otherwise(whole)),
-        "odd_rest": F.when(~plain, rest),
-        "odd_near": F.when(~plain & whole.isNotNull(), x),
-        "beyond": F.when(~plain & whole.isNull(), x),
+        "odd_whole": F.when(exact.isNotNull(), (exact - rest).cast(_WHOLE)).otherwise(whole),
+        "odd_rest": rest,
+        "odd_near": F.when(whole.isNotNull(), odd),
+        "beyond": F.when(whole.isNull(), odd),
     }
 
 
