@@ -193,13 +193,25 @@ def src_id_range_batches(spark, sf_dir):
 
 
 def _rows_per_range(rows: DataFrame, id_column: str, ranges: list[tuple[int, int]], missing: bool) -> DataFrame:
-    """Rows that each predicate of the relational scan reads; a row that two of them read would count twice."""
+    """Rows that each predicate of the relational scan reads; a row that two of them read would count twice.
+
+    The predicates are rows of a table, and a row meets only those that reach into its cell, a stretch of ids as wide as
+    the widest range. So the work grows with the rows and the ranges, not with their product.
+    """
     predicates = relational.range_predicates(ranges, id_column, missing)
-    lows = [low for low, _ in ranges] + [None] * missing
-    hits = [F.when(F.expr(p), F.struct(F.lit(low).cast("bigint").alias("low"))) for p, low in zip(predicates, lows)]
-    read = rows.select(id_column, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
-    return read.groupBy(F.col("hit.low").alias("range_start")).agg(
-        F.count("*").alias("n_rows"), F.sum(id_column).cast("bigint").alias("sum_id")
+    width = F.lit(max((high - low for low, high in ranges), default=1)).cast("bigint")
+    cell = lambda key: key - F.pmod(key, width)
+    bound = lambda i: F.regexp_extract("predicate", rf"^{id_column} >= (-?\d+) AND {id_column} < (-?\d+)$", i).try_cast("bigint")
+    scans = rows.sparkSession.createDataFrame([(p,) for p in predicates[: len(ranges)]], "predicate string")
+    scans = scans.select(bound(1).alias("low"), bound(2).alias("high"))
+    scans = scans.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1), width)))
+    keyed = rows.select(F.col(id_column).alias("id")).withColumn("cell", cell(F.col("id").cast("bigint")))
+    read = keyed.join(scans, "cell").filter("id >= low AND id < high").select("low", "id")
+    for predicate in predicates[len(ranges) :]:
+        unnamed = rows.filter(predicate).select(F.lit(None).cast("bigint").alias("low"), F.col(id_column).alias("id"))
+        read = read.unionByName(unnamed)
+    return read.groupBy(F.col("low").alias("range_start")).agg(
+        F.count("*").alias("n_rows"), F.sum("id").cast("bigint").alias("sum_id")
     )
 
 

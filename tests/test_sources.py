@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cardlake.functions.dates import with_day_parts
 from cardlake.sinks import exports
 from cardlake.sources import days, files, relational, snapshots
+from registry.queries import _rows_per_range
 
 
 def test_csv_is_text_without_a_schema(spark, tmp_path):
@@ -374,3 +375,22 @@ def test_half_snapshot_reads_the_table_twice(spark, copies, reads):
     half = snapshots.half_snapshot(rows.mapInPandas(counted, "id bigint"))
     assert half.count() == 41 * copies // 2
     assert seen.value == reads * 41 * copies
+
+
+def test_counts_per_predicate_do_not_try_every_predicate_on_every_row(spark):
+    ids = spark.sql("SELECT explode(array(-251, -250, -1, 0, 249, 250, 251, 999999, NULL, NULL)) AS id")
+    few = _rows_per_range(ids, "id", relational.id_ranges(-500, 500, 250), True)
+    many = _rows_per_range(ids, "id", relational.id_ranges(-500, 1_000_000, 250), True)
+    size = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    width = lambda frame: len(frame._jdf.queryExecution().optimizedPlan().toString())
+    assert size(many) == size(few) and width(many) < 1.1 * width(few)
+    counts = {tuple(row) for row in many.collect()}
+    assert counts == {(-500, 1, -251), (-250, 2, -251), (0, 2, 249), (250, 2, 501), (999750, 1, 999999), (None, 2, None)}
+
+
+def test_counts_per_predicate_count_a_row_of_two_ranges_twice(spark, rows):
+    ids = spark.range(-3, 12)
+    assert rows(_rows_per_range(ids, "id", [(-2, 4), (3, 5), (9, 10), (9, 10)], False)) == [
+        (-2, 6, 3), (3, 2, 7), (9, 2, 18)
+    ]
+    assert rows(_rows_per_range(spark.sql("SELECT CAST(NULL AS BIGINT) AS id"), "id", [], True)) == [(None, 1, None)]
