@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from operator import methodcaller
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ IMITATED, DROPPED, DROPPED_LETTER, REPEATED, UNCHANGED = -1.2, -1.2, -12.0, -1.6
 # Log odds of a blank, and of another separator, that was put into a word, beside what the language model says.
 DROPPED_BLANK, DROPPED_MARK = 1.5, 4.0
 # Limits of work and of a cache; results do not depend on them.
-GROUP_CHARS, CACHED = 500_000, 300_000
+GROUP_CHARS, CACHED, LONGEST_CACHED = 500_000, 300_000, 64
 _EDGES = re.compile(r"^[^\w$@!|(<€£¡*]+|[^\w$@+*|]+$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
@@ -62,6 +63,7 @@ _DRAWN = re.compile(r"([^\W\d_])\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 # Marks that imitate no letter.
 _MARKS = ".,;:?\"'"
+_STRIPPED = methodcaller("strip", _MARKS)
 
 
 @lru_cache(maxsize=1)
@@ -128,7 +130,7 @@ class Restorer:
     """Restored words of tokens, under a character language model."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.classes = model.tolist(), letter_classes()
+        self.model, self.steps = model.ravel().tolist(), {}
 
     def _options(self, char: str, before: str) -> list[tuple[str, float]]:
         if _LETTER.match(char):
@@ -141,25 +143,37 @@ class Restorer:
         options.append(("", DROPPED_LETTER if letters else DROPPED))
         return options
 
+    def _step(self, char: str, same: bool) -> list[tuple[str, float, int]]:
+        """The options of a character with the class of each letter, kept for the common characters."""
+        classes = letter_classes()
+        step = [(c, cost, int(classes[ord(c)]) if c else 0) for c, cost in self._options(char, char if same else "")]
+        if char < "\u0250":
+            self.steps[char, same] = step
+        return step
+
     def best_path(self, token: str) -> str:
-        """The likeliest letters behind a token: Viterbi over the last two letters."""
-        model, classes = self.model, self.classes
-        states = {(0, 0): (0.0, None)}
+        """The likeliest letters behind a token: Viterbi over the last two letters, a * CLASSES + b."""
+        model, steps = self.model, self.steps
+        states = {0: (0.0, None)}
         before = ""
         for char in token.lower():
-            after: dict[tuple[int, int], tuple] = {}
-            options = self._options(char, before)
-            for (a, b), (score, path) in states.items():
-                for letter, cost in options:
+            after: dict[int, tuple] = {}
+            same = char == before
+            step = steps.get((char, same)) or self._step(char, same)
+            for state, (score, path) in states.items():
+                row, last = state * CLASSES, state % CLASSES * CLASSES
+                for letter, cost, c in step:
                     if letter:
-                        c = classes[ord(letter)]
-                        state, total, link = (b, c), score + cost + model[a][b][c], (path, letter)
+                        total, reached = score + cost + model[row + c], last + c
+                        known = after.get(reached)
+                        if known is None or known[0] < total:
+                            after[reached] = (total, (path, letter))
                     else:
-                        state, total, link = (a, b), score + cost, path
-                    if state not in after or after[state][0] < total:
-                        after[state] = (total, link)
+                        total, known = score + cost, after.get(state)
+                        if known is None or known[0] < total:
+                            after[state] = (total, path)
             states, before = after, char
-        _, path = max(((score + model[a][b][0], path) for (a, b), (score, path) in states.items()), key=lambda s: s[0])
+        _, path = max(((score + model[state * CLASSES], path) for state, (score, path) in states.items()), key=lambda s: s[0])
         letters = []
         while path is not None:
             path, letter = path
@@ -234,9 +248,10 @@ def ngrams_of(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def tokens_of(text: str) -> set[str]:
     """The distinct tokens of a text in lower case, without the marks around them, and every run of single characters as one."""
-    tokens = set(text.split())
-    found = {token.strip(_MARKS) for token in tokens}
-    if any(len(token) == 1 for token in tokens):
+    tokens = text.split()
+    found = set(map(_STRIPPED, set(tokens)))
+    single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+    if (single[:-2] & single[1:-1] & single[2:]).any():
         found.update("".join(run.group().split()) for run in _SPELLED.finditer(text))
     return found
 
@@ -322,30 +337,32 @@ class Reader:
             for word in np.flatnonzero(~plain).tolist():
                 # A word with digits or signs is one more token, to be restored.
                 split[owner[word]].add(codes[starts[word] : stops[word]].tobytes().decode("utf-32-le"))
-            values = self._values(set().union(*split))
+            value_of = self._values(set().union(*split)).__getitem__
             # Nearly every other word is new, so none is kept.
             kept = np.repeat(plain, sizes)
             more = self.value(*ngrams_of(codes[chosen[kept]], sizes[plain]))
             places = np.searchsorted(owner[plain], np.arange(len(split) + 1)).tolist()
             for tokens, first, last in zip(split, places, places[1:]):
-                yield [values[token] for token in tokens] + more[first:last]
+                yield [*map(value_of, tokens), *more[first:last]]
 
     def _values(self, tokens: set[str]) -> dict:
+        """A dictionary with the values of ``tokens``, and of others that were read before."""
         known = self.known
-        values = {token: known[token] for token in tokens if token in known}
-        new = [token for token in tokens if token not in values]
+        new = list(tokens.difference(known))
+        if len(known) + len(new) > CACHED:
+            # Words of this group are common ones; all others are forgotten.
+            known = self.known = {token: known[token] for token in tokens.intersection(known)}
         read = self.restorer.words
         words = [(token,) if token.isalpha() and not _DRAWN.search(token) else read(token) for token in new]
         hashes, counts = ngrams([word for some in words for word in some])
         sums = np.append(0, np.cumsum(counts))
         ends = np.cumsum([len(some) for some in words], dtype=np.int64) if words else np.empty(0, np.int64)
-        per_token = np.diff(np.append(0, sums[ends]))
-        found = dict(zip(new, self.value(hashes, per_token)))
-        if len(known) > CACHED:
-            known.clear()
-        known.update(item for item in found.items() if len(item[0]) <= 64)
-        values.update(found)
-        return values
+        found = dict(zip(new, self.value(hashes, np.diff(np.append(0, sums[ends])))))
+        if max(map(len, new), default=0) > LONGEST_CACHED:
+            known.update(item for item in found.items() if len(item[0]) <= LONGEST_CACHED)
+            return {token: known[token] if token in known else found[token] for token in tokens}
+        known.update(found)
+        return known
 
 
 def _bytes_of(hashes: np.ndarray, per_token: np.ndarray) -> list[bytes]:
@@ -373,7 +390,8 @@ def _weights(positive: np.ndarray, negative: np.ndarray, n_positive: float, n_ne
 
 def summary(weights: list[float]) -> list[float]:
     """What the regression sees of the weights of a document's words."""
-    heavy = sorted([w for w in weights if w > 0], reverse=True)
+    # No weight is below 0.
+    heavy = sorted(filter(None, weights), reverse=True)
     top = [*heavy[:3], 0.0, 0.0, 0.0]
     strong = sum(1 for w in heavy if w > 1)
     return [top[0], top[1], top[2], min(sum(heavy[:10]), 60.0), float(np.log1p(strong)), strong / max(len(weights), 1)]
