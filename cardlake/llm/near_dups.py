@@ -26,7 +26,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cardlake.llm import sketches
@@ -38,7 +38,7 @@ MISSED = 1e-8
 UNNAMED = 2**62
 # Nodes, and shingles, of a cluster that one task compares with as many others.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
-TEXT_CHARS = 1_000_000
+TEXT_CHARS = 250_000
 SKETCHED = "doc_id bigint, text_key bigint, n_shingles bigint, digest binary, registers binary"
 
 
@@ -139,27 +139,33 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.filter(F.lit(100) * shared >= F.lit(percent) * union).select("node", "hub").distinct()
 
 
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, stored, with their number and a sum over them, both taken while they are written."""
+    seen = Observation("edges")
+    counted = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum"))
+    rows = stored(counted, "edges")
+    return rows, (seen.get["n"], seen.get["sum"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root, the smallest node of its component, for every node that has a link.
 
     Large-star and small-star steps in turn: each hooks neighbours to the smallest one, so that paths shorten by half.
     """
-    edges = stored(links.select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b"), "edges")
-    while True:
+    edges, mark = _marked(links.select(F.col("node").alias("a"), F.col("hub").alias("b")).filter("a <> b"))
+    while mark[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("least"))
         small = (
             down.join(lowest, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
             .unionByName(lowest.select("a", F.col("least").alias("b"))).filter("a <> b").distinct()
         )
-        after = stored(small, "edges")
-        mark = lambda rows: tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark(after) == mark(edges):
+        before, (edges, mark) = mark, _marked(small)
+        if mark == before:
             break
-        edges = after
     roots = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return stored(roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), "roots")
 
@@ -235,15 +241,18 @@ def links_between(star: DataFrame, nodes: DataFrame, texts: DataFrame, roots: Da
     bucket. Nodes of clusters with several components are compared in blocks.
     """
     ship(nodes.sparkSession)
-    clusters = components(star).select("node", F.col("root").alias("cluster"))
+    root_of = lambda key: roots.select(F.col("node").alias(key), F.col("root").alias(f"{key}_root"))
+    between = star.join(root_of("node"), "node", "left").join(root_of("hub"), "hub", "left").select(
+        F.coalesce("node_root", "node").alias("node"), F.coalesce("hub_root", "hub").alias("hub")
+    )
+    # Components stand for their nodes, so clusters of one component take no part.
+    clusters = components(between.filter("node <> hub").distinct()).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
     named = stored(
-        clusters.join(roots, "node", "left").join(nodes.select("node", "n_shingles", "registers"), "node")
-        .select("cluster", "node", F.coalesce("root", "node").alias("root"), "n_shingles", "registers"),
+        nodes.join(root_of("node"), "node", "left").withColumn("root", F.coalesce("node_root", "node")).join(clusters, "root")
+        .select("cluster", "node", "root", "n_shingles", "registers"),
         "clusters",
     )
-    mixed = named.groupBy("cluster").agg(
-        F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("nodes"), F.sum("n_shingles").alias("shingles")
-    ).filter("least <> most")
+    mixed = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n_shingles").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("nodes") / F.lit(BLOCK)), F.ceil(F.col("shingles") / F.lit(BLOCK_SHINGLES))).cast("long")
     chunked = named.join(mixed.select("cluster", parts.alias("chunks")), "cluster")
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).join(texts, "node")
@@ -295,7 +304,8 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     roots = components(links)
     more = stored(links_between(star, nodes, texts, roots, width, size, percent), "links")
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        # The groups so far are stars, so only what joins them takes further steps.
+        roots = components(roots.select("node", F.col("root").alias("hub")).unionByName(more))
     of_digest = heads.join(roots, "node", "left").select(F.col("digest").alias("of_digest"), F.coalesce("root", "node").alias("root"))
     joined = rows.join(of_digest, F.col("digest") == F.col("of_digest"), "left")
     component = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("node_id"))

@@ -55,7 +55,7 @@ IMITATED, DROPPED, DROPPED_LETTER, REPEATED, UNCHANGED = -1.2, -1.2, -12.0, -1.6
 # Log odds of a blank, and of another separator, that was put into a word, beside what the language model says.
 DROPPED_BLANK, DROPPED_MARK = 1.5, 4.0
 # Limits of work and of a cache; results do not depend on them.
-GROUP_CHARS, CACHED, LONGEST_CACHED = 500_000, 300_000, 64
+GROUP_CHARS, CACHED, LONGEST_CACHED = 100_000, 200_000, 64
 _EDGES = re.compile(r"^[^\w$@!|(<€£¡*]+|[^\w$@+*|]+$")
 _PLAIN = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")

@@ -1,11 +1,13 @@
 import random
 import re
 from itertools import combinations
+from unittest import mock
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cardlake.llm import near_dups, sketches
+from cardlake.llm import common, near_dups, sketches
 
 SCHEMA = "doc_id bigint, text string, node string, key int, registers string, kept string"
 
@@ -136,3 +138,24 @@ def test_shingles_equal_brute_force_as_sets():
         assert [len(f) for f in found] == [len(e) for e in expected]
         for i, j in combinations(range(len(texts)), 2):
             assert len(np.intersect1d(found[i], found[j])) == len(expected[i] & expected[j])
+
+
+def test_components_of_a_chain_and_of_nothing(spark):
+    chain = spark.range(1, 40).select(F.col("id").alias("node"), (F.col("id") - 1).alias("hub"))
+    assert {tuple(row) for row in near_dups.components(chain).collect()} == {(i, 0) for i in range(40)}
+    assert near_dups.components(chain.filter("node < 0")).count() == 0
+
+
+def test_only_clusters_of_several_components_are_compared(spark):
+    star = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (9, 8)], "node long, hub long")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 4), (4, 4)], "node long, root long")
+    text = {i: f"a{i} b{i} c{i} d{i}" for i in range(1, 10)}
+    text[3] = text[2]
+    texts = spark.createDataFrame(list(text.items()), "node long, text string")
+    size = near_dups.BAND * near_dups.bands(0.85)
+    nodes = near_dups.sketched(texts.withColumnRenamed("node", "doc_id"), 3, 0.85).withColumnRenamed("doc_id", "node")
+    seen = []
+    with mock.patch.object(near_dups, "stored", lambda frame, label: seen.append((label, common.stored(frame, label))) or seen[-1][1]):
+        found = near_dups.links_between(star, nodes, texts, roots, 3, size, 85).collect()
+    compared = {row["node"] for label, frame in seen if label == "clusters" for row in frame.collect()}
+    assert compared == {1, 2, 3, 8, 9} and [tuple(row) for row in found] == [(3, 2)]
