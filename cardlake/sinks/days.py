@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from datetime import date
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cardlake.functions.dates import padded_day_literals, with_day_parts
 from cardlake.schemas import DAY_PARTS
 
 
+# Files that a task of a write by days keeps open; only with more days in it, it sorts the rest of its rows by day.
+OPEN_FILES = 2
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
+@contextmanager
+def without_sort(spark: SparkSession):
+    """Writes by days in here do not sort their rows by day first, as a task has one day or few."""
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, OPEN_FILES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_WRITERS, before)
+
+
 def _write(df: DataFrame, root: str, mode: str) -> None:
     # Dynamic: only the days present in the frame are replaced.
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*DAY_PARTS).parquet(root)
+    with without_sort(df.sparkSession):
+        df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*DAY_PARTS).parquet(root)
 
 
 def write_by_situation_date(df: DataFrame, root: str, mode: str = "overwrite", rebalance: bool = True) -> dict[str, int]:

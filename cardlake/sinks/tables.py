@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cardlake.schemas import DAY_PARTS
 from cardlake.session import qualified
+from cardlake.sinks.days import without_sort
 from cardlake.sinks.versions import current_path, new_version, remove_old
 
 # A table whose partitions are found by listing has one location, so that a single change switches all of it.
@@ -58,7 +59,8 @@ def _write(df: DataFrame, table: str, folder: str, partition_by: list[str] | Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if not bucket_by:
-        writer.save(folder)
+        with without_sort(df.sparkSession):
+            writer.save(folder)
         return
     # Only tables are written in buckets; the name is given up again at once, the files stay.
     own = f"{table}_{folder.rsplit('-', 1)[1]}"

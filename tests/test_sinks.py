@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import DataFrame, DataFrameWriter
 
 from cardlake.sinks import exports, relational, tables
-from cardlake.sinks.days import write_by_situation_date, write_ingestion_day
+from cardlake.sinks.days import OPEN_FILES, write_by_situation_date, write_ingestion_day
 from cardlake.sinks.tables import replace_days, write_table
 from cardlake.sinks.versions import current_path, read_current, versions
 from cardlake.sources import days
@@ -198,3 +198,16 @@ def test_csv_export_has_a_header_and_a_time_stamp(spark, tmp_path):
     assert exports.export_csv(df, str(tmp_path), datetime(2025, 5, 30, 13, 32, 53)) != path
     lines = [row for part in Path(path).glob("*.csv") for row in csv.DictReader(part.open())]
     assert sorted(lines, key=str) == [{"name": "a,b", "n": "1"}, {"name": 'say "x"', "n": ""}]
+
+
+def test_writes_by_days_keep_few_files_open_and_lose_no_day(spark, tmp_path):
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(key), []
+    raw = spark.sql("SELECT id, concat('2025-05-', 1 + id % 7) AS situation_date FROM range(0, 700, 1, 3)")
+    parquet = DataFrameWriter.parquet
+    with mock.patch.object(DataFrameWriter, "parquet", lambda *a: seen.append(spark.conf.get(key)) or parquet(*a)):
+        # Without rebalance each task has seven days, more than it may keep open.
+        write_by_situation_date(raw, str(tmp_path / "lake"), rebalance=False)
+    assert [int(n) for n in seen] == [OPEN_FILES] and spark.conf.get(key) == before
+    counts = spark.read.parquet(str(tmp_path / "lake")).groupBy("day").agg({"id": "count"}).collect()
+    assert sorted(map(tuple, counts)) == [(day, 100) for day in range(1, 8)]
