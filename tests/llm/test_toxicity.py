@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from cardlake.llm import toxicity
@@ -104,3 +105,15 @@ def test_the_language_model_counts_all_documents(spark):
     a, b, c = 1, 2, 3
     assert model[0][a][b] > model[0][a][c] + 2
     assert model.shape == (toxicity.CLASSES,) * 3
+
+
+def test_common_words_stay_known_when_the_table_is_full(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHED", 3)
+    reader = toxicity.Reader(np.log(np.full((28, 28, 28), 1 / 28)), lambda hashes, per_token: per_token.tolist())
+    restore, calls = reader.restorer.words, []
+    reader.restorer.words = lambda token: calls.append(token) or restore(token)
+    texts = [f"c0mmon x{i}y" for i in range(10, 18)]
+    found = [sorted(values) for text in texts for values in reader.read([text])]
+    assert calls.count("c0mmon") == 1
+    fresh = toxicity.Reader(np.log(np.full((28, 28, 28), 1 / 28)), lambda hashes, per_token: per_token.tolist())
+    assert found == [sorted(values) for values in fresh.read(texts)]
