@@ -30,9 +30,9 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BLANK = "▁"
 NEVER = np.int64(2**62)
 ENCODED = "doc_id bigint, ids array<int>"
-# Limits of the cache of words, which is emptied beyond them; results do not depend on them.
+# Limits of the cache of words, of which only common ones stay beyond them, and of work; results do not depend on them.
 CACHED, CACHED_LENGTH = 400_000, 64
-BATCH_IDS = 1_000_000
+BATCH_IDS = 250_000
 
 
 class PieceModel:
@@ -183,7 +183,8 @@ class PieceModel:
         split = [self.words.findall(BLANK + text.replace(" ", BLANK)) if text else [] for text in texts]
         known = self.known
         if len(known) > CACHED:
-            known.clear()
+            # Words of this group are common ones; all others are forgotten.
+            known = self.known = {word: known[word] for words in split for word in words if word in known}
         new = {word for words in split for word in words if word not in known}
         passing: dict[str, bytes] = {}
         if new:
@@ -231,13 +232,17 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches):
         pieces = piece_model(model)
-        for batch in batches:
-            texts = [text or "" for text in batch.column("text").to_pylist()]
-            for doc_ids, part in _parts(batch.column("doc_id").to_pylist(), texts):
-                found = pieces.encode(part)
-                offsets = np.append(0, np.cumsum([len(ids) for ids in found])).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
+        try:
+            for batch in batches:
+                texts = [text or "" for text in batch.column("text").to_pylist()]
+                for doc_ids, part in _parts(batch.column("doc_id").to_pylist(), texts):
+                    found = pieces.encode(part)
+                    offsets = np.append(0, np.cumsum([len(ids) for ids in found])).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), lists], names=["doc_id", "ids"])
+        finally:
+            # The worker goes on to other tasks, and must not hold the words beside theirs.
+            pieces.known.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
 

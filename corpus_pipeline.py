@@ -30,7 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids, and the text that they stand for."""
-    return sentence_pieces.decode(sentence_pieces.encode(docs))
+    # Stored between, so that a task needs one Python worker at a time, not two.
+    return sentence_pieces.decode(stored(sentence_pieces.encode(docs), "pieces"))
 
 
 STAGES = [

@@ -96,6 +96,12 @@ def test_pipeline_stages_keep_their_contracts(spark):
     assert docs.columns == ["doc_id", "ids", "decoded"]
 
 
+def test_pipeline_needs_one_python_worker_per_task(spark):
+    """Each Python operator of a task has a worker with tables of its own, and all of them stay for the next stages."""
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(20)
+    assert corpus_pipeline.pieces(spark, docs, SF_DIR)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     """Null ids, texts and sources, a source without words, repeated rows, a very long text and extra columns; then no rows at all."""
     clean = [(i, f"w{i} " + " ".join(f"p{i}q{j}" for j in range(30)), "en", "a", i, "x") for i in range(20)]

@@ -49,3 +49,27 @@ def test_tables(spark, library):
         assert row.ids == library.encode(text)
         assert row.decoded == library.decode(row.ids)
     assert sentence_pieces.decode(sentence_pieces.encode(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_workers_keep_no_words_between_tasks(spark):
+    """Workers go on to other stages, so words that stay would be held beside everything those need."""
+    docs = spark.createDataFrame([(i, f"left{i} over{i}", "i", 1) for i in range(400)], SCHEMA).repartition(4)
+    assert len(sentence_pieces.encode(docs).collect()) == 400
+
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(sentence_pieces.piece_model(sentence_pieces.MODEL).known)], pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n bigint").collect()} == {0}
+
+
+def test_full_table_of_words_keeps_the_common_ones(library, monkeypatch):
+    monkeypatch.setattr(sentence_pieces, "CACHED", 5)
+    own = sentence_pieces.PieceModel(sentence_pieces.MODEL)
+    own.encode(["one two three four five six seven"])
+    common = own.known["▁two"]
+    assert [ids.tolist() for ids in own.encode(["two eight"])] == [library.encode("two eight")]
+    assert set(own.known) == {"▁two", "▁eight"}
+    assert own.known["▁two"] is common
